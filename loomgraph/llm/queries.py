@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from loomgraph.llm.packing import op6_best_fit_packing
 from loomgraph.llm.token_files import op3_token_files
 
 QUERIES = {
     "op3_token_files": op3_token_files,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
