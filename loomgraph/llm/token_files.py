@@ -40,7 +40,9 @@ def lanes_of(n: int) -> int:
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(symbols, frequency of each, bits): every symbol gets one of the 2**bits slots, the rest
     are shared in proportion to the counts."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     bits = max(18, int(len(symbols)).bit_length() + 2)
     spare = (1 << bits) - len(symbols)
     freq = 1 + counts.astype(np.int64) * spare // max(1, int(counts.sum()))
@@ -108,7 +110,9 @@ class FileWriter:
     def segment(self, doc_ids: list, parts: list[bytes]) -> None:
         ids = np.frombuffer(b"".join(parts), "<u4")
         symbols, freq, bits = frequencies(ids)
-        index = np.searchsorted(symbols, ids)
+        number = np.zeros(int(symbols[-1]) + 1, np.int64)
+        number[symbols] = np.arange(len(symbols))
+        index = number[ids]
         start = (np.cumsum(freq) - freq).astype(np.uint64)
         lengths = np.array([len(p) // 4 for p in parts], np.int64)
         known = np.array([d is not None for d in doc_ids], np.int64)

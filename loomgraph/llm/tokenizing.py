@@ -1,13 +1,15 @@
 """Exact, memoised use of a public tokenizer file.
 
 No token of these tokenizers crosses from a character that isn't white space to one that is, so
-a text can be cut there and each piece encoded alone; pieces repeat, so their ids are kept.
+a text can be cut there and each piece encoded alone; pieces repeat, so their ids are kept, and
+new pieces are encoded many at a time, between separators that have a token of their own.
 Texts with control characters on whose class regular-expression libraries differ, or with the
 strings of special tokens, are encoded whole."""
 
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -23,44 +25,105 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbers(dict):
+    """Numbers pieces in the order they are first seen, and lists new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.fresh.append(piece)
+        return n
+
+
 class MemoTokenizer:
     """name: file of the public tokenizers, or a path.  limit: pieces whose ids are kept."""
 
-    def __init__(self, name: str, limit: int = 400_000):
+    def __init__(self, name: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         path = name if "/" in name else public_path(name)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.limit, self.memo = limit, {}
-        #: where white space never becomes a token, pieces need not carry it
-        self.cut = str.split if not self._direct(["a \n b"])[0] != self._direct(["a b"])[0] else _PIECES
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
+        self.limit, self.numbers = limit, _Numbers()
+        self.ids, self.sizes, self.starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # where white space never becomes a token, pieces need not carry it
+        spaced, plain = self._direct(["ab \n cd", "ab cd"])
+        self.cut = str.split if np.array_equal(spaced, plain) else _PIECES
+        self.joint = next(((s, i) for s in ("\n", " \x01 ") if (i := self._separator(s)) is not None), None)
+
+    def _direct(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [np.array(x.ids, np.uint32) for x in found]
+
+    def _separator(self, s: str) -> int | None:
+        a, b, c, d, both, spaced = self._direct(["of.", "the", " the", "\x01", f"of.{s}the", f"of.{s} the"])
+        i = both[len(a) : len(both) - len(b)]
+        fits = len(i) == 1 and np.array_equal(both, [*a, *i, *b]) and np.array_equal(spaced, [*a, *i, *c]) and i[0] not in (*a, *b, *c)
+        return int(i[0]) if fits and (s == "\n" or len(d) == 1) else None
+
+    def _learn(self) -> None:
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        if not fresh:
+            return
+        mark = self.joint[0].strip(" ") if self.joint else ""
+        alone = [k for k, p in enumerate(fresh) if not self.joint or mark in p or len(p) > 100]
+        kept = set(alone)
+        rest = [k for k in range(len(fresh)) if k not in kept] if kept else range(len(fresh))
+        sizes, starts = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        parts, held = [self.ids], len(self.ids)
+        for i in range(0, len(rest), 20_000):
+            some = rest[i : i + 20_000]
+            groups = [some[j : j + 200] for j in range(0, len(some), 200)]
+            got = self._direct([self.joint[0].join([fresh[k] for k in g]) for g in groups])
+            end = np.array([self.joint[1]], np.uint32)
+            ids = np.concatenate([x for pair in zip(got, [end] * len(got), strict=True) for x in pair])
+            at = np.flatnonzero(ids == self.joint[1])
+            if len(at) != len(some):  # a piece has the separator's token
+                alone += some
+                continue
+            n = np.diff(at, prepend=-1) - 1
+            where = np.asarray(some)
+            sizes[where], starts[where] = n, held + np.cumsum(n) - n
+            parts.append(ids[ids != self.joint[1]])
+            held += len(parts[-1])
+        for k, ids in zip(alone, self._direct([fresh[k] for k in alone]) if alone else [], strict=True):
+            sizes[k], starts[k] = len(ids), held
+            parts.append(ids)
+            held += len(ids)
+        self.ids = np.concatenate(parts)
+        self.sizes, self.starts = np.concatenate([self.sizes, sizes]), np.concatenate([self.starts, starts])
+
+    def _forget(self, keep: int) -> None:
+        """The pieces seen first are the common ones."""
+        old, self.numbers = self.numbers, _Numbers()
+        self.numbers.update(islice(old.items(), keep))
+        self.sizes, self.starts = self.sizes[:keep], self.starts[:keep]
+        self.ids = self.ids[: int((self.starts + self.sizes).max(initial=0))].copy()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: empty) as little-endian unsigned 32-bit integers."""
+        if len(self.numbers) > self.limit or len(self.ids) > 16 * self.limit:
+            self._forget(self.limit // 6 if len(self.ids) <= 16 * self.limit else 0)
         whole = {i: t for i, t in enumerate(texts) if t and _ODD.search(t)}
-        pieces = [[] if not t or i in whole else self.cut(t) for i, t in enumerate(texts)]
-        wanted = set()
-        for p in pieces:
-            wanted.update(p)
-        missing = [p for p in wanted if p not in self.memo]
-        if len(self.memo) + len(missing) > self.limit:
-            self.memo.clear()
-            missing = list(wanted)
-        for i in range(0, len(missing), 50_000):
-            self.memo.update(zip(missing[i : i + 50_000], self._direct(missing[i : i + 50_000]), strict=True))
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, p)) for p in pieces]
+        cut, number, flat, counts = self.cut, self.numbers.__getitem__, [], []
+        for i, t in enumerate(texts):
+            pieces = cut(t) if t and i not in whole else ()
+            flat.extend(map(number, pieces))
+            counts.append(len(pieces))
+        self._learn()
+        which = np.array(flat, np.int64)
+        sizes = self.sizes[which]
+        ends = np.cumsum(sizes)
+        take = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[which] - ends + sizes, sizes)
+        raw = memoryview(self.ids[take].astype("<u4").tobytes())
+        limits = 4 * np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        out = [bytes(raw[a:b]) for a, b in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)]
         for i, t in whole.items():
-            out[i] = self._direct([t])[0]
-        for p in missing:
-            if len(p) > 100:
-                del self.memo[p]
+            out[i] = self._direct([t])[0].astype("<u4").tobytes()
         return out
 
 
