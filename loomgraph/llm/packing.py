@@ -39,7 +39,7 @@ def pieces_of(docs: DataFrame, name: str, end_id: int, capacity: int, keep_ids:
         for batch in batches:
             for some in slices(batch, "text"):
                 rows, ids = [], []
-                for d, coded in zip(some.column("doc_id").to_pylist(), coder.encode(some.column("text").to_pylist()), strict=True):
+                for d, coded in zip(some.column("doc_id").to_pylist(), coder.encode_array(some.column("text")), strict=True):
                     coded += end
                     for k, at in enumerate(range(0, len(coded), 4 * capacity)):
                         data = coded[at : at + 4 * capacity]

@@ -178,7 +178,7 @@ def read_tokens(f, entry: dict, begin: int, end: int) -> np.ndarray:
 MANIFEST = "part int, path string, bytes long, n_docs long, n_tokens long, segments int"
 
 
-def write_token_files(docs: DataFrame, folder: str, name: str, end_id: int, segment_tokens: int = 4_000_000) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, name: str, end_id: int, segment_tokens: int = 2_000_000) -> DataFrame:
     """Writes docs (doc_id, text) to files in ascending doc_id order and returns the manifest,
     itself stored.  A task that runs again writes another file; only files in the manifest count."""
     spark = docs.sparkSession
@@ -191,7 +191,7 @@ def write_token_files(docs: DataFrame, folder: str, name: str, end_id: int, segm
         ids, parts, held, n_docs = [], [], 0, 0
         for batch in batches:
             for piece in slices(batch, "text"):
-                for d, coded in zip(piece.column("doc_id").to_pylist(), coder.encode(piece.column("text").to_pylist()), strict=True):
+                for d, coded in zip(piece.column("doc_id").to_pylist(), coder.encode_array(piece.column("text")), strict=True):
                     ids.append(d)
                     parts.append(coded + end)
                     held += len(coded) // 4 + 1
