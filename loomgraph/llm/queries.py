@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from loomgraph.llm.near_dedup import op8_minhash_near_dedup
 from loomgraph.llm.packing import op6_best_fit_packing
 from loomgraph.llm.token_files import op3_token_files
 from loomgraph.llm.warc import op1_warc
 
 QUERIES = {
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op1_warc": op1_warc,
     "op3_token_files": op3_token_files,
     "op6_best_fit_packing": op6_best_fit_packing,
