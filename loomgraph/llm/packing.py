@@ -37,7 +37,7 @@ def pieces_of(docs: DataFrame, name: str, end_id: int, capacity: int, keep_ids:
         coder, end, part = tokenizer(name), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for some in slices(batch, "text"):
+            for some in slices(batch, "text", 12_000_000):
                 rows, ids = [], []
                 for d, coded in zip(some.column("doc_id").to_pylist(), coder.encode_array(some.column("text")), strict=True):
                     coded += end

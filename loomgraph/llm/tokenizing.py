@@ -46,7 +46,7 @@ class _Numbers(dict):
 class MemoTokenizer:
     """name: file of the public tokenizers, or a path.  limit: pieces whose ids are kept."""
 
-    def __init__(self, name: str, limit: int = 300_000):
+    def __init__(self, name: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         path = name if "/" in name else public_path(name)
