@@ -83,10 +83,15 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def compact(texts: pa.Array) -> pa.Array:
+    """The same texts (null: empty), not as a part of a larger array: some kernels misread parts."""
+    return pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
+
+
 def tokenised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     """Words of each text, A-Z in lower case.  Returns the hash of every token, the number of
     tokens of each text, the distinct words, and each token's index among these."""
-    lowered = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    lowered = pc.ascii_lower(compact(texts))
     lists = pc.ascii_split_whitespace(lowered)
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()

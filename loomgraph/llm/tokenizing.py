@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from loomgraph.llm.common import compact
+
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
 _PIECES = re.compile(r"\s*\S+|\s+").findall
 #: pieces between single spaces that need a closer look: empty, next to more white space, or odd
@@ -113,7 +115,7 @@ class MemoTokenizer:
         """As encode(), of an Arrow array: cut at single spaces and line ends without making a
         Python string of every piece; texts with other white space take the other way."""
         self._make_room()
-        text = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " \n")
+        text = pc.replace_substring(compact(texts), "\n", " \n")
         lists = pc.split_pattern(text, " ")
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
