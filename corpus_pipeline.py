@@ -7,8 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm.common import stored, table
+from loomgraph.llm.decontamination import contained_items
+from loomgraph.llm.near_dedup import near_duplicates
+from loomgraph.llm.packing import pack_documents
+from loomgraph.llm.toxicity import toxicity_filter, train
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the ordinal model calls toxic."""
+    return toxicity_filter(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies, that with the smallest doc_id."""
+    judged = stored(near_duplicates(docs), "judged")
+    dropped = stored(judged.filter("NOT kept").select("doc_id").distinct(), "dropped")
+    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    if judged.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    known = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    return known.unionByName(kept.filter("doc_id IS NULL"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain an item of the benchmark."""
+    leaks = stored(contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, "word_bpe_49k.json", 1)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from loomgraph.llm.decontamination import OP4_SQL, op4_benchmark_decontamination
 from loomgraph.llm.near_dedup import op8_minhash_near_dedup
 from loomgraph.llm.packing import op6_best_fit_packing
 from loomgraph.llm.token_files import op3_token_files
+from loomgraph.llm.toxicity import op10_toxicity
 from loomgraph.llm.warc import op1_warc
 
 QUERIES = {
-    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op1_warc": op1_warc,
     "op3_token_files": op3_token_files,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_benchmark_decontamination": OP4_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
