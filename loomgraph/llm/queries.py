@@ -6,7 +6,9 @@ from loomgraph.llm.decontamination import OP4_SQL, op4_benchmark_decontamination
 from loomgraph.llm.near_dedup import op8_minhash_near_dedup
 from loomgraph.llm.packing import op6_best_fit_packing
 from loomgraph.llm.token_files import op3_token_files
+from loomgraph.llm.topk_search import OP7_SQL, op7_exact_top_k
 from loomgraph.llm.toxicity import op10_toxicity
+from loomgraph.llm.url_filter import op9_url_filter
 from loomgraph.llm.warc import op1_warc
 
 QUERIES = {
@@ -14,9 +16,12 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_exact_top_k": op7_exact_top_k,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_benchmark_decontamination": OP4_SQL,
+    "op7_exact_top_k": OP7_SQL,
 }
