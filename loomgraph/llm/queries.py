@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from loomgraph.llm.decontamination import OP4_SQL, op4_benchmark_decontamination
+from loomgraph.llm.html_extraction import op2_html_extraction
+from loomgraph.llm.language_model import op5_language_model
 from loomgraph.llm.near_dedup import op8_minhash_near_dedup
 from loomgraph.llm.packing import op6_best_fit_packing
 from loomgraph.llm.token_files import op3_token_files
@@ -13,8 +15,10 @@ from loomgraph.llm.warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_html_extraction": op2_html_extraction,
     "op3_token_files": op3_token_files,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_language_model": op5_language_model,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
