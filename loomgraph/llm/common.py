@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -83,6 +85,15 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def trimmed(batches):
+    """The same batches; at their end the worker gives freed memory back, so that what one task
+    needed doesn't stay with a worker that other tasks use."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def compact(texts: pa.Array) -> pa.Array:
     """The same texts (null: empty), not as a part of a larger array: some kernels misread parts."""
     return pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")

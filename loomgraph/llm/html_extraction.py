@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import slices, table
+from loomgraph.llm.common import slices, table, trimmed
 
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: elements whose content is never text of the page
@@ -352,7 +352,7 @@ def extract(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
     chain = chain or default_chain()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for some in slices(batch, "html"):
                 texts = [main_text(h, chain) for h in some.column("html").to_pylist()]
                 cols = [some.column("page_id"), some.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import mix, partitions, slices, stored, table, tokenised, word_hashes
+from loomgraph.llm.common import mix, partitions, slices, stored, table, tokenised, trimmed, word_hashes
 from loomgraph.llm.near_dedup import _groups
 
 CONTEXTS, HOT = 1024, 64
@@ -81,7 +81,7 @@ def postings(docs: DataFrame, buckets: int, s: Settings) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flush = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in trimmed(batches):
             for some in slices(batch, "text", 12_000_000):
                 for at in range(0, some.num_rows, DOCS):
                     yield from part(some.slice(at, DOCS), flush)
@@ -224,7 +224,7 @@ def cells_of(buckets: DataFrame) -> DataFrame:
     """Stored cells with training tokens, by bucket."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for row in batch.to_pylist():
                 b = Bucket(row)
                 k = b.count > 0
@@ -243,7 +243,7 @@ def summed(cells: DataFrame, measure) -> dict[tuple[str, int], float]:
     CONTEXTS values at most, so the driver gets a bounded number of rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for row in batch.to_pylist():
                 for name, values in measure(row).items():
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(values)), pa.array(np.arange(len(values))), pa.array(np.asarray(values, np.float64))], ["name", "at", "value"])
@@ -286,7 +286,7 @@ def scored(buckets: DataFrame, totals: Totals, s: Settings) -> DataFrame:
     d1, d0 = totals.discounts
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for row in batch.to_pylist():
                 b = Bucket(row)
                 k = b.count > 0
@@ -327,7 +327,7 @@ def score_documents(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     n = partitions(docs.sparkSession)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for row in batch.to_pylist():
                 for i, flush in enumerate(row["flush"]):
                     yield _record(PARTIAL, {"kind": 1, "flush": flush, "doc": row["w"][i] + row["wn"][i] + row["pc"][i], "known": row["held"][i], "base": row["od"][i], "score": row["pu"][i]})

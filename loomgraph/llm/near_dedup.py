@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import mix, partitions, shingle_sets, slices, stored, table
+from loomgraph.llm.common import mix, partitions, shingle_sets, slices, stored, table, trimmed
 from loomgraph.llm.components import connected_components
 
 BINS, ROWS, BANDS = 128, 5, 25
@@ -68,7 +68,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, digest and band keys of each row, stored."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for some in slices(batch, "text"):
                 values, offsets = shingle_sets(some.column("text"), shingle)
                 keys = band_keys(sketches(values, offsets))
@@ -85,7 +85,7 @@ def ties(classes: DataFrame) -> DataFrame:
     """Stored edges (a, b) from the members of each bucket to its least one.  classes: id, bands."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, BANDS)), pa.array(keys)], ["id", "key"])
@@ -145,7 +145,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Runs of rows with equal keys, across batches of a sorted partition."""
     held: list[pa.RecordBatch] = []
     last = None
-    for batch in batches:
+    for batch in trimmed(batches):
         if not batch.num_rows:
             continue
         k = batch.column(key).to_numpy(zero_copy_only=False)
@@ -183,7 +183,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked.  sets: id, set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
     family = stored(connected_components(tied).withColumnRenamed("label", "family"), "families")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for some in slices(batch, "text"):
                 values, offsets = shingle_sets(some.column("text"), shingle)
                 raw = memoryview(values.tobytes())

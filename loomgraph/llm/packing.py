@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import slices, stored, table
+from loomgraph.llm.common import slices, stored, table, trimmed
 from loomgraph.llm.tokenizing import tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -34,9 +34,9 @@ def pieces_of(docs: DataFrame, name: str, end_id: int, capacity: int, keep_ids:
     among its pieces of that length.  Stored, so that ranks stay as they are."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, part = tokenizer(name), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        coder, end, part = tokenizer(name, 200_000), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in trimmed(batches):
             for some in slices(batch, "text", 12_000_000):
                 rows, ids = [], []
                 for d, coded in zip(some.column("doc_id").to_pylist(), coder.encode_array(some.column("text")), strict=True):
@@ -210,7 +210,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     schema = pieces.drop("part", "nth").schema.add("sequence_id", "long").add("offset", "long")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             length = batch.column("length").to_numpy(zero_copy_only=False)
             rank = batch.column("nth").to_numpy(zero_copy_only=False) + batch.column("before").to_numpy(zero_copy_only=False)
             run = runs[np.searchsorted(keys, (length << np.int64(44)) + rank, "right") - 1]

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import open_fs, partitions, slices, stored, table, workspace
+from loomgraph.llm.common import open_fs, partitions, slices, stored, table, trimmed, workspace
 from loomgraph.llm.tokenizing import tokenizer
 
 MAGIC = b"LOOMRANS1\n"
@@ -189,7 +189,7 @@ def write_token_files(docs: DataFrame, folder: str, name: str, end_id: int, segm
         path = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex}.rans"
         out = writer = None
         ids, parts, held, n_docs = [], [], 0, 0
-        for batch in batches:
+        for batch in trimmed(batches):
             for piece in slices(batch, "text", 12_000_000):
                 for d, coded in zip(piece.column("doc_id").to_pylist(), coder.encode_array(piece.column("text")), strict=True):
                     ids.append(d)
@@ -236,7 +236,7 @@ def read_documents(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     schema = DOCUMENT + (", ids array<long>" if with_ids else "")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for row in batch.to_pylist():
                 fs, at = open_fs(row["path"])
                 with fs.open_input_file(at) as f:

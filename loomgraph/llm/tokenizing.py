@@ -178,8 +178,8 @@ class MemoTokenizer:
         return out
 
 
-def tokenizer(name: str) -> MemoTokenizer:
+def tokenizer(name: str, limit: int = 700_000) -> MemoTokenizer:
     """One per Python worker, kept between tasks."""
     if name not in _LOADED:
-        _LOADED[name] = MemoTokenizer(name)
+        _LOADED[name] = MemoTokenizer(name, limit)
     return _LOADED[name]

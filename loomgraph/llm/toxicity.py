@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import mix, shingle_sets, slices, stored, table, tokenised
+from loomgraph.llm.common import mix, shingle_sets, slices, stored, table, tokenised, trimmed
 
 GRADES = 4
 PREFIXES = (4, 5, 6)
@@ -186,8 +186,8 @@ def score(docs: DataFrame, model: OrdinalModel, threshold: float = THRESHOLD) ->
     grade, grade the likeliest, toxic tells whether P(grade > 0) reaches the threshold."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in slices(batch, "text", 12_000_000):
+        for batch in trimmed(batches):
+            for some in slices(batch, "text"):
                 severity, grade, p = judged(some.column("text"), model)
                 cols = [some.column("doc_id"), pa.array(severity), pa.array(grade), pa.array(p), pa.array(p >= threshold)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "severity", "grade", "p_toxic", "toxic"])
@@ -200,8 +200,8 @@ def toxicity_filter(docs: DataFrame, model: OrdinalModel, threshold: float = THR
     """The rows of docs (text, any further columns) that are not toxic, unchanged."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in slices(batch, "text", 12_000_000):
+        for batch in trimmed(batches):
+            for some in slices(batch, "text"):
                 yield some.filter(pa.array(judged(some.column("text"), model)[2] < threshold))
 
     return docs.mapInArrow(work, docs.schema)
