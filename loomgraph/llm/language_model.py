@@ -75,6 +75,18 @@ def _record(schema: str, row: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([row.get(n)], kinds[k]) for n, k in names], [n for n, _ in names])
 
 
+def one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows that are large: only one at a time as Python objects."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
+def bucket_count(docs: DataFrame) -> int:
+    """So many that each has the words of a few megabytes of input."""
+    most = docs.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return max(128, docs.rdd.getNumPartitions() * most >> 22)
+
+
 def postings(docs: DataFrame, buckets: int, s: Settings) -> DataFrame:
     """Rows of kind 0: what a part of the documents has for a bucket; of kind 1: its documents, and
     the places of its frequent words."""
@@ -82,7 +94,7 @@ def postings(docs: DataFrame, buckets: int, s: Settings) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flush = TaskContext.get().partitionId() << 32
         for batch in trimmed(batches):
-            for some in slices(batch, "text", 12_000_000):
+            for some in slices(batch, "text", 6_000_000):
                 for at in range(0, some.num_rows, DOCS):
                     yield from part(some.slice(at, DOCS), flush)
                     flush += 1
@@ -225,7 +237,7 @@ def cells_of(buckets: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 b = Bucket(row)
                 k = b.count > 0
                 yield _record(CELLS, {"bucket": row["bucket"], "n_words": len(b.words), "word": np.diff(b.word[k], prepend=0).astype("<u4").tobytes(), "context": b.context[k].astype("<u2").tobytes(), "count": b.count[k].astype("<u4").tobytes()})
@@ -244,7 +256,7 @@ def summed(cells: DataFrame, measure) -> dict[tuple[str, int], float]:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 for name, values in measure(row).items():
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(values)), pa.array(np.arange(len(values))), pa.array(np.asarray(values, np.float64))], ["name", "at", "value"])
 
@@ -287,7 +299,7 @@ def scored(buckets: DataFrame, totals: Totals, s: Settings) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 b = Bucket(row)
                 k = b.count > 0
                 past = Totals(totals.tokens, totals.words, totals.customers, totals.discounts, totals.sweeps[:-1])
@@ -322,13 +334,13 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score_documents(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     """docs: doc_id, text.  Learns from the documents not held out and scores all."""
     s = s or Settings()
-    buckets = gathered(postings(docs, max(64, 2 * docs.rdd.getNumPartitions()), s))
+    buckets = gathered(postings(docs, bucket_count(docs), s))
     totals = learn(cells_of(buckets), s)
     n = partitions(docs.sparkSession)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 for i, flush in enumerate(row["flush"]):
                     yield _record(PARTIAL, {"kind": 1, "flush": flush, "doc": row["w"][i] + row["wn"][i] + row["pc"][i], "known": row["held"][i], "base": row["od"][i], "score": row["pu"][i]})
 
