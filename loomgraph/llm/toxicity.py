@@ -14,8 +14,6 @@ empty table gives no rows; further columns are ignored, or kept in toxicity_filt
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import mix, shingle_sets, slices, stored, table, tokenised, trimmed
+from loomgraph.llm.common import mix, shingle_sets, slices, stored, table, tokenised, trimmed, word_hashes
 
 GRADES = 4
 PREFIXES = (4, 5, 6)
@@ -35,14 +33,17 @@ def features(word: str) -> list[str]:
     return [bare] + [f"{bare[:n]}-" for n in PREFIXES if len(bare) > n] if bare else []
 
 
-def counted(text: str | None) -> Counter:
-    """Features of one text; the lower case is that of A-Z alone, as when scoring."""
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the features of one text; the lower case is that of A-Z alone, as when
+    scoring."""
     _, _, words, index = tokenised(pa.array([text or ""]))
-    out: Counter = Counter()
+    names, counts = [], []
     for w, n in zip(words, np.bincount(index, minlength=len(words)).tolist(), strict=True):
         for f in features(w.decode()):
-            out[f] += n
-    return out
+            names.append(f.encode())
+            counts.append(n)
+    keys, at = np.unique(word_hashes(names), return_inverse=True)
+    return keys, np.bincount(at, counts, minlength=len(keys)).astype(np.int32)
 
 
 @dataclass
@@ -58,22 +59,19 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(t - scores.reshape(-1, 1), -500, 500)))
 
 
-def select_features(counts: list[Counter], toxic: np.ndarray, most: int, least_docs: int = 4, z: float = 5.0) -> list[str]:
-    """Features whose log odds between the classes are z standard errors from none."""
-    df = [Counter(), Counter()]
-    for c, t in zip(counts, toxic.tolist(), strict=True):
-        df[t].update(c.keys())
+def select_features(counts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, most: int, least_docs: int = 4, z: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of features whose rates in the classes differ by z standard errors, the strongest
+    first; whether each is commoner in toxic texts)."""
     n = [int((toxic == t).sum()) for t in (0, 1)]
-    scored = []
-    for f in df[0].keys() | df[1].keys():
-        a, b = df[1][f], df[0][f]
-        if a + b >= least_docs:
-            odds = math.log((a + 0.5) / (n[1] - a + 0.5)) - math.log((b + 0.5) / (n[0] - b + 0.5))
-            spread = math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            strength = abs(a / n[1] - b / n[0]) / math.sqrt(max((a + b) / (n[0] + n[1]), 1e-9) * (1 / n[0] + 1 / n[1]))
-            if strength >= z and abs(odds) > 2.5 * spread:
-                scored.append((-strength, f))
-    return [f for _, f in sorted(scored)[:most]]
+    keys, at = np.unique(np.concatenate([k for k, _ in counts]), return_inverse=True)
+    hostile = np.repeat(toxic, [len(k) for k, _ in counts])
+    a, b = np.bincount(at, hostile, minlength=len(keys)), np.bincount(at, 1 - hostile, minlength=len(keys))
+    odds = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((b + 0.5) / (n[0] - b + 0.5))
+    spread = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    strength = np.abs(a / n[1] - b / n[0]) / np.sqrt((a + b) / (n[0] + n[1]) * (1 / n[0] + 1 / n[1]))
+    good = np.flatnonzero((a + b >= least_docs) & (strength >= z) & (np.abs(odds) > 2.5 * spread))
+    good = good[np.argsort(-strength[good], kind="stable")][:most]
+    return keys[good], odds[good] > 0
 
 
 def without_copies(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
@@ -98,23 +96,23 @@ def fit(texts: list[str | None], toxic: np.ndarray, most_features: int = 4000, r
     if len(set(toxic.tolist())) < 2:
         return OrdinalModel()
     counts = [counted(t) for t in texts]
-    names = select_features(counts, toxic, most_features)
-    if not names:
+    keys, hostile = select_features(counts, toxic, most_features)
+    if not len(keys):
         return OrdinalModel()
-    column = {f: j for j, f in enumerate(names)}
-    hostile = {f for f in names if sum(f in c for c, t in zip(counts, toxic, strict=True) if t) * 2 > sum(f in c for c in counts)}
-    row, col, val = [], [], []
-    for i, c in enumerate(counts):
-        for f, k in c.items():
-            if f in column:
-                row.append(i)
-                col.append(column[f])
-                val.append(math.log1p(k))
-    row, col, val = np.array(row, np.int64), np.array(col, np.int64), np.array(val)
-    hits = np.array([sum(k for f, k in c.items() if f in hostile) for c in counts])
+    order = np.argsort(keys)
+    keys, hostile = keys[order], hostile[order]
+    row, col, val, hits = [], [], [], np.zeros(len(texts))
+    for i, (k, n) in enumerate(counts):
+        at = np.searchsorted(keys, k)
+        there = keys[np.minimum(at, len(keys) - 1)] == k
+        row.append(np.full(int(there.sum()), i))
+        col.append(at[there])
+        val.append(np.log1p(n[there]))
+        hits[i] = n[there][hostile[at[there]]].sum()
+    row, col, val = np.concatenate(row), np.concatenate(col), np.concatenate(val)
     cuts = np.quantile(hits[toxic == 1], [i / (GRADES - 1) for i in range(1, GRADES - 1)])
     grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, hits, "left"), 0)
-    n, w, base = len(texts), np.zeros(len(names)), 0.0
+    n, w = len(texts), np.zeros(len(keys))
     # thresholds: the first, then gaps as exponentials, so that they stay in order
     t = np.array([0.0] + [0.0] * (GRADES - 2))
     first, second, state = np.zeros(len(w) + len(t)), np.zeros(len(w) + len(t)), 0
@@ -134,7 +132,15 @@ def fit(texts: list[str | None], toxic: np.ndarray, most_features: int = 4000, r
         step = 0.1 * (first / (1 - 0.9**state)) / (np.sqrt(second / (1 - 0.99**state)) + 1e-8)
         w, t = w - step[: len(w)], t - step[len(w) :]
     theta = np.cumsum(np.concatenate([[t[0]], np.exp(t[1:])]))
-    return OrdinalModel({f: float(x) for f, x in zip(names, w, strict=True)}, [float(x) + base for x in theta])
+    # the names of the hashes, from the texts again
+    found: dict[str, float] = {}
+    for t in texts:
+        names = [f for v in set(tokenised(pa.array([t or ""]))[2]) for f in features(v.decode())]
+        h = word_hashes([f.encode() for f in names])
+        at = np.searchsorted(keys, h)
+        for k in np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == h).tolist():
+            found[names[k]] = float(w[at[k]])
+    return OrdinalModel(dict(sorted(found.items())), theta.tolist())
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_chars: int = 20_000) -> OrdinalModel:
