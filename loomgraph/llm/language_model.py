@@ -94,7 +94,7 @@ def postings(docs: DataFrame, buckets: int, s: Settings) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flush = TaskContext.get().partitionId() << 32
         for batch in trimmed(batches):
-            for some in slices(batch, "text", 6_000_000):
+            for some in slices(batch, "text", 3_000_000):
                 for at in range(0, some.num_rows, DOCS):
                     yield from part(some.slice(at, DOCS), flush)
                     flush += 1
