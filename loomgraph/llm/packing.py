@@ -29,15 +29,15 @@ from loomgraph.llm.tokenizing import tokenizer
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
-def pieces_of(docs: DataFrame, name: str, end_id: int, capacity: int, keep_ids: bool = False) -> DataFrame:
+def pieces_of(docs: DataFrame, name: str, end_id: int, capacity: int, keep_ids: bool = False, memo: int = 600_000) -> DataFrame:
     """Pieces of docs (doc_id, text), with the number of the task that made them and their rank
     among its pieces of that length.  Stored, so that ranks stay as they are."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, part = tokenizer(name, 200_000), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        coder, end, part = tokenizer(name, memo), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in trimmed(batches):
-            for some in slices(batch, "text", 12_000_000):
+            for some in slices(batch, "text"):
                 rows, ids = [], []
                 for d, coded in zip(some.column("doc_id").to_pylist(), coder.encode_array(some.column("text")), strict=True):
                     coded += end
@@ -220,10 +220,10 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, name: str, end_id: int, capacity: int = 4096, keep_ids: bool = False) -> DataFrame:
-    """docs: doc_id, text.  One row per piece: doc_id, piece, start, length, ids_crc32, its ids if
+def pack_documents(docs: DataFrame, name: str, end_id: int, capacity: int = 4096, keep_ids: bool = False, memo: int = 600_000) -> DataFrame:
+    """memo: words whose ids each worker keeps.  docs: doc_id, text.  One row per piece: doc_id, piece, start, length, ids_crc32, its ids if
     asked for, sequence_id and offset."""
-    return pack(pieces_of(docs, name, end_id, capacity, keep_ids), capacity)
+    return pack(pieces_of(docs, name, end_id, capacity, keep_ids, memo), capacity)
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -56,7 +56,8 @@ class MemoTokenizer:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.limit, self.numbers = limit, _Numbers()
-        self.ids, self.sizes, self.starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+        self.sizes, self.starts, self.uses = (np.zeros(0, np.int64) for _ in range(3))
         # where white space never becomes a token, pieces need not carry it
         spaced, plain = self._direct(["ab \n cd", "ab cd"])
         self.cut = str.split if np.array_equal(spaced, plain) else _PIECES
@@ -103,17 +104,28 @@ class MemoTokenizer:
             held += len(ids)
         self.ids = np.concatenate(parts)
         self.sizes, self.starts = np.concatenate([self.sizes, sizes]), np.concatenate([self.starts, starts])
+        self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
 
-    def _forget(self, keep: int) -> None:
-        """The pieces seen first are the common ones."""
-        old, self.numbers = self.numbers, _Numbers()
-        self.numbers.update(islice(old.items(), keep))
-        self.sizes, self.starts = self.sizes[:keep], self.starts[:keep]
-        self.ids = self.ids[: int((self.starts + self.sizes).max(initial=0))].copy()
+    def _make_room(self) -> None:
+        """When full, keeps the pieces used most."""
+        if len(self.numbers) <= self.limit and len(self.ids) <= 16 * self.limit:
+            return
+        keep = np.argsort(-self.uses, kind="stable")[: self.limit // 3]
+        keep = np.sort(keep[(self.uses[keep] > 1) & (self.sizes[keep] < 64)])
+        pieces = list(self.numbers)
+        self.numbers = _Numbers()
+        self.numbers.update(zip([pieces[i] for i in keep.tolist()], range(len(keep)), strict=True))
+        sizes = self.sizes[keep]
+        ends = np.cumsum(sizes)
+        self.ids = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[keep] - ends + sizes, sizes)]
+        self.sizes, self.starts, self.uses = sizes, ends - sizes, self.uses[keep] // 2
 
     def encode_array(self, texts: pa.Array) -> list[bytes]:
-        """As encode(), of an Arrow array: cut at single spaces and line ends without making a
-        Python string of every piece; texts with other white space take the other way."""
+        """As encode(), of an Arrow array: where pieces carry their white space, cut at single spaces
+        and line ends without making a Python string of every piece; texts with other white
+        space take the other way."""
+        if self.cut is str.split:
+            return self.encode(texts.to_pylist())
         self._make_room()
         text = pc.replace_substring(compact(texts), "\n", " \n")
         lists = pc.split_pattern(text, " ")
@@ -127,11 +139,8 @@ class MemoTokenizer:
         begin = np.cumsum(counts) - counts
         odd = np.logical_or.reduceat(closer[index], begin)
         words = coded.dictionary.to_pylist()
-        if self.cut is str.split:
-            keys = [w[1:] if w[:1] == "\n" else w for w in words]
-        else:
-            keys = [w if w[:1] == "\n" else " " + w for w in words]
-        firsts = [words[i] for i in index[begin]] if self.cut is not str.split else []
+        keys = [w if w[:1] == "\n" else " " + w for w in words]
+        firsts = [words[i] for i in index[begin]]
         known, numbers = self.numbers.get, self.numbers
         wanted = [k for k, c in zip(keys, closer.tolist(), strict=True) if not c and known(k) is None]
         wanted += [k for k, o in zip(firsts, odd.tolist(), strict=False) if not o and known(k) is None]
@@ -140,8 +149,7 @@ class MemoTokenizer:
         numbers.fresh += wanted
         self._learn()
         which = np.array([known(k, 0) for k in keys], np.int64)[index]
-        if firsts:
-            which[begin] = [known(k, 0) for k in firsts]
+        which[begin] = [known(k, 0) for k in firsts]
         full = np.repeat(~odd, counts)
         out = self._gather(which[full], np.where(odd, 0, counts))
         rest = np.flatnonzero(odd).tolist()
@@ -150,11 +158,8 @@ class MemoTokenizer:
                 out[i] = coded
         return out
 
-    def _make_room(self) -> None:
-        if len(self.numbers) > self.limit or len(self.ids) > 16 * self.limit:
-            self._forget(self.limit // 6 if len(self.ids) <= 16 * self.limit else 0)
-
     def _gather(self, which: np.ndarray, counts) -> list[bytes]:
+        self.uses += np.bincount(which, minlength=len(self.uses))
         sizes = self.sizes[which]
         ends = np.cumsum(sizes)
         take = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[which] - ends + sizes, sizes)
