@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +39,15 @@ class Snapshots:
         if not self.exists():
             return {}
         try:
-            tables = json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/{POINTER}").collect()))
+            stream = self._fs.open(self._path(f"{self.folder}/{POINTER}"))
+            try:
+                tables = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
             if not set(schema.TABLES) >= set(tables):
                 raise ValueError("unknown tables")
             return tables
-        except (ValueError, TypeError) as e:
+        except (ValueError, TypeError, Py4JJavaError) as e:
             raise CorruptIndex(f"damaged index at {self.folder}: delete it and index again") from e
 
     def read(self, name: str) -> DataFrame:
