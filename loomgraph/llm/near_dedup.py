@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import mix, partitions, shingle_sets, slices, stored, table, trimmed
+from loomgraph.llm.common import LOWER, UPPER, mix, partitions, shingle_sets, slices, stored, table, trimmed
 from loomgraph.llm.components import connected_components
 
 BINS, ROWS, BANDS = 128, 5, 25
@@ -269,3 +269,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, list_slice(w, p, p + 4) AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+e AS (SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL)
+      JOIN n s ON s.doc_id = x JOIN n t ON t.doc_id = y WHERE 100 * i >= 85 * (s.n + t.n - i)),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.doc_id),
+c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+"""

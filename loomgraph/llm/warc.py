@@ -227,3 +227,13 @@ def read_warc(files: DataFrame, split_bytes: int = 8 << 20, payloads: bool = Tru
 def op1_warc(spark, sf_dir: str) -> DataFrame:
     files = write_warc(plan_records(table(spark, sf_dir, "pages")), workspace(spark, "warc"))
     return read_warc(files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT d, max(page_id) AS response FROM p WHERE strlen(h) >= 1000 GROUP BY d)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN response <> page_id THEN response END AS refers_to
+FROM p LEFT JOIN g ON g.d = p.d AND strlen(h) >= 1000
+"""
