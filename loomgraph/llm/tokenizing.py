@@ -9,7 +9,7 @@ strings of special tokens, are encoded whole."""
 from __future__ import annotations
 
 import re
-from itertools import islice
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 from loomgraph.llm.common import compact
 
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _PIECES = re.compile(r"\s*\S+|\s+").findall
 #: pieces between single spaces that need a closer look: empty, next to more white space, or odd
 _WHITE = r"\s\p{Z}\x0b\x1c-\x1f\x{85}"
@@ -142,13 +142,17 @@ class MemoTokenizer:
         keys = [w if w[:1] == "\n" else " " + w for w in words]
         firsts = [words[i] for i in index[begin]]
         known, numbers = self.numbers.get, self.numbers
-        wanted = [k for k, c in zip(keys, closer.tolist(), strict=True) if not c and known(k) is None]
-        wanted += [k for k, o in zip(firsts, odd.tolist(), strict=False) if not o and known(k) is None]
-        wanted = list(dict.fromkeys(wanted))
-        numbers.update(zip(wanted, range(len(numbers), len(numbers) + len(wanted)), strict=True))
-        numbers.fresh += wanted
+        number = np.fromiter(map(known, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero((number < 0) & ~closer)
+        number[new] = np.arange(len(numbers), len(numbers) + len(new))
+        wanted = [keys[i] for i in new.tolist()]
+        numbers.update(zip(wanted, number[new].tolist(), strict=True))
+        more = list(dict.fromkeys(k for k, o in zip(firsts, odd.tolist(), strict=True) if not o and k not in numbers))
+        numbers.update(zip(more, range(len(numbers), len(numbers) + len(more)), strict=True))
+        numbers.fresh += wanted + more
         self._learn()
-        which = np.array([known(k, 0) for k in keys], np.int64)[index]
+        number[number < 0] = 0
+        which = number[index]
         which[begin] = [known(k, 0) for k in firsts]
         full = np.repeat(~odd, counts)
         out = self._gather(which[full], np.where(odd, 0, counts))
@@ -170,7 +174,7 @@ class MemoTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: empty) as little-endian unsigned 32-bit integers."""
         self._make_room()
-        whole = {i: t for i, t in enumerate(texts) if t and _ODD.search(t)}
+        whole = {i: t for i, t in enumerate(texts) if t and any(o in t for o in _ODD)}
         cut, number, flat, counts = self.cut, self.numbers.__getitem__, [], []
         for i, t in enumerate(texts):
             pieces = cut(t) if t and i not in whole else ()
