@@ -190,7 +190,7 @@ def write_token_files(docs: DataFrame, folder: str, name: str, end_id: int, segm
         out = writer = None
         ids, parts, held, n_docs = [], [], 0, 0
         for batch in trimmed(batches):
-            for piece in slices(batch, "text", 24_000_000):
+            for piece in slices(batch, "text", 18_000_000):
                 for d, coded in zip(piece.column("doc_id").to_pylist(), coder.encode_array(piece.column("text")), strict=True):
                     ids.append(d)
                     parts.append(coded + end)

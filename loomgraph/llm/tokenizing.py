@@ -134,7 +134,7 @@ class MemoTokenizer:
         if not len(counts):
             return []
         coded = lists.flatten().dictionary_encode()
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        index = coded.indices.to_numpy(zero_copy_only=False)
         closer = pc.match_substring_regex(coded.dictionary, _CLOSER).to_numpy(zero_copy_only=False)
         begin = np.cumsum(counts) - counts
         odd = np.logical_or.reduceat(closer[index], begin)
@@ -163,13 +163,20 @@ class MemoTokenizer:
         return out
 
     def _gather(self, which: np.ndarray, counts) -> list[bytes]:
+        """Ids of each text from its pieces' numbers, a part of the texts at a time."""
         self.uses += np.bincount(which, minlength=len(self.uses))
-        sizes = self.sizes[which]
-        ends = np.cumsum(sizes)
-        take = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[which] - ends + sizes, sizes)
-        raw = memoryview(self.ids[take].astype("<u4").tobytes())
-        limits = 4 * np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        return [bytes(raw[a:b]) for a, b in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)]
+        cut, out, first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), [], 0
+        while first < len(cut) - 1:
+            last = max(first + 1, int(np.searchsorted(cut, cut[first] + 400_000, "right")) - 1)
+            part = which[cut[first] : cut[last]]
+            sizes = self.sizes[part]
+            ends = np.cumsum(sizes)
+            take = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[part] - ends + sizes, sizes)
+            raw = memoryview(self.ids[take].astype("<u4").tobytes())
+            limits = 4 * np.concatenate([[0], ends])[cut[first : last + 1] - cut[first]]
+            out += [bytes(raw[a:b]) for a, b in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)]
+            first = last
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: empty) as little-endian unsigned 32-bit integers."""
