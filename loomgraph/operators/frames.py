@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 
@@ -13,4 +14,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         # the cluster names a shared folder; only a session of one machine lacks one
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-"))
-    return df.checkpoint()
+    # a checkpoint computes its rows twice, once to write them, unless they are held meanwhile
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint()
+    finally:
+        df.unpersist()

@@ -59,7 +59,6 @@ def _kernel(nodes: DataFrame, weights: DataFrame, damping: float, iterations: in
 
 
 def _loop(nodes: DataFrame, weights: DataFrame, damping: float, iterations: int, tol: float) -> DataFrame:
-    nodes = checkpointed(nodes)
     n = nodes.count()
     totals = weights.groupBy("src").agg(F.sum("w").alias("total"))
     edges = checkpointed(weights.join(totals, "src").select("src", "dst", (damping * F.col("w") / F.col("total")).alias("part")))
@@ -79,7 +78,8 @@ def _loop(nodes: DataFrame, weights: DataFrame, damping: float, iterations: int,
 
 def page_rank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, iterations: int = 30, tol: float = 1e-6, kernel_links: int = KERNEL_LINKS) -> DataFrame:
     """nodes: node; links: src, dst.  Rows (node, rank); an empty graph has none."""
-    everyone, weights = all_nodes(nodes, links), link_weights(links)
+    # both are read several times, and may stand on long plans
+    everyone, weights = checkpointed(all_nodes(nodes, links)), checkpointed(link_weights(links))
     if everyone.isEmpty():
         return everyone.select("node", F.lit(0.0).alias("rank")).limit(0)
     size = weights.limit(kernel_links + 1).count() + everyone.limit(kernel_links + 1).count()

@@ -73,7 +73,7 @@ _MICRO = "CAST(round(rank * 1e6) AS BIGINT)"
 
 
 def _ranks(spark, sf_dir) -> DataFrame:
-    return rank.file_ranks(g.symbols(spark, sf_dir), g.edges(spark, sf_dir), iterations=ROUNDS, tol=0.0)
+    return rank.file_ranks(g.symbols(spark, sf_dir), _edges(spark, sf_dir), iterations=ROUNDS, tol=0.0)
 
 
 def _micro(ranks: DataFrame) -> DataFrame:
