@@ -84,7 +84,7 @@ def one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
 def bucket_count(docs: DataFrame) -> int:
     """So many that each has the words of a few megabytes of input."""
     most = docs.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return max(128, docs.rdd.getNumPartitions() * most >> 22)
+    return max(192, docs.rdd.getNumPartitions() * most // 2_800_000)
 
 
 def postings(docs: DataFrame, buckets: int, s: Settings) -> DataFrame:
