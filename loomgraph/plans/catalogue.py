@@ -321,7 +321,6 @@ sums AS (SELECT *, CAST(sum(cost) OVER (ORDER BY rank DESC, file, is_symbol, lin
 
 @query(_with(f"SELECT file, is_symbol, line, text, cost, total FROM sums WHERE total <= {MAP_BUDGET}", _rank_sql(_FILE_NODES, _FILE_LINKS) + _MAP))
 def map_budget(spark, sf_dir):
-    # ranks in whole parts of a trillion: ties do not hang on the order of sums
     lines = search.map_lines(g.symbols(spark, sf_dir), _ranks(spark, sf_dir))
     return search.fill_budget(lines, MAP_BUDGET).select("file", "is_symbol", "line", "text", "cost", "total")
 

@@ -57,7 +57,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("dst"))
 
 
-#: the same tables in SQL; {file} of a part key
+#: the same tables in SQL
 SQL = """
 n AS (SELECT count(*) AS n FROM part),
 symbols AS (
