@@ -22,7 +22,7 @@ from loomgraph.operators.trace import impact, trace_callees, trace_callers
 from loomgraph.sources.snapshots import CorruptIndex, Store
 from loomgraph.sources.tree import read_tree, scan_source_files
 
-INDEX = ".codegraph"
+INDEX = ".loomgraph"
 
 
 @dataclass(frozen=True)

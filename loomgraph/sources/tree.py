@@ -14,8 +14,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loomgraph.functions.text import LANGUAGES, lang_from_path
 
-#: fixed values: folders that are not searched
-SKIPPED = frozenset(".git node_modules venv .venv __pycache__ dist build vendor target .codegraph".split())
+#: fixed values: folders that are not searched; and the folder of our own index
+SKIPPED = frozenset(".git node_modules venv .venv __pycache__ dist build vendor target .codegraph".split()) | {".loomgraph"}
 
 
 def scan_source_files(root: str) -> list[str]:

@@ -101,7 +101,7 @@ def test_compat_keeps_what_is_gone(spark, tree):
 def test_corrupt_index(spark, tree):
     index = CodeIndex(spark, str(tree))
     index.reindex()
-    (tree / ".codegraph" / POINTER).write_text("no json")
+    (tree / ".loomgraph" / POINTER).write_text("no json")
     assert {r["check"]: r["status"] for r in index.doctor().collect()}["index"] == "CORRUPT"
     assert "damaged index" in tools.code_find(index, "x") and "damaged index" in tools.reindex(index)
     with pytest.raises(CorruptIndex):
