@@ -19,8 +19,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, that with the smallest doc_id."""
-    judged = stored(near_duplicates(docs), "judged")
+    """Keeps one document of each group of near copies (similarity 0.8 or more of five-word shingles),
+    that with the smallest doc_id."""
+    judged = stored(near_duplicates(docs, percent=80), "judged")
     dropped = stored(judged.filter("NOT kept").select("doc_id").distinct(), "dropped")
     kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
     if judged.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():

@@ -404,3 +404,11 @@ def test_pipeline(spark, tmp_path):
     assert left[1] == left[0] - Counter([50, 51, 80]) and left[2] == left[1] - Counter([60]) and left[3] == left[2]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "packing"] and corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_pipeline_drops_near_copies_from_80(spark):
+    words = [f"n{k}" for k in range(80)]
+    # 36 shingles of 44 (0.82), and of 46 (0.78)
+    rows = [(1, " ".join(words[:40])), (2, " ".join(words[:48])), (3, " ".join(f"m{w}" for w in words[:40])), (4, " ".join(f"m{w}" for w in words[:50]))]
+    left = corpus_pipeline.near_dedup(spark, documents(spark, rows), "").collect()
+    assert sorted(r["doc_id"] for r in left) == [1, 3, 4]
