@@ -1,17 +1,20 @@
 """Hierarchical Pitman-Yor language model, sampled by Gibbs over Chinese restaurants.
 
-Every preceding word falls into one of CONTEXTS hashed classes; each class is a restaurant of the
-words that follow it, and all of them share one parent, the restaurant of words, over a uniform
-base of the known words and one unknown.  A customer of a context restaurant that opens a table is
-a customer of the parent.  Sweeps seat anew, word by word, all customers of all cells (class,
-word) given the tables of the sweep before; the tables of each class are summed over the cluster
-after each sweep.  The probabilities of the sweeps kept are averaged.
-
-Words are dealt to buckets by hash, with all their contexts (CONTEXTS at most, so that no word
-makes a bucket large).  A part of the documents sends each bucket its words, their contexts and
-the documents they are in; frequent words send counts only, keep their places with the documents,
-and get their contexts' values back.  So all token counts cover the whole corpus, and no
-table of words is ever in one place.
+Every preceding word, known by its 64-bit hash, has a restaurant of the words that follow it, and
+all of them share one parent, the restaurant of words, over a uniform base of the known words and
+one unknown.  A customer of a context restaurant that opens a table is a customer of the parent.
+Sweeps seat anew, word by word, all customers of all cells (context, word) given the tables of the
+sweep before.  The probabilities of the sweeps kept are averaged.
+
+Words are dealt to buckets by hash, with all their contexts; words that a sample shows to be
+frequent are dealt by word and context.  A part of the documents sends each bucket its cells and
+the documents they are in; of cells with many tokens it sends counts only, keeps their places
+with the documents, and gets their values back.  Customers and tables of the contexts are a
+distributed table: after each sweep every bucket sends the sums of its contexts to their groups
+(CONTEXTS of them, by hash), and gets the totals of just its own contexts back, in a file of its
+own in the shared folder.  So all token counts cover the whole corpus, and no table of words or
+contexts is ever in one place; the driver has only the sums of the frequent words, two for each
+bucket at most.
 
 Defined results: a null or empty text is one end token; a null doc_id counts as training text;
 rows with equal doc_id are scored each by itself; without training tokens all words are unknown;
@@ -19,24 +22,28 @@ an empty table gives no rows; further columns are ignored."""
 
 from __future__ import annotations
 
+import io
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import mix, partitions, slices, stored, table, tokenised, trimmed, word_hashes
+from loomgraph.llm.common import mix, open_fs, partitions, slices, stored, table, tokenised, trimmed, word_hashes, workspace
 from loomgraph.llm.near_dedup import _groups
 
-CONTEXTS, HOT = 1024, 64
+#: groups that contexts are dealt to; tokens from which a part keeps a cell's places
+CONTEXTS, HOT = 1024, 32
 #: hashes that no word has in practice
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 DOCS = 60_000
-BLOBS = ("held", "w", "wn", "pu", "pc", "od", "hw", "hr", "hn", "hu", "ht")
+BLOBS = ("held", "w", "wn", "pu", "pc", "od", "hw", "hr", "hu", "ht")
 ROW = "kind int, bucket int, flush long, " + ", ".join(f"{b} binary" for b in BLOBS)
 PACKED = "kind int, bucket int, flush array<long>, " + ", ".join(f"{b} array<binary>" for b in BLOBS)
 
@@ -55,14 +62,18 @@ class Settings:
 
 @dataclass
 class Totals:
-    """Sums over the corpus: N tokens, V words, customers by class, discounts; and for each sweep
-    (first the start) tables by class, customers and tables of the parent."""
+    """Sums over the corpus: N tokens, V words, customers by context, discounts; and for each sweep
+    (first the start) tables by context, customers and tables of the parent.  By context: of the
+    contexts in one place; over the cluster they are in files.  Of words dealt by context: their
+    tokens, and for each sweep customers and tables at the parent."""
 
     tokens: int = 0
     words: int = 0
-    customers: np.ndarray = field(default_factory=lambda: np.zeros(CONTEXTS))
+    customers: np.ndarray = field(default_factory=lambda: np.zeros(0))
     discounts: tuple[float, float] = (0.5, 0.5)
-    sweeps: list[tuple[np.ndarray, float, float]] = field(default_factory=list)
+    sweeps: list[tuple[np.ndarray | None, float, float]] = field(default_factory=list)
+    dealt: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    dealt_sweeps: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
 
 def is_held(doc_id: int | None, s: Settings) -> bool:
@@ -87,9 +98,56 @@ def bucket_count(docs: DataFrame) -> int:
     return max(192, docs.rdd.getNumPartitions() * most // 2_800_000)
 
 
-def postings(docs: DataFrame, buckets: int, s: Settings) -> DataFrame:
+def save(path: str, **arrays: np.ndarray) -> None:
+    """Writes a file of the shared folder, whole or not at all; a task that runs again writes the same."""
+    fs, at = open_fs(path)
+    raw = io.BytesIO()
+    np.savez(raw, **arrays)
+    fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    temp = f"{at}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(temp) as f:
+        f.write(len(raw.getvalue()).to_bytes(8, "little") + pa.compress(raw.getvalue(), "zstd", asbytes=True))
+    if fs.get_file_info(at).type == pafs.FileType.NotFound:
+        fs.move(temp, at)
+    else:
+        fs.delete_file(temp)
+
+
+def load(path: str) -> dict[str, np.ndarray]:
+    fs, at = open_fs(path)
+    with fs.open_input_stream(at) as f:
+        data = f.read()
+    with np.load(io.BytesIO(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True))) as got:
+        return dict(got)
+
+
+def frequent_words(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Sorted hashes of words that have more than half of a bucket's share of the tokens in a sample.
+    They decide where cells are, not what is learnt."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in trimmed(batches):
+            some = next(slices(batch, "text", 200_000), None)
+            if some is None:
+                continue
+            _, _, words, index = tokenised(some.column("text"))
+            counts = np.append(np.bincount(index, minlength=len(words)), some.num_rows)
+            often = np.flatnonzero((counts > 1) & (counts * 8 * buckets > counts.sum()))
+            hashes = np.append(word_hashes(words), END).view(np.int64)[often]
+            yield pa.RecordBatch.from_arrays([pa.array([None, *hashes.tolist()], pa.int64()), pa.array([counts.sum(), *counts[often]], pa.int64())], ["h", "n"])
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(work, "h long, n long")
+    counts = stored(rows.groupBy("h").agg(F.sum("n").alias("n")), "frequent")
+    total = counts.filter("h IS NULL").first()
+    if total is None:
+        return np.zeros(0, np.uint64)
+    found = counts.filter(F.col("h").isNotNull() & (F.col("n") * 2 * buckets > total["n"])).select("h").collect()
+    return np.sort(np.array([r["h"] for r in found], np.int64).view(np.uint64))
+
+
+def postings(docs: DataFrame, buckets: int, s: Settings, frequent: np.ndarray) -> DataFrame:
     """Rows of kind 0: what a part of the documents has for a bucket; of kind 1: its documents, and
-    the places of its frequent words."""
+    the places of its cells with many tokens."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flush = TaskContext.get().partitionId() << 32
@@ -104,48 +162,46 @@ def postings(docs: DataFrame, buckets: int, s: Settings) -> DataFrame:
         _, lengths, words, index = tokenised(batch.column("text"))
         n = len(ids)
         held = np.array([is_held(i, s) for i in ids])
-        hashes = np.append(word_hashes(words), END)
+        hashes = np.concatenate([word_hashes(words), [END, START]])
         word = np.full(len(index) + n, len(words))
         word[np.arange(len(index)) + np.repeat(np.arange(n), lengths)] = index
         doc = np.repeat(np.arange(n), lengths + 1)
-        before = np.concatenate([[START], hashes[word[:-1]]])
-        before[np.cumsum(lengths + 1)[:-1]] = START
-        context = (mix(before, 5) % np.uint64(CONTEXTS)).astype(np.int64)
-        bucket = (mix(hashes, 9) % np.uint64(buckets)).astype(np.int64)
-        counts = np.bincount(word, minlength=len(hashes))
-        hot = np.flatnonzero(counts * HOT > len(word))
-        rank_of_hot = np.full(len(hashes), -1)
-        rank_of_hot[hot] = np.arange(len(hot))
-        # frequent words: places stay here
-        is_hot = rank_of_hot[word] >= 0
-        place = rank_of_hot[word[is_hot]] * CONTEXTS + context[is_hot]
+        before = np.concatenate([[len(words) + 1], word[:-1]])
+        before[np.cumsum(lengths + 1)[:-1]] = len(words) + 1
+        cells, cell, counts = np.unique(word * len(hashes) + before, return_inverse=True, return_counts=True)
+        of, context = cells // len(hashes), hashes[cells % len(hashes)]
+        own = mix(hashes[of], 9)
+        bucket = (np.where(np.isin(hashes, frequent)[of], mix(own ^ mix(context, 5), 9), own) % np.uint64(buckets)).astype(np.int64)
+        # cells with many tokens: places stay here
+        is_hot = counts * 50_000 >= max(len(word), HOT * 50_000)
+        hot = np.flatnonzero(is_hot)
+        rank = np.zeros(len(cells), np.int64)
+        rank[hot] = np.arange(len(hot))
+        at_hot = is_hot[cell]
+        place = rank[cell[at_hot]]
         null = np.array([i is None for i in ids])
-        yield _record(ROW, {"kind": 1, "bucket": buckets + flush % buckets, "flush": flush, "held": np.packbits(held).tobytes(), "w": np.array([i or 0 for i in ids], "<i8").tobytes(), "wn": np.bincount(doc[is_hot], minlength=n).astype("<u4").tobytes(), "pu": place.astype("<u2").tobytes(), "pc": (lengths + 1).astype("<u4").tobytes(), "od": np.packbits(null).tobytes()})
-        hot_cells, hot_train = np.unique(place, return_inverse=True)
-        hot_train = np.bincount(hot_train, ~held[doc[is_hot]], minlength=len(hot_cells)).astype(np.int64)
-        hot_word = hot[hot_cells // CONTEXTS]
+        yield _record(ROW, {"kind": 1, "bucket": buckets + flush % buckets, "flush": flush, "held": np.packbits(held).tobytes(), "w": np.array([i or 0 for i in ids], "<i8").tobytes(), "wn": np.bincount(doc[at_hot], minlength=n).astype("<u4").tobytes(), "pu": place.astype("<u2").tobytes(), "pc": (lengths + 1).astype("<u4").tobytes(), "od": np.packbits(null).tobytes()})
+        hot_train = np.bincount(place, ~held[doc[at_hot]], minlength=len(hot)).astype(np.int64)
+        by = np.argsort(bucket[hot], kind="stable")
+        hot, hot_rank, hot_train = hot[by], by, hot_train[by]
         # the others: sorted by bucket, word and context
-        order = np.lexsort((hashes, bucket))
-        order = order[(counts[order] > 0) & (rank_of_hot[order] < 0)]
-        rank = np.zeros(len(hashes), np.int64)
+        order = np.flatnonzero(~is_hot)
+        order = order[np.argsort(bucket[order], kind="stable")]
         rank[order] = np.arange(len(order))
-        key = rank[word[~is_hot]] * CONTEXTS + context[~is_hot]
-        by = np.argsort(key, kind="stable")
-        key, where = key[by], doc[~is_hot][by]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        cell, size = key[first], np.diff(np.append(first, len(key)))
-        cells_of_word = np.bincount(cell // CONTEXTS, minlength=len(order))
-        word_cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        cell_cut = np.concatenate([[0], np.cumsum(cells_of_word)])[word_cut]
+        key, where = rank[cell[~at_hot]], doc[~at_hot]
+        where = where[np.argsort(key, kind="stable")]
+        size, in_bucket, of_cell = counts[order], bucket[order], of[order]
+        first = np.flatnonzero(np.diff(in_bucket, prepend=-1).astype(bool) | np.diff(of_cell, prepend=-1).astype(bool))
+        cells_of_word = np.diff(np.append(first, len(order)))
+        every = np.arange(buckets + 1)
+        word_cut, cell_cut, hot_cut = np.searchsorted(in_bucket[first], every), np.searchsorted(in_bucket, every), np.searchsorted(bucket[hot], every)
         token_cut = np.concatenate([[0], np.cumsum(size)])[cell_cut]
         bits = np.packbits(held).tobytes()
         for b in range(buckets):
-            mine = np.flatnonzero(bucket[hot_word] == b) if len(hot) else np.zeros(0, np.int64)
-            if word_cut[b] == word_cut[b + 1] and not len(mine):
+            if word_cut[b] == word_cut[b + 1] and hot_cut[b] == hot_cut[b + 1]:
                 continue
-            ranks, sizes = np.unique(hot_cells[mine] // CONTEXTS, return_counts=True)
-            v, c, t = slice(word_cut[b], word_cut[b + 1]), slice(cell_cut[b], cell_cut[b + 1]), slice(token_cut[b], token_cut[b + 1])
-            yield _record(ROW, {"kind": 0, "bucket": b, "flush": flush, "held": bits, "w": hashes[order[v]].tobytes(), "wn": cells_of_word[v].astype("<u2").tobytes(), "pu": (cell[c] % CONTEXTS).astype("<u2").tobytes(), "pc": size[c].astype("<u4").tobytes(), "od": where[t].astype("<u2").tobytes(), "hw": hashes[hot[ranks]].tobytes(), "hr": ranks.astype("<u1").tobytes(), "hn": sizes.astype("<u2").tobytes(), "hu": (hot_cells[mine] % CONTEXTS).astype("<u2").tobytes(), "ht": hot_train[mine].astype("<u4").tobytes()})
+            v, c, t, h = (slice(x[b], x[b + 1]) for x in (word_cut, cell_cut, token_cut, hot_cut))
+            yield _record(ROW, {"kind": 0, "bucket": b, "flush": flush, "held": bits, "w": hashes[of_cell[first[v]]].tobytes(), "wn": cells_of_word[v].astype("<u4").tobytes(), "pu": context[order[c]].tobytes(), "pc": size[c].astype("<u4").tobytes(), "od": where[t].astype("<u2").tobytes(), "hw": hashes[of[hot[h]]].tobytes(), "hr": hot_rank[h].astype("<u2").tobytes(), "hu": context[hot[h]].tobytes(), "ht": hot_train[h].astype("<u4").tobytes()})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(work, ROW)
@@ -164,30 +220,37 @@ def gathered(rows: DataFrame) -> DataFrame:
 
 
 class Bucket:
-    """The cells of a bucket, put together: words by hash, cells by word and context."""
+    """The cells of a bucket, put together: words by hash, contexts by group and hash, cells by word
+    and context.  dealt: those of its words that other buckets have too, and their places among these."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, frequent: np.ndarray):
         get = lambda name, kind: [np.frombuffer(b, kind) for b in row[name]]
         self.flush = row["flush"]
-        w, wn, pu, self.pc = get("w", "<u8"), get("wn", "<u2"), get("pu", "<u2"), get("pc", "<u4")
+        w, wn, pu, self.pc = get("w", "<u8"), get("wn", "<u4"), get("pu", "<u8"), get("pc", "<u4")
         self.od = get("od", "<u2")
-        hw, self.hr, hn, self.hu = get("hw", "<u8"), get("hr", "<u1"), get("hn", "<u2"), get("hu", "<u2")
+        hw, self.hot_ranks, hu = get("hw", "<u8"), get("hr", "<u2"), get("hu", "<u8")
         held = [np.unpackbits(np.frombuffer(b, np.uint8)) for b in row["held"]]
         self.words, at = np.unique(np.concatenate([*w, *hw]), return_inverse=True)
-        size = np.concatenate([*wn, *hn])
-        key = np.repeat(at, size) * CONTEXTS + np.concatenate([*pu, *self.hu])
-        cells, self.cell = np.unique(key, return_inverse=True)
-        self.word, self.context = cells // CONTEXTS, cells % CONTEXTS
+        at = np.repeat(at, np.concatenate([*wn, np.ones(sum(map(len, hw)), np.int64)]))
+        contexts, context = np.unique(np.concatenate([*pu, *hu]), return_inverse=True)
+        group = (mix(contexts, 7) % np.uint64(CONTEXTS)).astype(np.int64)
+        by = np.argsort(group, kind="stable")
+        self.contexts, self.group_sizes = contexts[by], np.bincount(group, minlength=CONTEXTS)
+        to = np.empty(len(by), np.int64)
+        to[by] = np.arange(len(by))
+        cells, self.cell = np.unique(at * len(contexts) + to[context], return_inverse=True)
+        self.word, self.context = cells // len(contexts), cells % len(contexts)
         count = np.concatenate(self.pc).astype(np.int64)
         taught = np.concatenate([1 - h[o].astype(np.int64) for h, o in zip(held, self.od, strict=True)])
         ends = np.concatenate([[0], np.cumsum(taught)])[np.concatenate([[0], np.cumsum(count)])]
         train = np.concatenate([np.diff(ends), *get("ht", "<u4")])
         self.count = np.bincount(self.cell, train, minlength=len(cells)).astype(np.int64)
         cold = np.cumsum([0, *map(len, pu)])
-        hot = cold[-1] + np.cumsum([0, *map(len, self.hu)])
+        hot = cold[-1] + np.cumsum([0, *map(len, hu)])
         self.cold = [self.cell[a:b] for a, b in zip(cold[:-1], cold[1:], strict=True)]
         self.hot = [self.cell[a:b] for a, b in zip(hot[:-1], hot[1:], strict=True)]
-        self.hot_ranks = [np.repeat(r, n) for r, n in zip(self.hr, hn, strict=True)]
+        here = np.flatnonzero(np.isin(self.words, frequent))
+        self.dealt = here, np.searchsorted(frequent, self.words[here])
 
 
 def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -208,20 +271,36 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.ran
     return tables
 
 
-def sweeps(bucket: int, word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, totals: Totals, s: Settings):
-    """Yields for the start (every cell one table) and each sweep whose predecessor's totals are known:
-    (tables of the cells, customers and tables of the words at the parent)."""
+def seat_anew(bucket: int, k: int, word, context, count, customers, roots, totals: Totals, s: Settings):
+    """Tables, customers and tables at the parent after sweep k, from those of the sweep before."""
     d1, d0 = totals.discounts
+    by_context, all_customers, all_roots = totals.sweeps[k]
+    rng = np.random.default_rng([s.seed, bucket, k])
+    parent = word_probability(customers, roots, all_customers, all_roots, d0, totals.words, s)
+    tables = seat(count, (s.strength + d1 * by_context[context]) * parent[word], d1, rng)
+    customers = np.bincount(word, tables, minlength=len(customers)).astype(np.int64)
+    return tables, customers, root_tables(customers, all_roots, totals, s, rng)
+
+
+def root_tables(customers: np.ndarray, all_roots: float, totals: Totals, s: Settings, rng: np.random.Generator) -> np.ndarray:
+    d0 = totals.discounts[1]
+    return seat(customers, np.full(len(customers), (s.strength + d0 * all_roots) / (totals.words + 1)), d0, rng)
+
+
+def started(word: np.ndarray, count: np.ndarray, n_words: int):
+    """Every cell one table."""
     tables = np.minimum(count, 1)
     customers = np.bincount(word, tables, minlength=n_words).astype(np.int64)
-    roots = np.minimum(customers, 1)
+    return tables, customers, np.minimum(customers, 1)
+
+
+def sweeps(bucket: int, word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, totals: Totals, s: Settings):
+    """With all cells in one place: yields for the start and each sweep whose predecessor's totals are
+    known (tables of the cells, customers and tables of the words at the parent)."""
+    tables, customers, roots = started(word, count, n_words)
     yield tables, customers, roots
-    for k, (by_class, all_customers, all_roots) in enumerate(totals.sweeps):
-        rng = np.random.default_rng([s.seed, bucket, k])
-        parent = word_probability(customers, roots, all_customers, all_roots, d0, totals.words, s)
-        tables = seat(count, (s.strength + d1 * by_class[context]) * parent[word], d1, rng)
-        customers = np.bincount(word, tables, minlength=n_words).astype(np.int64)
-        roots = seat(customers, np.full(n_words, (s.strength + d0 * all_roots) / (totals.words + 1)), d0, rng)
+    for k in range(len(totals.sweeps)):
+        tables, customers, roots = seat_anew(bucket, k, word, context, count, customers, roots, totals, s)
         yield tables, customers, roots
 
 
@@ -229,101 +308,179 @@ def word_probability(customers, roots, all_customers, all_roots, discount, words
     return (customers - discount * roots + (s.strength + discount * all_roots) / (words + 1)) / (s.strength + all_customers)
 
 
-CELLS = "bucket int, n_words int, word binary, context binary, count binary"
+SENT = "grp int, bucket int, hashes binary, value binary"
 
 
-def cells_of(buckets: DataFrame) -> DataFrame:
-    """Stored cells with training tokens, by bucket."""
+def _dealt(bucket: int, sizes: np.ndarray, hashes: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    """A bucket's values by context, as one row for each group it has contexts of."""
+    groups = np.flatnonzero(sizes)
+    ends = np.concatenate([[0], np.cumsum(sizes[groups])])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in trimmed(batches):
-            for row in one_by_one(batch):
-                b = Bucket(row)
-                k = b.count > 0
-                yield _record(CELLS, {"bucket": row["bucket"], "n_words": len(b.words), "word": np.diff(b.word[k], prepend=0).astype("<u4").tobytes(), "context": b.context[k].astype("<u2").tobytes(), "count": b.count[k].astype("<u4").tobytes()})
+    def blobs(x: np.ndarray) -> pa.Array:
+        ends_of = (ends * (x.itemsize if len(x) else 0)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(groups), [None, pa.py_buffer(ends_of), pa.py_buffer(x.tobytes())])
 
-    return stored(buckets.filter("kind = 0").mapInArrow(work, CELLS), "cells")
+    return pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(np.full(len(groups), bucket), pa.int32()), blobs(hashes), blobs(value.astype("<u4"))], ["grp", "bucket", "hashes", "value"])
 
 
-def _cells(row: dict):
-    word = np.cumsum(np.frombuffer(row["word"], "<u4").astype(np.int64))
-    return word, np.frombuffer(row["context"], "<u2").astype(np.int64), np.frombuffer(row["count"], "<u4").astype(np.int64)
+def exchange(rows: DataFrame, folder: str, name: str) -> None:
+    """rows: SENT.  Sums values by context over all buckets; each bucket's file has the sums of its
+    contexts, in their order.  Hashes are sent the first time only: groups keep what they found."""
 
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, "grp"):
+            group, value = t.column("grp")[0].as_py(), [np.frombuffer(v, "<u4") for v in t.column("value").to_pylist()]
+            hashes = np.frombuffer(b"".join(t.column("hashes").to_pylist()), "<u8")
+            if len(hashes):
+                place = np.unique(hashes, return_inverse=True)[1]
+                save(f"{folder}/group-{group}", place=place.astype("<u4"))
+            else:
+                place = load(f"{folder}/group-{group}")["place"]
+            sums = np.bincount(place, np.concatenate(value))[place].astype("<i8").tobytes()
+            ends = (8 * np.cumsum([0, *map(len, value)])).tolist()
+            blobs = pa.array([sums[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([t.column("grp").combine_chunks(), t.column("bucket").combine_chunks(), blobs], ["grp", "bucket", "value"])
 
-def summed(cells: DataFrame, measure) -> dict[tuple[str, int], float]:
-    """Sums over all buckets of what measure(row) gives as {name: array}; few names, and arrays of
-    CONTEXTS values at most, so the driver gets a bounded number of rows."""
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, "bucket"):
+            bucket = t.column("bucket")[0].as_py()
+            save(f"{folder}/{name}-{bucket}", value=np.frombuffer(b"".join(t.column("value").to_pylist()), "<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32())], ["bucket"])
+
+    n = partitions(rows.sparkSession)
+    sums = rows.repartition(n, "grp").sortWithinPartitions("grp", "bucket").mapInArrow(total, "grp int, bucket int, value binary")
+    sums.repartition(n, "bucket").sortWithinPartitions("bucket", "grp").mapInArrow(back, "bucket int").count()
+
+
+def summed(rows: DataFrame, measure) -> dict[str, dict[int, float]]:
+    """rows: bucket.  Sums over all buckets of what measure(bucket) gives as {name: (places,
+    values)}; few names and places, so the driver gets a bounded number of rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
-            for row in one_by_one(batch):
-                for name, values in measure(row).items():
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(values)), pa.array(np.arange(len(values))), pa.array(np.asarray(values, np.float64))], ["name", "at", "value"])
+            for bucket in batch.column("bucket").to_pylist():
+                for name, (at, values) in measure(bucket).items():
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(np.asarray(at, np.int64)), pa.array(np.asarray(values, np.float64))], ["name", "at", "value"])
+
+    out: dict[str, dict[int, float]] = {}
+    for r in rows.mapInArrow(work, "name string, at long, value double").groupBy("name", "at").agg(F.sum("value").alias("value")).collect():
+        out.setdefault(r["name"], {})[r["at"]] = r["value"]
+    return out
 
-    rows = cells.mapInArrow(work, "name string, at long, value double").groupBy("name", "at").agg(F.sum("value").alias("value"))
-    return {(r["name"], r["at"]): r["value"] for r in rows.collect()}
 
+def _array(sums: dict[int, float], n: int) -> np.ndarray:
+    return np.array([sums.get(i, 0.0) for i in range(n)])
 
-def learn(cells: DataFrame, s: Settings) -> Totals:
-    def first(row: dict):
-        word, context, count = _cells(row)
-        by_word = np.bincount(word, count, minlength=row["n_words"])
-        ones = [(count == 1).sum(), (count == 2).sum(), (by_word == 1).sum(), (by_word == 2).sum()]
-        return {"sums": [count.sum(), (by_word > 0).sum(), *ones], "customers": np.bincount(context, count, minlength=CONTEXTS)}
 
-    got = summed(cells, first)
-    sums = [got.get(("sums", i), 0.0) for i in range(6)]
+def learn(buckets: DataFrame, folder: str, frequent: np.ndarray, s: Settings) -> Totals:
+    """Leaves in the folder, by bucket: its cells, its contexts' customers, and for the start and each
+    sweep its state and its contexts' tables."""
+    n = len(frequent)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in trimmed(batches):
+            for row in one_by_one(batch):
+                b = Bucket(row, frequent)
+                k = b.count > 0
+                word, context, count = b.word[k], b.context[k], b.count[k]
+                save(f"{folder}/cells-{row['bucket']}", n_words=len(b.words), word=np.diff(word, prepend=0).astype("<u4"), context=context.astype("<u4"), count=count.astype("<u4"), sizes=b.group_sizes.astype("<u4"), here=b.dealt[0], place=b.dealt[1])
+                yield _dealt(row["bucket"], b.group_sizes, b.contexts, np.bincount(context, count, minlength=len(b.contexts)))
+
+    def cells_in(bucket: int):
+        c = load(f"{folder}/cells-{bucket}")
+        return c | {"n_words": int(c["n_words"]), "word": np.cumsum(c["word"].astype(np.int64)), "context": c["context"].astype(np.int64), "count": c["count"].astype(np.int64)}
+
+    exchange(buckets.filter("kind = 0").mapInArrow(cells, SENT), folder, "customers")
+    rows = buckets.filter("kind = 0").select("bucket")
+
+    def first(bucket: int) -> dict:
+        c = cells_in(bucket)
+        by_word = np.bincount(c["word"], c["count"], minlength=c["n_words"])
+        dealt = by_word[c["here"]]
+        by_word[c["here"]] = 0
+        ones = [(c["count"] == 1).sum(), (c["count"] == 2).sum(), (by_word == 1).sum(), (by_word == 2).sum()]
+        return {"sums": (range(6), [c["count"].sum(), (by_word > 0).sum(), *ones]), "dealt": (c["place"], dealt)}
+
+    got = summed(rows, first)
+    sums, dealt = _array(got.get("sums", {}), 6), _array(got.get("dealt", {}), n)
+    sums += [0, (dealt > 0).sum(), 0, 0, (dealt == 1).sum(), (dealt == 2).sum()]
     kept = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b) if a + b else 0.5))
-    totals = Totals(int(sums[0]), int(sums[1]), np.array([got.get(("customers", i), 0.0) for i in range(CONTEXTS)]), (kept(*sums[2:4]), kept(*sums[4:6])))
-    for _ in range(s.sweeps + 1):
-
-        def tables(row: dict, totals=totals):
-            word, context, count = _cells(row)
-            for t, customers, roots in sweeps(row["bucket"], word, context, count, row["n_words"], totals, s):
-                last = {"parent": [customers.sum(), roots.sum()], "tables": np.bincount(context, t, minlength=CONTEXTS)}
-            return last
-
-        got = summed(cells, tables)
-        by_class = np.array([got.get(("tables", i), 0.0) for i in range(CONTEXTS)])
-        totals.sweeps.append((by_class, got.get(("parent", 0), 0.0), got.get(("parent", 1), 0.0)))
+    totals = Totals(int(sums[0]), int(sums[1]), discounts=(kept(*sums[2:4]), kept(*sums[4:6])), dealt=dealt)
+    for k in range(s.sweeps + 1):
+
+        def seated(batches: Iterator[pa.RecordBatch], k=k) -> Iterator[pa.RecordBatch]:
+            for batch in trimmed(batches):
+                for bucket in batch.column("bucket").to_pylist():
+                    c = cells_in(bucket)
+                    if k == 0:
+                        tables, customers, roots = started(c["word"], c["count"], c["n_words"])
+                    else:
+                        _, customers, roots, by_context = state_of(folder, bucket, k - 1, c["here"], c["place"], totals)
+                        past = Totals(totals.tokens, totals.words, discounts=totals.discounts, sweeps=[*totals.sweeps[: k - 1], (by_context, *totals.sweeps[k - 1][1:])])
+                        tables, customers, roots = seat_anew(bucket, k - 1, c["word"], c["context"], c["count"], customers, roots, past, s)
+                    roots[c["here"]] = 0  # seated by the driver, who knows all their customers
+                    save(f"{folder}/state{k}-{bucket}", tables=tables.astype("<u4"), customers=customers.astype("<u4"), roots=roots.astype("<u4"), here=c["here"], place=c["place"])
+                    yield _dealt(bucket, c["sizes"], np.zeros(0, "<u8"), np.bincount(c["context"], tables, minlength=int(c["sizes"].sum())))
+
+        def parent(bucket: int, k=k) -> dict:
+            state = load(f"{folder}/state{k}-{bucket}")
+            return {"parent": (range(2), [state["customers"].sum(), state["roots"].sum()]), "dealt": (state["place"], state["customers"][state["here"]])}
+
+        exchange(rows.mapInArrow(seated, SENT), folder, f"tables{k}")
+        got = summed(rows, parent)
+        customers = _array(got.get("dealt", {}), n).astype(np.int64)
+        if k == 0:
+            roots = np.minimum(customers, 1)
+        else:
+            roots = root_tables(customers, totals.sweeps[-1][2], totals, s, np.random.default_rng([s.seed, 1 << 40, k]))
+        both = _array(got.get("parent", {}), 2)
+        totals.sweeps.append((None, both[0], both[1] + roots.sum()))
+        totals.dealt_sweeps.append((customers, roots))
     return totals
 
 
+def state_of(folder: str, bucket: int, k: int, here: np.ndarray, place: np.ndarray, totals: Totals):
+    """Tables of the cells, customers and tables of the words, and all tables of the contexts."""
+    state = {name: x.astype(np.int64) for name, x in load(f"{folder}/state{k}-{bucket}").items()}
+    state["customers"][here], state["roots"][here] = (x[place] for x in totals.dealt_sweeps[k])
+    return state["tables"], state["customers"], state["roots"], load(f"{folder}/tables{k}-{bucket}")["value"]
+
+
 PARTIAL = "kind int, flush long, doc binary, known binary, base binary, score binary"
 
 
-def scored(buckets: DataFrame, totals: Totals, s: Settings) -> DataFrame:
+def scored(buckets: DataFrame, folder: str, frequent: np.ndarray, totals: Totals, s: Settings) -> DataFrame:
     """For each bucket and part of the documents: sums by document (kind 0), and the values of the
-    cells of frequent words (kind 2)."""
+    cells with many tokens (kind 2)."""
     d1, d0 = totals.discounts
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
             for row in one_by_one(batch):
-                b = Bucket(row)
+                b = Bucket(row, frequent)
                 k = b.count > 0
-                past = Totals(totals.tokens, totals.words, totals.customers, totals.discounts, totals.sweeps[:-1])
+                all_of_context = load(f"{folder}/customers-{row['bucket']}")["value"][b.context]
                 mean, used = np.zeros(len(b.count)), 0
-                for i, (t, customers, roots) in enumerate(sweeps(row["bucket"], b.word[k], b.context[k], b.count[k], len(b.words), past, s)):
-                    if i <= s.sweeps - s.keep:
-                        continue
-                    by_class, all_customers, all_roots = totals.sweeps[i]
+                for i in range(max(0, s.sweeps - s.keep + 1), s.sweeps + 1):
+                    t, customers, roots, by_context = state_of(folder, row["bucket"], i, *b.dealt, totals)
+                    _, all_customers, all_roots = totals.sweeps[i]
                     parent = word_probability(customers, roots, all_customers, all_roots, d0, totals.words, s)[b.word]
                     tables = np.zeros(len(b.count))
                     tables[k] = t
-                    mean += (b.count - d1 * tables + (s.strength + d1 * by_class[b.context]) * parent) / (s.strength + totals.customers[b.context])
+                    mean += (b.count - d1 * tables + (s.strength + d1 * by_context[b.context]) * parent) / (s.strength + all_of_context)
                     used += 1
                 score = np.log10(mean / used)
                 by_word = np.bincount(b.word, b.count, minlength=len(b.words))
+                by_word[b.dealt[0]] = totals.dealt[b.dealt[1]]
                 base, known = np.log10((by_word + 1) / (totals.tokens + totals.words + 1))[b.word], (by_word > 0)[b.word]
-                for flush, pc, od, cell, hot, ranks, hu in zip(b.flush, b.pc, b.od, b.cold, b.hot, b.hot_ranks, b.hu, strict=True):
+                for flush, pc, od, cell, hot, ranks in zip(b.flush, b.pc, b.od, b.cold, b.hot, b.hot_ranks, strict=True):
                     if len(od):
                         of = np.repeat(cell, pc)
                         doc = np.flatnonzero(np.bincount(od))
                         sums = [np.bincount(od, x[of])[doc] for x in (known, base, score)]
                         yield _record(PARTIAL, {"kind": 0, "flush": flush, "doc": doc.astype("<u2").tobytes(), "known": sums[0].astype("<u4").tobytes(), "base": sums[1].tobytes(), "score": sums[2].tobytes()})
                     if len(hot):
-                        yield _record(PARTIAL, {"kind": 2, "flush": flush, "doc": (ranks.astype(np.int64) * CONTEXTS + hu).astype("<u2").tobytes(), "known": known[hot].astype("<u4").tobytes(), "base": base[hot].tobytes(), "score": score[hot].tobytes()})
+                        yield _record(PARTIAL, {"kind": 2, "flush": flush, "doc": ranks.tobytes(), "known": known[hot].astype("<u4").tobytes(), "base": base[hot].tobytes(), "score": score[hot].tobytes()})
 
     return buckets.filter("kind = 0").mapInArrow(work, PARTIAL)
 
@@ -334,8 +491,10 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score_documents(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     """docs: doc_id, text.  Learns from the documents not held out and scores all."""
     s = s or Settings()
-    buckets = gathered(postings(docs, bucket_count(docs), s))
-    totals = learn(cells_of(buckets), s)
+    n_buckets, folder = bucket_count(docs), workspace(docs.sparkSession, "restaurants")
+    frequent = frequent_words(docs, n_buckets)
+    buckets = gathered(postings(docs, n_buckets, s, frequent))
+    totals = learn(buckets, folder, frequent, s)
     n = partitions(docs.sparkSession)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,24 +509,24 @@ def score_documents(docs: DataFrame, s: Settings | None = None) -> DataFrame:
             main = next(r for r in rows if r["kind"] == 1)
             m = len(main["doc"]) // 16
             ids = np.frombuffer(main["doc"][: 8 * m], "<i8")
-            frequent, tokens = np.frombuffer(main["doc"][8 * m :], "<u4").reshape(2, m)
+            kept, tokens = np.frombuffer(main["doc"][8 * m :], "<u4").reshape(2, m)
             held, null = (np.unpackbits(np.frombuffer(main[c], np.uint8))[:m].astype(bool) for c in ("known", "base"))
             sums = np.zeros((3, m))
-            values = np.zeros((3, HOT * CONTEXTS))
+            place = np.frombuffer(main["score"], "<u2")
+            values = np.zeros((3, int(place.max()) + 1 if len(place) else 0))
             for r in rows:
                 if r["kind"] == 1:
                     continue
                 at = np.frombuffer(r["doc"], "<u2").astype(np.int64)
                 got = np.frombuffer(r["known"], "<u4"), np.frombuffer(r["base"], "<f8"), np.frombuffer(r["score"], "<f8")
                 (sums if r["kind"] == 0 else values)[:, at] += np.array(got)
-            doc = np.repeat(np.arange(m), frequent)
-            place = np.frombuffer(main["score"], "<u2")
+            doc = np.repeat(np.arange(m), kept)
             for j in range(3):
                 sums[j] += np.bincount(doc, values[j][place], minlength=m)
             cols = [pa.array(ids, pa.int64(), mask=null), pa.array(held), pa.array(tokens.astype(np.int64)), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(np.full(m, totals.tokens)), pa.array(sums[1]), pa.array(sums[2])]
             yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in RESULT.split(", ")])
 
-    parts = scored(buckets, totals, s).unionByName(buckets.filter("kind = 1").mapInArrow(own, PARTIAL))
+    parts = scored(buckets, folder, frequent, totals, s).unionByName(buckets.filter("kind = 1").mapInArrow(own, PARTIAL))
     return parts.repartition(n, "flush").sortWithinPartitions("flush", "kind").mapInArrow(together, RESULT)
 
 

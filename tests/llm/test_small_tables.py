@@ -412,3 +412,63 @@ def test_pipeline_drops_near_copies_from_80(spark):
     rows = [(1, " ".join(words[:40])), (2, " ".join(words[:48])), (3, " ".join(f"m{w}" for w in words[:40])), (4, " ".join(f"m{w}" for w in words[:50]))]
     left = corpus_pipeline.near_dedup(spark, documents(spark, rows), "").collect()
     assert sorted(r["doc_id"] for r in left) == [1, 3, 4]
+
+
+def brute_language_model(rows, held, s, sweeps=30, burn=10):
+    """Customer by customer, in one place; log10 probability by row."""
+    r = np.random.default_rng(5)
+    sequences = [["<s>", *t.split(), "</s>"] for _, t in rows]
+    cells = Counter(p for (i, _), q in zip(rows, sequences, strict=True) if not held(i) for p in zip(q[:-1], q[1:], strict=True))
+    by_context, words = Counter(), Counter()
+    for (u, w), n in cells.items():
+        by_context[u] += n
+        words[w] += n
+    ratio = lambda c: min(0.95, max(0.05, c[1] / (c[1] + 2 * c[2]) if c[1] + c[2] else 0.5))
+    d1, d0 = ratio(Counter(cells.values())), ratio(Counter(words.values()))
+    tables, roots = dict.fromkeys(cells, 1), dict.fromkeys(words, 1)
+    out = np.zeros(len(rows))
+    for k in range(sweeps):
+        below, parent = Counter(), Counter()
+        for (u, w), n in tables.items():
+            below[u] += n
+            parent[w] += n
+        total, all_roots = sum(parent.values()), sum(roots.values())
+        base = (s.strength + d0 * all_roots) / (len(words) + 1)
+        p = {w: (parent[w] - d0 * roots[w] + base) / (s.strength + total) for w in words}
+        unknown = base / (s.strength + total)
+        if k >= burn:
+            prob = lambda u, w: (cells[u, w] - d1 * tables.get((u, w), 0) + (s.strength + d1 * below[u]) * p.get(w, unknown)) / (s.strength + by_context[u])  # noqa: B023, E731
+            out += [sum(np.log10(prob(u, w)) for u, w in zip(q[:-1], q[1:], strict=True)) / (sweeps - burn) for q in sequences]
+        for (u, w), n in cells.items():
+            t, weight = 1, (s.strength + d1 * below[u]) * p[w]
+            for i in range(1, n):
+                t += r.random() < weight / (i - d1 * t + weight)
+            tables[u, w] = t
+        parent = Counter()
+        for (_, w), n in tables.items():
+            parent[w] += n
+        for w, n in parent.items():
+            t = 1
+            for i in range(1, n):
+                t += r.random() < base / (i - d0 * t + base)
+            roots[w] = t
+    return out
+
+
+@pytest.mark.parametrize("frequent", [True, False])
+def test_each_word_is_a_context_of_its_own(spark, monkeypatch, frequent):
+    # 6,000 words each of which tells the next: folded into 1,024 classes, they tell little
+    r = np.random.default_rng(3)
+    rows = [(i, " ".join(f"a{k} b{k} the" for k in r.integers(0, 3000, 25))) for i in range(900)]
+    if not frequent:
+        monkeypatch.setattr(language_model, "frequent_words", lambda *_: np.zeros(0, np.uint64))
+    else:
+        assert len(language_model.frequent_words(documents(spark, rows), 192)) > 0
+    s = language_model.Settings()
+    got = {x["doc_id"]: x["score"] for x in language_model.score_documents(documents(spark, rows).repartition(3), s).collect()}
+    want = brute_language_model(rows, lambda i: language_model.is_held(i, s), s)
+    held = [i for i, _ in rows if language_model.is_held(i, s)]
+    a, b = sum(got[i] for i in held), sum(want[i] for i in held)
+    print("held-out log10 probability", a, "brute force", b)
+    assert len(held) > 80 and abs(a - b) < 0.01 * abs(b)
+    assert max(abs(got[i] - want[i]) / abs(want[i]) for i, _ in rows) < 0.03
