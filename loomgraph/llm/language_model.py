@@ -255,16 +255,19 @@ class Bucket:
 
 def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables after seating each cell's customers: the next opens one with a chance of
-    weight / (seated - discount * tables + weight).  Exact for the first 32; then a fifth more at
-    a time, by binomial draws."""
+    weight / (seated - discount * tables + weight).  Exact for the first 500; then a fiftieth
+    more at a time, by binomial draws at the chance in the middle of the step."""
     tables = np.minimum(customers, 1)
     some = np.flatnonzero(customers > 1)
     some = some[np.argsort(-customers[some], kind="stable")]
     c, a, t, i = customers[some], weight[some], np.ones(len(some), np.int64), 1
     while len(c) and i < c[0]:
         n = int(np.searchsorted(-c, -i, "left"))
-        step = 1 if i < 32 else i // 5
+        step = 1 if i < 500 else i // 50
         p = np.clip(a[:n] / (i - discount * t[:n] + a[:n]), 0, 1)
+        if step > 1:
+            steps = (np.minimum(c[:n] - i, step) - 1) / 2
+            p = np.clip(a[:n] / (i + steps - discount * (t[:n] + p * steps) + a[:n]), 0, 1)
         t[:n] += rng.random(n) < p if step == 1 else rng.binomial(np.minimum(c[:n] - i, step), p)
         i += step
     tables[some] = t

@@ -472,3 +472,14 @@ def test_each_word_is_a_context_of_its_own(spark, monkeypatch, frequent):
     print("held-out log10 probability", a, "brute force", b)
     assert len(held) > 80 and abs(a - b) < 0.01 * abs(b)
     assert max(abs(got[i] - want[i]) / abs(want[i]) for i, _ in rows) < 0.03
+
+
+def test_seating_of_many_customers_is_unbiased():
+    r = np.random.default_rng(8)
+    for n, least in ((1000, 4000), (10_000, 1500), (100_000, 300)):
+        exact = np.ones(least)
+        for i in range(1, n):
+            exact += r.random(least) < 50 / (i - 0.75 * exact + 50)
+        got = language_model.seat(np.full(4000, n), np.full(4000, 50.0), 0.75, r)
+        print(n, "customers:", got.mean(), "tables, exact", exact.mean(), "spread", got.std(), exact.std())
+        assert abs(got.mean() / exact.mean() - 1) < 0.01
