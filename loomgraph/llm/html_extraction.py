@@ -28,7 +28,9 @@ from loomgraph.llm.common import slices, table, trimmed
 
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: elements whose content is never text of the page
-RAW_TAGS = frozenset("script style title textarea noscript template iframe svg math object canvas audio video xmp noembed noframes".split())
+RAW_TAGS = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())
+#: the same, but with ordinary markup inside
+SKIPPED_TAGS = frozenset("template svg object canvas audio video".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: an open element of the first kind ends where one of the second begins
 ENDS = {"p": BLOCK_TAGS - {"button", "label"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option", "optgroup"}, "head": {"body"}}
@@ -55,6 +57,39 @@ def _names(attributes: str) -> frozenset[str]:
     return frozenset(out)
 
 
+def _raw_end(page: str, at: int, tag: str) -> int:
+    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _skipped_end(page: str, at: int, tag: str, above: list[str]) -> int:
+    """Where an element that began before `at` ends: after its end tag or, if the element around it
+    ends first, there.  That may also be where a block begins that ends the element around it; below
+    body, where any block begins."""
+    depth, inside, block = 1, [], None
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        if not m[2]:
+            continue
+        name, closing = m[2].lower(), bool(m[1])
+        if name == tag:
+            depth += -1 if closing else not m[4]
+            if not depth:
+                return at
+        elif name in RAW_TAGS:
+            if not closing and not m[4]:
+                at = _raw_end(page, at, name)
+        elif closing and name in inside:
+            del inside[len(inside) - 1 - inside[::-1].index(name) :]
+        elif closing and name in above:
+            return m.start() if block is None else block
+        elif not closing and name in BLOCK_TAGS and name not in VOID_TAGS and not m[4]:
+            inside.append(name)
+            if block is None and (not above or above[-1] in ("html", "body") or name in ENDS.get(above[-1], ())):
+                block = m.start()
+    return len(page) if block is None else block
+
+
 def leaves(page: str | None) -> list[Leaf]:
     """Blocks with text, in page order; references decoded, white space made single spaces."""
     out: list[Leaf] = []
@@ -86,8 +121,11 @@ def leaves(page: str | None) -> list[Leaf]:
         tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW_TAGS:
             if not closing and not m[4]:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = _raw_end(page, at, tag)
+            continue
+        if tag in SKIPPED_TAGS:
+            if not closing and not m[4]:
+                at = _skipped_end(page, at, tag, [t for t, _ in stack])
             continue
         if tag == "br":
             parts.append(" ")

@@ -483,3 +483,13 @@ def test_seating_of_many_customers_is_unbiased():
         got = language_model.seat(np.full(4000, n), np.full(4000, 50.0), 0.75, r)
         print(n, "customers:", got.mean(), "tables, exact", exact.mean(), "spread", got.std(), exact.std())
         assert abs(got.mean() / exact.mean() - 1) < 0.01
+
+
+def test_unclosed_media_lose_no_later_text():
+    texts = lambda page: [b.text for b in html_extraction.leaves(page)]
+    for tag in ("svg", "object", "canvas", "audio", "video", "template"):
+        assert texts(f"<body><div>a<{tag} x=1>no</div><p>b</p></body>") == ["a", "b"]
+        assert texts(f"<body><p>a<{tag}>no<p>b") == texts(f"a<{tag}>no<p>b") == ["a", "b"]
+        assert texts(f"<div>a <{tag}><p>no</p><{tag}>no</{tag}><script></{tag}></script></{tag}> b</div>c") == ["a b", "c"]
+    assert texts("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p>") == ["if x=2 then"]
+    assert texts("a<script>no<p>no") == ["a"]
