@@ -493,3 +493,11 @@ def test_unclosed_media_lose_no_later_text():
         assert texts(f"<div>a <{tag}><p>no</p><{tag}>no</{tag}><script></{tag}></script></{tag}> b</div>c") == ["a b", "c"]
     assert texts("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p>") == ["if x=2 then"]
     assert texts("a<script>no<p>no") == ["a"]
+
+
+def test_spread_ends_at_the_tolerance(spark):
+    # two hosts that pass all back and forth: 30 rounds do not get below 1e-10
+    links = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, mass double")
+    got = {r["host"]: r["score"] for r in url_filter.spread(links, seeds, damping=0.5, tolerance=1e-10).collect()}
+    assert abs(got["a"] - 2 / 3) < 1e-10 and abs(got["a"] + got["b"] - 1) < 1e-9
