@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.llm.common import stored, table
 from loomgraph.llm.decontamination import contained_items
@@ -18,13 +19,27 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity_filter(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds row_key: doc_id, or for rows without one a number of their own above all ids."""
+    most = docs.agg(F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    if not most[1]:
+        return docs.withColumn("row_key", F.col("doc_id"))
+    above = F.lit(most[0] or 0).cast("long") + 1 + F.monotonically_increasing_id()
+    return stored(docs.withColumn("row_key", F.coalesce(F.col("doc_id").cast("long"), above)), "keyed")
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("row_key").alias("doc_id"), "text")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies (similarity 0.8 or more of five-word shingles),
-    that with the smallest doc_id."""
-    judged = stored(near_duplicates(docs, percent=80), "judged")
-    dropped = stored(judged.filter("NOT kept").select("doc_id").distinct(), "dropped")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    if judged.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+    that with the smallest doc_id (rows without one come last)."""
+    rows = keyed(docs)
+    judged = stored(near_duplicates(by_key(rows), percent=80), "judged")
+    dropped = stored(judged.filter("NOT kept").select(F.col("doc_id").alias("row_key")).distinct(), "dropped")
+    kept = rows.join(dropped, "row_key", "left_anti").select(docs.columns)
+    if judged.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     known = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
     return known.unionByName(kept.filter("doc_id IS NULL"))
@@ -32,8 +47,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain an item of the benchmark."""
-    leaks = stored(contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    rows = keyed(docs)
+    found = contained_items(by_key(rows), table(spark, sf_dir, "benchmark"))
+    leaks = stored(found.select(F.col("doc_id").alias("row_key")).distinct(), "leaks")
+    return rows.join(leaks, "row_key", "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

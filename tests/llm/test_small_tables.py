@@ -501,3 +501,15 @@ def test_spread_ends_at_the_tolerance(spark):
     seeds = spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, mass double")
     got = {r["host"]: r["score"] for r in url_filter.spread(links, seeds, damping=0.5, tolerance=1e-10).collect()}
     assert abs(got["a"] - 2 / 3) < 1e-10 and abs(got["a"] + got["b"] - 1) < 1e-9
+
+
+def test_pipeline_judges_rows_without_id_by_their_text(spark, tmp_path):
+    item, other = " ".join(WORDS[:20]), " ".join(WORDS[100:160])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents(spark, [(3, TEXT), (None, TEXT), (None, other), (None, other), (None, None), (None, None), (7, "a b")])
+    left = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == {(3, TEXT): 1, (None, other): 1, (None, None): 2, (7, "a b"): 1}
+    assert left.columns == docs.columns
+    leaky = documents(spark, [(3, TEXT), (None, "aa bb " + item + " cc"), (None, other), (None, None), (7, "a b")])
+    left = corpus_pipeline.decontamination(spark, leaky, str(tmp_path))
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == {(None, other): 1, (None, None): 1, (7, "a b"): 1}
