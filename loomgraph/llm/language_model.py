@@ -1,536 +1,533 @@
-"""Hierarchical Pitman-Yor language model, sampled by Gibbs over Chinese restaurants.
-
-Every preceding word, known by its 64-bit hash, has a restaurant of the words that follow it, and
-all of them share one parent, the restaurant of words, over a uniform base of the known words and
-one unknown.  A customer of a context restaurant that opens a table is a customer of the parent.
-Sweeps seat anew, word by word, all customers of all cells (context, word) given the tables of the
-sweep before.  The probabilities of the sweeps kept are averaged.
-
-Words are dealt to buckets by hash, with all their contexts; words that a sample shows to be
-frequent are dealt by word and context.  A part of the documents sends each bucket its cells and
-the documents they are in; of cells with many tokens it sends counts only, keeps their places
-with the documents, and gets their values back.  Customers and tables of the contexts are a
-distributed table: after each sweep every bucket sends the sums of its contexts to their groups
-(CONTEXTS of them, by hash), and gets the totals of just its own contexts back, in a file of its
-own in the shared folder.  So all token counts cover the whole corpus, and no table of words or
-contexts is ever in one place; the driver has only the sums of the frequent words, two for each
-bucket at most.
+"""Hierarchical Pitman-Yor language model of three words over a corpus, in Spark.
+
+The model and its Gibbs sampler are those of `pitman_yor`: every two words that precede a word have
+a restaurant, whose parent is the one of the last word alone, whose parent is that of all words.
+
+1. A part of the documents numbers its words.  Parts send their words and counts to groups by hash;
+   these add up, give every word a number (frequent words get small ones) and send numbers and
+   counts back: all counts cover the whole corpus.
+2. A part sends its distinct cells (u v w) with their training counts to buckets by v, so that a
+   bucket has whole restaurants of (v) and (u v) at both levels.  Cells after a word with more
+   than half a bucket's tokens are dealt by (v, w); the restaurants that buckets share so meet
+   by sums of customers and tables.
+3. Rounds: each bucket moves its customers by Gibbs, then buckets send the groups their customers
+   at level 1 by word, and those of shared restaurants by context, and get the totals.  Strengths are
+   drawn from what all restaurants say of them.
+4. A bucket sends each part the log10 probabilities of its cells, averaged over the last rounds; the
+   part adds them up by document.
+
+Numbers go as sorted differences in byte planes.  Parts, buckets and states are files of the shared
+folder, so that jobs have short lineages, and tasks that run again write the same.  The driver has
+sums, strengths and the frequent words: two for each bucket at most.
 
 Defined results: a null or empty text is one end token; a null doc_id counts as training text;
 rows with equal doc_id are scored each by itself; without training tokens all words are unknown;
-an empty table gives no rows; further columns are ignored."""
+an empty table gives no rows; further columns are ignored.  The rows of docs must come in the same
+order when read again, as those of files do."""
 
 from __future__ import annotations
 
-import io
 import uuid
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import mix, open_fs, partitions, slices, stored, table, tokenised, trimmed, word_hashes, workspace
 from loomgraph.llm.near_dedup import _groups
+from loomgraph.llm.pitman_yor import Level, Restaurants, Settings, drawn_strength, seat, strength_sums
 
-#: groups that contexts are dealt to; tokens from which a part keeps a cell's places
-CONTEXTS, HOT = 1024, 32
-#: hashes that no word has in practice
-START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
-DOCS = 60_000
-BLOBS = ("held", "w", "wn", "pu", "pc", "od", "hw", "hr", "hu", "ht")
-ROW = "kind int, bucket int, flush long, " + ", ".join(f"{b} binary" for b in BLOBS)
-PACKED = "kind int, bucket int, flush array<long>, " + ", ".join(f"{b} array<binary>" for b in BLOBS)
+#: a hash that no word has in practice; numbers of the places before and after a document
+END = np.uint64(0x454E44)
+BEFORE, FIRST_WORD = 0, 1
+SENT = "grp long, src long, data binary"
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-@dataclass
-class Settings:
-    """folds, held: documents whose crc32(doc_id as text) mod folds is held are not learnt from."""
+def is_held(doc_id: int | None, s: Settings) -> bool:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % s.folds == s.held
 
-    folds: int = 7
-    held: int = 2
-    sweeps: int = 4
-    keep: int = 2
-    strength: float = 1.0
-    seed: int = 11
 
+# --- arrays as bytes ------------------------------------------------------------------------
 
-@dataclass
-class Totals:
-    """Sums over the corpus: N tokens, V words, customers by context, discounts; and for each sweep
-    (first the start) tables by context, customers and tables of the parent.  By context: of the
-    contexts in one place; over the cluster they are in files.  Of words dealt by context: their
-    tokens, and for each sweep customers and tables at the parent."""
 
-    tokens: int = 0
-    words: int = 0
-    customers: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    discounts: tuple[float, float] = (0.5, 0.5)
-    sweeps: list[tuple[np.ndarray | None, float, float]] = field(default_factory=list)
-    dealt: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    dealt_sweeps: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned numbers: of each the bytes that it needs, as planes, compressed."""
+    out = []
+    for x in arrays:
+        x = np.ascontiguousarray(x).astype("<u8")
+        width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+        planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+        data = pa.compress(planes, "zstd", asbytes=True)
+        out += [len(x).to_bytes(8, "little"), bytes([width]), len(data).to_bytes(8, "little"), data]
+    return b"".join(out)
 
 
-def is_held(doc_id: int | None, s: Settings) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % s.folds == s.held
-
-
-def _record(schema: str, row: dict) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
-    names = [c.split(" ", 1) for c in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([row.get(n)], kinds[k]) for n, k in names], [n for n, _ in names])
+def unpacked(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        n, width, size = int.from_bytes(data[at : at + 8], "little"), data[at + 8], int.from_bytes(data[at + 9 : at + 17], "little")
+        planes = np.frombuffer(pa.decompress(data[at + 17 : at + 17 + size], n * width, "zstd", asbytes=True), np.uint8)
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = planes.reshape(width, n).T
+        out.append(x.reshape(-1).view("<u8").astype(np.int64))
+        at += 17 + size
+    return out
 
 
-def one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
-    """Rows that are large: only one at a time as Python objects."""
-    for i in range(batch.num_rows):
-        yield batch.slice(i, 1).to_pylist()[0]
+def stepped(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Differences, but the numbers themselves where runs start."""
+    out = np.diff(x, prepend=0)
+    out[starts] = x[starts]
+    return out
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """So many that each has the words of a few megabytes of input."""
-    most = docs.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return max(192, docs.rdd.getNumPartitions() * most // 2_800_000)
+def summed_up(steps: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    x = np.cumsum(steps)
+    return x - np.repeat(x[starts] - steps[starts], np.diff(np.append(starts, len(x))))
 
 
-def save(path: str, **arrays: np.ndarray) -> None:
+def save(path: str, *arrays: np.ndarray) -> None:
     """Writes a file of the shared folder, whole or not at all; a task that runs again writes the same."""
     fs, at = open_fs(path)
-    raw = io.BytesIO()
-    np.savez(raw, **arrays)
     fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
     temp = f"{at}.{uuid.uuid4().hex}"
     with fs.open_output_stream(temp) as f:
-        f.write(len(raw.getvalue()).to_bytes(8, "little") + pa.compress(raw.getvalue(), "zstd", asbytes=True))
+        f.write(packed(*arrays))
     if fs.get_file_info(at).type == pafs.FileType.NotFound:
         fs.move(temp, at)
     else:
         fs.delete_file(temp)
 
 
-def load(path: str) -> dict[str, np.ndarray]:
+def load(path: str) -> list[np.ndarray]:
     fs, at = open_fs(path)
     with fs.open_input_stream(at) as f:
-        data = f.read()
-    with np.load(io.BytesIO(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True))) as got:
-        return dict(got)
+        return unpacked(f.read())
 
 
-def frequent_words(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Sorted hashes of words that have more than half of a bucket's share of the tokens in a sample.
-    They decide where cells are, not what is learnt."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in trimmed(batches):
-            some = next(slices(batch, "text", 200_000), None)
-            if some is None:
-                continue
-            _, _, words, index = tokenised(some.column("text"))
-            counts = np.append(np.bincount(index, minlength=len(words)), some.num_rows)
-            often = np.flatnonzero((counts > 1) & (counts * 8 * buckets > counts.sum()))
-            hashes = np.append(word_hashes(words), END).view(np.int64)[often]
-            yield pa.RecordBatch.from_arrays([pa.array([None, *hashes.tolist()], pa.int64()), pa.array([counts.sum(), *counts[often]], pa.int64())], ["h", "n"])
-
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(work, "h long, n long")
-    counts = stored(rows.groupBy("h").agg(F.sum("n").alias("n")), "frequent")
-    total = counts.filter("h IS NULL").first()
-    if total is None:
-        return np.zeros(0, np.uint64)
-    found = counts.filter(F.col("h").isNotNull() & (F.col("n") * 2 * buckets > total["n"])).select("h").collect()
-    return np.sort(np.array([r["h"] for r in found], np.int64).view(np.uint64))
+def sent(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["grp", "src", "data"])
 
 
-def postings(docs: DataFrame, buckets: int, s: Settings, frequent: np.ndarray) -> DataFrame:
-    """Rows of kind 0: what a part of the documents has for a bucket; of kind 1: its documents, and
-    the places of its cells with many tokens."""
+def run_again(rows: DataFrame, work: Callable[[int], list[tuple[int, int, bytes]]]) -> DataFrame:
+    """rows: src.  What work gives for each, as SENT."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flush = TaskContext.get().partitionId() << 32
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
-            for some in slices(batch, "text", 3_000_000):
-                for at in range(0, some.num_rows, DOCS):
-                    yield from part(some.slice(at, DOCS), flush)
-                    flush += 1
+            for src in batch.column("src").to_pylist():
+                yield sent(work(src))
 
-    def part(batch: pa.RecordBatch, flush: int) -> Iterator[pa.RecordBatch]:
-        ids = batch.column("doc_id").to_pylist()
-        _, lengths, words, index = tokenised(batch.column("text"))
-        n = len(ids)
-        held = np.array([is_held(i, s) for i in ids])
-        hashes = np.concatenate([word_hashes(words), [END, START]])
-        word = np.full(len(index) + n, len(words))
-        word[np.arange(len(index)) + np.repeat(np.arange(n), lengths)] = index
-        doc = np.repeat(np.arange(n), lengths + 1)
-        before = np.concatenate([[len(words) + 1], word[:-1]])
-        before[np.cumsum(lengths + 1)[:-1]] = len(words) + 1
-        cells, cell, counts = np.unique(word * len(hashes) + before, return_inverse=True, return_counts=True)
-        of, context = cells // len(hashes), hashes[cells % len(hashes)]
-        own = mix(hashes[of], 9)
-        bucket = (np.where(np.isin(hashes, frequent)[of], mix(own ^ mix(context, 5), 9), own) % np.uint64(buckets)).astype(np.int64)
-        # cells with many tokens: places stay here
-        is_hot = counts * 50_000 >= max(len(word), HOT * 50_000)
-        hot = np.flatnonzero(is_hot)
-        rank = np.zeros(len(cells), np.int64)
-        rank[hot] = np.arange(len(hot))
-        at_hot = is_hot[cell]
-        place = rank[cell[at_hot]]
-        null = np.array([i is None for i in ids])
-        yield _record(ROW, {"kind": 1, "bucket": buckets + flush % buckets, "flush": flush, "held": np.packbits(held).tobytes(), "w": np.array([i or 0 for i in ids], "<i8").tobytes(), "wn": np.bincount(doc[at_hot], minlength=n).astype("<u4").tobytes(), "pu": place.astype("<u2").tobytes(), "pc": (lengths + 1).astype("<u4").tobytes(), "od": np.packbits(null).tobytes()})
-        hot_train = np.bincount(place, ~held[doc[at_hot]], minlength=len(hot)).astype(np.int64)
-        by = np.argsort(bucket[hot], kind="stable")
-        hot, hot_rank, hot_train = hot[by], by, hot_train[by]
-        # the others: sorted by bucket, word and context
-        order = np.flatnonzero(~is_hot)
-        order = order[np.argsort(bucket[order], kind="stable")]
-        rank[order] = np.arange(len(order))
-        key, where = rank[cell[~at_hot]], doc[~at_hot]
-        where = where[np.argsort(key, kind="stable")]
-        size, in_bucket, of_cell = counts[order], bucket[order], of[order]
-        first = np.flatnonzero(np.diff(in_bucket, prepend=-1).astype(bool) | np.diff(of_cell, prepend=-1).astype(bool))
-        cells_of_word = np.diff(np.append(first, len(order)))
-        every = np.arange(buckets + 1)
-        word_cut, cell_cut, hot_cut = np.searchsorted(in_bucket[first], every), np.searchsorted(in_bucket, every), np.searchsorted(bucket[hot], every)
-        token_cut = np.concatenate([[0], np.cumsum(size)])[cell_cut]
-        bits = np.packbits(held).tobytes()
-        for b in range(buckets):
-            if word_cut[b] == word_cut[b + 1] and hot_cut[b] == hot_cut[b + 1]:
-                continue
-            v, c, t, h = (slice(x[b], x[b + 1]) for x in (word_cut, cell_cut, token_cut, hot_cut))
-            yield _record(ROW, {"kind": 0, "bucket": b, "flush": flush, "held": bits, "w": hashes[of_cell[first[v]]].tobytes(), "wn": cells_of_word[v].astype("<u4").tobytes(), "pu": context[order[c]].tobytes(), "pc": size[c].astype("<u4").tobytes(), "od": where[t].astype("<u2").tobytes(), "hw": hashes[of[hot[h]]].tobytes(), "hr": hot_rank[h].astype("<u2").tobytes(), "hu": context[hot[h]].tobytes(), "ht": hot_train[h].astype("<u4").tobytes()})
+    return rows.mapInArrow(each, SENT)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(work, ROW)
 
+def exchange(rows: DataFrame, total, keep, sums: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """rows: SENT.  total(grp, sources, datas) gives a reply to each source, sums and numbers for
+    the driver; keep(src, replies in the order of grp) files them.  Rows of group -1 hold sums of
+    their own.  Returns the sources, sums and numbers."""
 
-def gathered(rows: DataFrame) -> DataFrame:
-    """One stored row for each bucket."""
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, "grp"):
+            group, sources, datas = t.column("grp")[0].as_py(), t.column("src").to_pylist(), t.column("data").to_pylist()
+            if group < 0:
+                yield sent([(group, -1, np.sum([np.frombuffer(d) for d in datas], axis=0).tobytes())])
+                continue
+            replies, added, numbers = total(group, sources, datas)
+            yield sent([(group, s, r) for s, r in zip(sources, replies, strict=True)])
+            yield sent([(group, -1, np.asarray(added, np.float64).tobytes() + np.asarray(numbers, np.int64).tobytes())])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, "bucket"):
-            row = {"kind": t.column("kind")[0].as_py(), "bucket": t.column("bucket")[0].as_py()}
-            yield _record(PACKED, row | {c: t.column(c).to_pylist() for c in ("flush", *BLOBS)})
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, "src"):
+            src, datas = t.column("src")[0].as_py(), t.column("data").to_pylist()
+            if src >= 0:
+                keep(src, datas)
+                yield sent([(0, src, b"")])
+            else:
+                added = np.sum([np.frombuffer(d[: 8 * sums]) for d in datas], axis=0)
+                yield sent([(0, -1, added.tobytes() + b"".join(d[8 * sums :] for d in datas))])
 
     n = partitions(rows.sparkSession)
-    return stored(rows.repartition(n, "bucket").sortWithinPartitions("bucket", "flush").mapInArrow(work, PACKED), "buckets")
+    replies = rows.repartition(n, "grp").sortWithinPartitions("grp", "src").mapInArrow(answer, SENT)
+    done = stored(replies.repartition(n, "src").sortWithinPartitions("src", "grp").mapInArrow(back, SENT), "exchanged")
+    said = done.filter("src = -1").first()
+    data = said["data"] if said else bytes(8 * sums)
+    return done.filter("src >= 0").select("src"), np.frombuffer(data[: 8 * sums]), np.frombuffer(data[8 * sums :], np.int64)
 
 
-class Bucket:
-    """The cells of a bucket, put together: words by hash, contexts by group and hash, cells by word
-    and context.  dealt: those of its words that other buckets have too, and their places among these."""
-
-    def __init__(self, row: dict, frequent: np.ndarray):
-        get = lambda name, kind: [np.frombuffer(b, kind) for b in row[name]]
-        self.flush = row["flush"]
-        w, wn, pu, self.pc = get("w", "<u8"), get("wn", "<u4"), get("pu", "<u8"), get("pc", "<u4")
-        self.od = get("od", "<u2")
-        hw, self.hot_ranks, hu = get("hw", "<u8"), get("hr", "<u2"), get("hu", "<u8")
-        held = [np.unpackbits(np.frombuffer(b, np.uint8)) for b in row["held"]]
-        self.words, at = np.unique(np.concatenate([*w, *hw]), return_inverse=True)
-        at = np.repeat(at, np.concatenate([*wn, np.ones(sum(map(len, hw)), np.int64)]))
-        contexts, context = np.unique(np.concatenate([*pu, *hu]), return_inverse=True)
-        group = (mix(contexts, 7) % np.uint64(CONTEXTS)).astype(np.int64)
-        by = np.argsort(group, kind="stable")
-        self.contexts, self.group_sizes = contexts[by], np.bincount(group, minlength=CONTEXTS)
-        to = np.empty(len(by), np.int64)
-        to[by] = np.arange(len(by))
-        cells, self.cell = np.unique(at * len(contexts) + to[context], return_inverse=True)
-        self.word, self.context = cells // len(contexts), cells % len(contexts)
-        count = np.concatenate(self.pc).astype(np.int64)
-        taught = np.concatenate([1 - h[o].astype(np.int64) for h, o in zip(held, self.od, strict=True)])
-        ends = np.concatenate([[0], np.cumsum(taught)])[np.concatenate([[0], np.cumsum(count)])]
-        train = np.concatenate([np.diff(ends), *get("ht", "<u4")])
-        self.count = np.bincount(self.cell, train, minlength=len(cells)).astype(np.int64)
-        cold = np.cumsum([0, *map(len, pu)])
-        hot = cold[-1] + np.cumsum([0, *map(len, hu)])
-        self.cold = [self.cell[a:b] for a, b in zip(cold[:-1], cold[1:], strict=True)]
-        self.hot = [self.cell[a:b] for a, b in zip(hot[:-1], hot[1:], strict=True)]
-        here = np.flatnonzero(np.isin(self.words, frequent))
-        self.dealt = here, np.searchsorted(frequent, self.words[here])
-
-
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating each cell's customers: the next opens one with a chance of
-    weight / (seated - discount * tables + weight).  Exact for the first 500; then a fiftieth
-    more at a time, by binomial draws at the chance in the middle of the step."""
-    tables = np.minimum(customers, 1)
-    some = np.flatnonzero(customers > 1)
-    some = some[np.argsort(-customers[some], kind="stable")]
-    c, a, t, i = customers[some], weight[some], np.ones(len(some), np.int64), 1
-    while len(c) and i < c[0]:
-        n = int(np.searchsorted(-c, -i, "left"))
-        step = 1 if i < 500 else i // 50
-        p = np.clip(a[:n] / (i - discount * t[:n] + a[:n]), 0, 1)
-        if step > 1:
-            steps = (np.minimum(c[:n] - i, step) - 1) / 2
-            p = np.clip(a[:n] / (i + steps - discount * (t[:n] + p * steps) + a[:n]), 0, 1)
-        t[:n] += rng.random(n) < p if step == 1 else rng.binomial(np.minimum(c[:n] - i, step), p)
-        i += step
-    tables[some] = t
-    return tables
-
-
-def seat_anew(bucket: int, k: int, word, context, count, customers, roots, totals: Totals, s: Settings):
-    """Tables, customers and tables at the parent after sweep k, from those of the sweep before."""
-    d1, d0 = totals.discounts
-    by_context, all_customers, all_roots = totals.sweeps[k]
-    rng = np.random.default_rng([s.seed, bucket, k])
-    parent = word_probability(customers, roots, all_customers, all_roots, d0, totals.words, s)
-    tables = seat(count, (s.strength + d1 * by_context[context]) * parent[word], d1, rng)
-    customers = np.bincount(word, tables, minlength=len(customers)).astype(np.int64)
-    return tables, customers, root_tables(customers, all_roots, totals, s, rng)
-
-
-def root_tables(customers: np.ndarray, all_roots: float, totals: Totals, s: Settings, rng: np.random.Generator) -> np.ndarray:
-    d0 = totals.discounts[1]
-    return seat(customers, np.full(len(customers), (s.strength + d0 * all_roots) / (totals.words + 1)), d0, rng)
-
-
-def started(word: np.ndarray, count: np.ndarray, n_words: int):
-    """Every cell one table."""
-    tables = np.minimum(count, 1)
-    customers = np.bincount(word, tables, minlength=n_words).astype(np.int64)
-    return tables, customers, np.minimum(customers, 1)
-
-
-def sweeps(bucket: int, word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, totals: Totals, s: Settings):
-    """With all cells in one place: yields for the start and each sweep whose predecessor's totals are
-    known (tables of the cells, customers and tables of the words at the parent)."""
-    tables, customers, roots = started(word, count, n_words)
-    yield tables, customers, roots
-    for k in range(len(totals.sweeps)):
-        tables, customers, roots = seat_anew(bucket, k, word, context, count, customers, roots, totals, s)
-        yield tables, customers, roots
-
-
-def word_probability(customers, roots, all_customers, all_roots, discount, words, s: Settings):
-    return (customers - discount * roots + (s.strength + discount * all_roots) / (words + 1)) / (s.strength + all_customers)
-
-
-SENT = "grp int, bucket int, hashes binary, value binary"
-
-
-def _dealt(bucket: int, sizes: np.ndarray, hashes: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    """A bucket's values by context, as one row for each group it has contexts of."""
-    groups = np.flatnonzero(sizes)
-    ends = np.concatenate([[0], np.cumsum(sizes[groups])])
-
-    def blobs(x: np.ndarray) -> pa.Array:
-        ends_of = (ends * (x.itemsize if len(x) else 0)).astype(np.int32)
-        return pa.Array.from_buffers(pa.binary(), len(groups), [None, pa.py_buffer(ends_of), pa.py_buffer(x.tobytes())])
-
-    return pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(np.full(len(groups), bucket), pa.int32()), blobs(hashes), blobs(value.astype("<u4"))], ["grp", "bucket", "hashes", "value"])
-
-
-def exchange(rows: DataFrame, folder: str, name: str) -> None:
-    """rows: SENT.  Sums values by context over all buckets; each bucket's file has the sums of its
-    contexts, in their order.  Hashes are sent the first time only: groups keep what they found."""
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, "grp"):
-            group, value = t.column("grp")[0].as_py(), [np.frombuffer(v, "<u4") for v in t.column("value").to_pylist()]
-            hashes = np.frombuffer(b"".join(t.column("hashes").to_pylist()), "<u8")
-            if len(hashes):
-                place = np.unique(hashes, return_inverse=True)[1]
-                save(f"{folder}/group-{group}", place=place.astype("<u4"))
-            else:
-                place = load(f"{folder}/group-{group}")["place"]
-            sums = np.bincount(place, np.concatenate(value))[place].astype("<i8").tobytes()
-            ends = (8 * np.cumsum([0, *map(len, value)])).tolist()
-            blobs = pa.array([sums[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([t.column("grp").combine_chunks(), t.column("bucket").combine_chunks(), blobs], ["grp", "bucket", "value"])
+def release(spark: SparkSession) -> None:
+    """Spark deletes shuffle files once the driver has collected what refers to them."""
+    spark.sparkContext._jvm.System.gc()
 
-    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, "bucket"):
-            bucket = t.column("bucket")[0].as_py()
-            save(f"{folder}/{name}-{bucket}", value=np.frombuffer(b"".join(t.column("value").to_pylist()), "<i8"))
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32())], ["bucket"])
 
-    n = partitions(rows.sparkSession)
-    sums = rows.repartition(n, "grp").sortWithinPartitions("grp", "bucket").mapInArrow(total, "grp int, bucket int, value binary")
-    sums.repartition(n, "bucket").sortWithinPartitions("bucket", "grp").mapInArrow(back, "bucket int").count()
+# --- parts of the documents -----------------------------------------------------------------
 
 
-def summed(rows: DataFrame, measure) -> dict[str, dict[int, float]]:
-    """rows: bucket.  Sums over all buckets of what measure(bucket) gives as {name: (places,
-    values)}; few names and places, so the driver gets a bounded number of rows."""
+def parts(docs: DataFrame, folder: str, s: Settings, groups: int) -> DataFrame:
+    """Files of each part: its tokens as numbers of its words (by group and hash), and its documents.
+    Rows: the words of a part in a group, their hashes, counts and training counts."""
+
+    def part(batch: pa.RecordBatch, src: int) -> pa.RecordBatch:
+        ids = batch.column("doc_id").to_pylist()
+        _, lengths, words, index = tokenised(batch.column("text"))
+        hashes = np.append(word_hashes(words), END)
+        group = (mix(hashes, 3) % np.uint64(groups)).astype(np.int64)
+        order = np.lexsort((hashes, group))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        n = len(ids)
+        token = np.full(len(index) + n, place[-1])
+        token[np.arange(len(index)) + np.repeat(np.arange(n), lengths)] = place[index]
+        held = np.array([is_held(i, s) for i in ids])
+        numbers = np.array([i or 0 for i in ids], np.int64)
+        save(f"{folder}/part-{src}", token, lengths + 1, numbers.view(np.uint64), np.array([i is None for i in ids]), held)
+        taught = np.repeat(~held, lengths + 1)
+        hashes, group = hashes[order], group[order]
+        counts, train = np.bincount(token, minlength=len(order)), np.bincount(token, taught, minlength=len(order)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        cuts = [*starts.tolist(), len(group)]
+        return sent([(int(group[a]), src, packed(np.diff(hashes[a:b], prepend=np.uint64(0)), counts[a:b], train[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        src = TaskContext.get().partitionId() << 32
         for batch in trimmed(batches):
-            for bucket in batch.column("bucket").to_pylist():
-                for name, (at, values) in measure(bucket).items():
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(np.asarray(at, np.int64)), pa.array(np.asarray(values, np.float64))], ["name", "at", "value"])
+            size = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+            pieces = -(-size // s.part_bytes)
+            for some in slices(batch, "text", size // max(1, pieces) + 1):
+                yield part(some, src)
+                src += 1
 
-    out: dict[str, dict[int, float]] = {}
-    for r in rows.mapInArrow(work, "name string, at long, value double").groupBy("name", "at").agg(F.sum("value").alias("value")).collect():
-        out.setdefault(r["name"], {})[r["at"]] = r["value"]
-    return out
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(work, SENT)
+
+
+def numbered(rows: DataFrame, folder: str, groups: int, frequent: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Files of each part: the numbers and training counts of its words.  Returns the parts, sums
+    (training tokens, known words, all tokens), and the words with more tokens than `frequent`, each as number, tokens."""
+
+    def total(group: int, sources: list[int], datas: list[bytes]):
+        hashes, counts, train = zip(*map(unpacked, datas), strict=True)
+        sizes = np.cumsum([0, *map(len, hashes)])
+        hashes = np.concatenate([np.cumsum(h.view(np.uint64)) for h in hashes])
+        counts, train = np.concatenate(counts), np.concatenate(train)
+        words, at = np.unique(hashes, return_inverse=True)
+        every, taught = (np.bincount(at, x, minlength=len(words)).astype(np.int64) for x in (counts, train))
+        order = np.argsort(-every, kind="stable")
+        number = np.empty(len(words), np.int64)
+        number[order] = FIRST_WORD + group + groups * np.arange(len(words))
+        often = np.flatnonzero(every > frequent)
+        replies = [packed(number[at[a:b]], taught[at[a:b]]) for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
+        return replies, [taught.sum(), (taught > 0).sum(), every.sum()], np.stack([number[often], every[often]], axis=1).reshape(-1)
+
+    def keep(src: int, replies: list[bytes]) -> None:
+        numbers, train = zip(*map(unpacked, replies), strict=True)
+        save(f"{folder}/words-{src}", np.concatenate(numbers), np.concatenate(train))
+
+    return exchange(rows, total, keep, 3)
+
+
+class Part:
+    """The tokens of a part, and its distinct cells (u, v, w) in the order of their buckets, by v, w, u."""
+
+    def __init__(self, folder: str, src: int, hot: np.ndarray, buckets: int):
+        token, self.lengths, ids, null, held = load(f"{folder}/part-{src}")
+        numbers, self.train = load(f"{folder}/words-{src}")
+        self.token, self.held = token, held.astype(bool)
+        self.ids = pa.array(ids, pa.int64(), mask=null.astype(bool))
+        self.taught = np.repeat(~self.held, self.lengths)
+        # words of the part in the order of their numbers
+        known, at = np.unique(np.append(numbers, BEFORE), return_inverse=True)
+        w = at[token]
+        first = np.cumsum(self.lengths) - self.lengths
+        v = np.concatenate([[0], w[:-1]])
+        v[first] = 0
+        u = np.concatenate([[0], v[:-1]])
+        u[first] = 0
+        m = len(known)
+        key, more = v * m + w, None
+        if m**3 < 2**63:
+            key = key * m + u
+        else:  # words of three million bytes and more
+            pairs, key = np.unique(key, return_inverse=True)
+            key, more = key * m + u, pairs
+        cells, cell = np.unique(key, return_inverse=True)
+        pair, u = cells // m, cells % m
+        if more is not None:
+            pair = more[pair]
+        v, w, u = known[pair // m], known[pair % m], known[u]
+        bucket = bucket_of(v, w, hot, buckets)
+        order = np.argsort(bucket, kind="stable")
+        to = np.empty(len(order), np.int64)
+        to[order] = np.arange(len(order))
+        self.cell, self.v, self.w, self.u, bucket = to[cell], v[order], w[order], u[order], bucket[order]
+        self.buckets, self.starts = np.unique(bucket, return_index=True)
+
+    def runs(self, src: int) -> list[tuple[int, int, bytes]]:
+        count = np.bincount(self.cell, self.taught, minlength=len(self.v)).astype(np.int64)
+        ends = np.append(self.starts[1:], len(self.v))
+        return [(int(b), src, coded(self.v[i:j], self.w[i:j], self.u[i:j], count[i:j])) for b, i, j in zip(self.buckets, self.starts, ends, strict=True)]
+
+
+def bucket_of(v: np.ndarray, w: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    key = mix(v.astype(np.uint64), 5)
+    split = np.isin(v, hot)
+    key[split] = mix(key[split] ^ mix(w[split].astype(np.uint64), 6), 5)
+    return (key % np.uint64(buckets)).astype(np.int64)
+
+
+def coded(v, w, u, count) -> bytes:
+    new_v = np.diff(v, prepend=-1) != 0
+    new_w = new_v | (np.diff(w, prepend=-1) != 0)
+    vs, ws = np.flatnonzero(new_v), np.flatnonzero(new_w)
+    first = np.searchsorted(ws, vs)
+    return packed(np.diff(v[vs], prepend=0), np.diff(np.append(first, len(ws))), stepped(w[ws], first), np.diff(np.append(ws, len(v))), stepped(u, ws), count)
+
+
+def decoded(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    v, pairs, w, cells, u, count = unpacked(data)
+    first, ws = np.cumsum(pairs) - pairs, np.cumsum(cells) - cells
+    return np.repeat(np.repeat(np.cumsum(v), pairs), cells), np.repeat(summed_up(w, first), cells), summed_up(u, ws), count
+
+
+# --- buckets --------------------------------------------------------------------------------
 
 
-def _array(sums: dict[int, float], n: int) -> np.ndarray:
-    return np.array([sums.get(i, 0.0) for i in range(n)])
+def gathered(rows: DataFrame) -> DataFrame:
+    """One stored row for each bucket: src (its number), parts and their runs."""
+    schema = "src long, parts array<long>, runs array<binary>"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, "grp"):
+            yield pa.RecordBatch.from_arrays([pa.array([t.column("grp")[0].as_py()], pa.int64()), pa.array([t.column("src").to_pylist()], pa.list_(pa.int64())), pa.array([t.column("data").to_pylist()], pa.list_(pa.binary()))], ["src", "parts", "runs"])
 
+    n = partitions(rows.sparkSession)
+    return stored(rows.repartition(n, "grp").sortWithinPartitions("grp", "src").mapInArrow(work, schema), "buckets")
+
+
+def one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows that are large: only one at a time as Python objects."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
 
-def learn(buckets: DataFrame, folder: str, frequent: np.ndarray, s: Settings) -> Totals:
-    """Leaves in the folder, by bucket: its cells, its contexts' customers, and for the start and each
-    sweep its state and its contexts' tables."""
-    n = len(frequent)
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Bucket:
+    """Cells of a bucket put together, sorted by v, w, u; pairs (v, w) and contexts (u, v) found."""
+
+    def __init__(self, runs: list[bytes]):
+        v, w, u, count = zip(*map(decoded, runs), strict=True)
+        self.sizes = [len(x) for x in v]
+        v, w, u = map(np.concatenate, (v, w, u))
+        n = len(v)
+        known, at = np.unique(np.concatenate([v, w, u]), return_inverse=True)
+        m, (v, w, u) = len(known), at.reshape(3, n)
+        pairs, pair = np.unique(v * m + w, return_inverse=True)
+        cells, self.cell = np.unique(pair * m + u, return_inverse=True)
+        self.count = np.bincount(self.cell, np.concatenate(count), minlength=len(cells)).astype(np.int64)
+        self.pair, u = cells // m, cells % m
+        v, w = pairs // m, pairs % m
+        words, self.word = np.unique(w, return_inverse=True)
+        befores, self.before = np.unique(v, return_inverse=True)
+        contexts, self.context = np.unique(self.before[self.pair] * m + u, return_inverse=True)
+        self.words, self.befores = known[words], known[befores]
+        self.of, self.first = contexts // m, known[contexts % m]  # of contexts: v's place, u
+
+
+def shared_keys(before: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Keys of contexts (u, v); of (v) with u = -1."""
+    return mix(mix(before.astype(np.uint64), 11) ^ mix((first + 2).astype(np.uint64), 12), 13)
+
+
+class Model:
+    """Files of the buckets in the folder, by bucket: cells, state and totals of each round."""
+
+    def __init__(self, folder: str, hot: np.ndarray, groups: int, s: Settings):
+        self.folder, self.hot, self.groups, self.s = folder, hot, groups, s
+
+    def put(self, b: int, bucket: Bucket) -> None:
+        shared = np.isin(bucket.befores, self.hot)
+        shared3 = np.flatnonzero(shared[bucket.of])
+        shared2 = np.flatnonzero(shared)
+        keys = np.concatenate([shared_keys(bucket.befores[bucket.of[shared3]], bucket.first[shared3]), shared_keys(bucket.befores[shared2], np.full(len(shared2), -1))])
+        sizes = np.array([len(bucket.first), len(bucket.befores), len(bucket.words)])
+        # what goes to the groups, in their order
+        by_word = np.argsort(bucket.words % self.groups, kind="stable")
+        by_key = np.lexsort((keys, keys % np.uint64(self.groups)))
+        save(f"{self.folder}/cells-{b}", bucket.count, np.diff(bucket.pair, prepend=0), bucket.context, bucket.word, np.diff(bucket.before, prepend=0), sizes, bucket.words, by_word, shared3, shared2, keys.view(np.int64).view(np.uint64), by_key)
+
+    def get(self, b: int) -> tuple[Restaurants, dict]:
+        count, pair, context, word, before, sizes, words, by_word, shared3, shared2, keys, by_key = load(f"{self.folder}/cells-{b}")
+        own = Restaurants(count, np.cumsum(pair), context, word, np.cumsum(before), tuple(sizes.tolist()))
+        return own, {"words": words, "by_word": by_word, "shared3": shared3, "shared2": shared2, "keys": keys.view(np.uint64), "by_key": by_key}
+
+    def at(self, b: int, k: int, level: Level) -> tuple[Restaurants, dict]:
+        """The bucket's restaurants as round k left them, with the totals of that meeting."""
+        r, places = self.get(b)
+        tables, r.customers2, r.tables2 = load(f"{self.folder}/state{k}-{b}")
+        r.tables[r.some] = tables
+        customers, roots, shared_customers, shared_tables = load(f"{self.folder}/met{k}-{b}")
+        c3, t3, c2, t2, _ = r.own()
+        n = len(places["shared3"])
+        for mine, theirs in ((c3, shared_customers), (t3, shared_tables)):
+            mine[places["shared3"]] = theirs[:n]
+        for mine, theirs in ((c2, shared_customers), (t2, shared_tables)):
+            mine[places["shared2"]] = theirs[n:]
+        r.met(level, k, c3, t3, c2, t2, level.root(k, customers, roots))
+        return r, places
+
+    def meet(self, b: int, k: int, r: Restaurants, places: dict, level: Level) -> list[tuple[int, int, bytes]]:
+        """Files the bucket's state, gives what it sends: by group, customers of its words, customers and
+        tables of its shared contexts; to group -1 the sums of its own contexts."""
+        save(f"{self.folder}/state{k}-{b}", r.tables[r.some], r.customers2, r.tables2)
+        c3, t3, c2, t2, c1 = r.own()
+        every = np.arange(self.groups + 1)
+        words, at = places["words"][places["by_word"]], c1[places["by_word"]]
+        word_cut = np.searchsorted(words % self.groups, every)
+        keys = places["keys"][places["by_key"]]
+        customers, tables = (np.concatenate([x[places["shared3"]], y[places["shared2"]]])[places["by_key"]] for x, y in ((c3, c2), (t3, t2)))
+        n = len(places["shared3"])
+        kind = (places["by_key"] >= n).astype(np.int64)
+        key_cut = np.searchsorted(keys % np.uint64(self.groups), every.astype(np.uint64))
+        out = []
+        for g in range(self.groups):
+            a, z, i, j = word_cut[g], word_cut[g + 1], key_cut[g], key_cut[g + 1]
+            if a == z and i == j:
+                continue
+            first = [np.diff(words[a:z], prepend=0), keys[i:j], kind[i:j]] if k == 0 else []
+            out.append((g, b, packed(at[a:z], customers[i:j], tables[i:j], *first)))
+        c3[places["shared3"]] = c2[places["shared2"]] = 0
+        rng = np.random.default_rng([self.s.seed, 3, b, k])
+        strengths = level.strengths[-1]
+        ones = [(r.count == 1).sum(), (r.count == 2).sum(), (r.customers2 == 1).sum(), (r.customers2 == 2).sum()]
+        sums = [*strength_sums(c3, t3, strengths[2], level.discounts[2], rng), *strength_sums(c2, t2, strengths[1], level.discounts[1], rng), *ones]
+        out.append((-1, b, np.concatenate([np.zeros(4), sums]).tobytes()))
+        return out
+
+    def totals(self, k: int, level: Level):
+        def total(group: int, sources: list[int], datas: list[bytes]):
+            got = list(zip(*map(unpacked, datas), strict=True))
+            words, shared = (np.cumsum([0, *map(len, got[i])]) for i in (0, 1))
+            c1, customers, tables = map(np.concatenate, got[:3])
+            if k == 0:
+                number = np.concatenate([np.cumsum(x) for x in got[3]])
+                place = np.unique(number, return_inverse=True)[1]
+                _, first, key_place = np.unique(np.concatenate(got[4]), return_index=True, return_inverse=True)
+                kind = np.concatenate(got[5])[first]
+                save(f"{self.folder}/group-{group}", place, key_place, kind)
+            else:
+                place, key_place, kind = load(f"{self.folder}/group-{group}")
+            rng = np.random.default_rng([self.s.seed, 4, group, k])
+            c1 = np.bincount(place, c1).astype(np.int64) if len(place) else np.zeros(0, np.int64)
+            customers, tables = (np.bincount(key_place, x, minlength=len(kind)).astype(np.int64) for x in (customers, tables))
+            d, (s, _, _), (_, open1) = level.discounts, level.strengths[-1], level.roots[-1]
+            t1 = np.minimum(c1, 1) if k == 0 else seat(c1, np.full(len(c1), (s + d[0] * open1) / (level.words + 1)), d[0], rng)
+            replies = [packed(c1[place[a:z]], t1[place[a:z]], customers[key_place[i:j]], tables[key_place[i:j]]) for a, z, i, j in zip(words[:-1], words[1:], shared[:-1], shared[1:], strict=True)]
+            sums = [c1.sum(), t1.sum(), (c1 == 1).sum(), (c1 == 2).sum()]
+            for j in (0, 1):
+                sums += strength_sums(customers[kind == j], tables[kind == j], level.strengths[-1][2 - j], d[2 - j], rng).tolist()
+            return replies, [*sums, 0, 0, 0, 0], []
+
+        def keep(b: int, replies: list[bytes]) -> None:
+            _, places = self.get(b)
+            got = [np.concatenate(x) for x in zip(*map(unpacked, replies), strict=True)]
+            out = []
+            for x, order in zip(got, (places["by_word"], places["by_word"], places["by_key"], places["by_key"]), strict=True):
+                own = np.empty(len(order), np.int64)
+                own[order] = x
+                out.append(own)
+            save(f"{self.folder}/met{k}-{b}", *out)
+
+        return total, keep
+
+
+def learn(buckets: DataFrame, model: Model, words: int, tokens: int) -> Level:
+    """Rounds of sampling; leaves each bucket's states and totals in the folder."""
+    s = model.s
+    level = Level(words, strengths=[(1.0, 1.0, 1.0)], roots=[(0.0, 0.0)])
+    rng = np.random.default_rng([s.seed, 2])
+
+    def start(row: dict) -> list[tuple[int, int, bytes]]:
+        bucket = Bucket(row["runs"])
+        model.put(row["src"], bucket)
+        return model.meet(row["src"], 0, *model.get(row["src"]), level)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
             for row in one_by_one(batch):
-                b = Bucket(row, frequent)
-                k = b.count > 0
-                word, context, count = b.word[k], b.context[k], b.count[k]
-                save(f"{folder}/cells-{row['bucket']}", n_words=len(b.words), word=np.diff(word, prepend=0).astype("<u4"), context=context.astype("<u4"), count=count.astype("<u4"), sizes=b.group_sizes.astype("<u4"), here=b.dealt[0], place=b.dealt[1])
-                yield _dealt(row["bucket"], b.group_sizes, b.contexts, np.bincount(context, count, minlength=len(b.contexts)))
-
-    def cells_in(bucket: int):
-        c = load(f"{folder}/cells-{bucket}")
-        return c | {"n_words": int(c["n_words"]), "word": np.cumsum(c["word"].astype(np.int64)), "context": c["context"].astype(np.int64), "count": c["count"].astype(np.int64)}
-
-    exchange(buckets.filter("kind = 0").mapInArrow(cells, SENT), folder, "customers")
-    rows = buckets.filter("kind = 0").select("bucket")
-
-    def first(bucket: int) -> dict:
-        c = cells_in(bucket)
-        by_word = np.bincount(c["word"], c["count"], minlength=c["n_words"])
-        dealt = by_word[c["here"]]
-        by_word[c["here"]] = 0
-        ones = [(c["count"] == 1).sum(), (c["count"] == 2).sum(), (by_word == 1).sum(), (by_word == 2).sum()]
-        return {"sums": (range(6), [c["count"].sum(), (by_word > 0).sum(), *ones]), "dealt": (c["place"], dealt)}
-
-    got = summed(rows, first)
-    sums, dealt = _array(got.get("sums", {}), 6), _array(got.get("dealt", {}), n)
-    sums += [0, (dealt > 0).sum(), 0, 0, (dealt == 1).sum(), (dealt == 2).sum()]
-    kept = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b) if a + b else 0.5))
-    totals = Totals(int(sums[0]), int(sums[1]), discounts=(kept(*sums[2:4]), kept(*sums[4:6])), dealt=dealt)
-    for k in range(s.sweeps + 1):
-
-        def seated(batches: Iterator[pa.RecordBatch], k=k) -> Iterator[pa.RecordBatch]:
-            for batch in trimmed(batches):
-                for bucket in batch.column("bucket").to_pylist():
-                    c = cells_in(bucket)
-                    if k == 0:
-                        tables, customers, roots = started(c["word"], c["count"], c["n_words"])
-                    else:
-                        _, customers, roots, by_context = state_of(folder, bucket, k - 1, c["here"], c["place"], totals)
-                        past = Totals(totals.tokens, totals.words, discounts=totals.discounts, sweeps=[*totals.sweeps[: k - 1], (by_context, *totals.sweeps[k - 1][1:])])
-                        tables, customers, roots = seat_anew(bucket, k - 1, c["word"], c["context"], c["count"], customers, roots, past, s)
-                    roots[c["here"]] = 0  # seated by the driver, who knows all their customers
-                    save(f"{folder}/state{k}-{bucket}", tables=tables.astype("<u4"), customers=customers.astype("<u4"), roots=roots.astype("<u4"), here=c["here"], place=c["place"])
-                    yield _dealt(bucket, c["sizes"], np.zeros(0, "<u8"), np.bincount(c["context"], tables, minlength=int(c["sizes"].sum())))
-
-        def parent(bucket: int, k=k) -> dict:
-            state = load(f"{folder}/state{k}-{bucket}")
-            return {"parent": (range(2), [state["customers"].sum(), state["roots"].sum()]), "dealt": (state["place"], state["customers"][state["here"]])}
-
-        exchange(rows.mapInArrow(seated, SENT), folder, f"tables{k}")
-        got = summed(rows, parent)
-        customers = _array(got.get("dealt", {}), n).astype(np.int64)
-        if k == 0:
-            roots = np.minimum(customers, 1)
-        else:
-            roots = root_tables(customers, totals.sweeps[-1][2], totals, s, np.random.default_rng([s.seed, 1 << 40, k]))
-        both = _array(got.get("parent", {}), 2)
-        totals.sweeps.append((None, both[0], both[1] + roots.sum()))
-        totals.dealt_sweeps.append((customers, roots))
-    return totals
-
+                yield sent(start(row))
 
-def state_of(folder: str, bucket: int, k: int, here: np.ndarray, place: np.ndarray, totals: Totals):
-    """Tables of the cells, customers and tables of the words, and all tables of the contexts."""
-    state = {name: x.astype(np.int64) for name, x in load(f"{folder}/state{k}-{bucket}").items()}
-    state["customers"][here], state["roots"][here] = (x[place] for x in totals.dealt_sweeps[k])
-    return state["tables"], state["customers"], state["roots"], load(f"{folder}/tables{k}-{bucket}")["value"]
+    for k in range(s.rounds + 1):
 
+        def again(b: int, k=k) -> list[tuple[int, int, bytes]]:
+            r, places = model.at(b, k - 1, level)
+            r.sample(k == 1, s.moves, np.random.default_rng([s.seed, 1, b, k]))
+            return model.meet(b, k, r, places, level)
 
-PARTIAL = "kind int, flush long, doc binary, known binary, base binary, score binary"
+        rows = buckets.mapInArrow(begin, SENT) if k == 0 else run_again(buckets.select("src"), again)
+        _, sums, _ = exchange(rows, *model.totals(k, level), 12)
+        if k == 0:
+            kept = lambda a, b: float(min(0.95, max(0.05, a / (a + 2 * b) if a + b else 0.5)))
+            level.discounts = kept(*sums[2:4]), kept(*sums[10:12]), kept(*sums[8:10])
+            level.strengths, level.roots = [], []
+            strengths = (1.0, 1.0, 1.0)
+        else:
+            one = strength_sums(sums[:1], sums[1:2], level.strengths[-1][0], level.discounts[0], rng)
+            strengths = drawn_strength(one, rng), drawn_strength(sums[6:8], rng), drawn_strength(sums[4:6], rng)
+        level.strengths.append(strengths)
+        level.roots.append((float(sums[0]), float(sums[1])))
+    return level
 
 
-def scored(buckets: DataFrame, folder: str, frequent: np.ndarray, totals: Totals, s: Settings) -> DataFrame:
-    """For each bucket and part of the documents: sums by document (kind 0), and the values of the
-    cells with many tokens (kind 2)."""
-    d1, d0 = totals.discounts
+def values(buckets: DataFrame, model: Model, level: Level) -> DataFrame:
+    """SENT (part, bucket, log10 probabilities of the part's cells in the bucket)."""
+    s = model.s
+    kept = range(max(0, s.rounds - s.keep + 1), s.rounds + 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
             for row in one_by_one(batch):
-                b = Bucket(row, frequent)
-                k = b.count > 0
-                all_of_context = load(f"{folder}/customers-{row['bucket']}")["value"][b.context]
-                mean, used = np.zeros(len(b.count)), 0
-                for i in range(max(0, s.sweeps - s.keep + 1), s.sweeps + 1):
-                    t, customers, roots, by_context = state_of(folder, row["bucket"], i, *b.dealt, totals)
-                    _, all_customers, all_roots = totals.sweeps[i]
-                    parent = word_probability(customers, roots, all_customers, all_roots, d0, totals.words, s)[b.word]
-                    tables = np.zeros(len(b.count))
-                    tables[k] = t
-                    mean += (b.count - d1 * tables + (s.strength + d1 * by_context[b.context]) * parent) / (s.strength + all_of_context)
-                    used += 1
-                score = np.log10(mean / used)
-                by_word = np.bincount(b.word, b.count, minlength=len(b.words))
-                by_word[b.dealt[0]] = totals.dealt[b.dealt[1]]
-                base, known = np.log10((by_word + 1) / (totals.tokens + totals.words + 1))[b.word], (by_word > 0)[b.word]
-                for flush, pc, od, cell, hot, ranks in zip(b.flush, b.pc, b.od, b.cold, b.hot, b.hot_ranks, strict=True):
-                    if len(od):
-                        of = np.repeat(cell, pc)
-                        doc = np.flatnonzero(np.bincount(od))
-                        sums = [np.bincount(od, x[of])[doc] for x in (known, base, score)]
-                        yield _record(PARTIAL, {"kind": 0, "flush": flush, "doc": doc.astype("<u2").tobytes(), "known": sums[0].astype("<u4").tobytes(), "base": sums[1].tobytes(), "score": sums[2].tobytes()})
-                    if len(hot):
-                        yield _record(PARTIAL, {"kind": 2, "flush": flush, "doc": ranks.tobytes(), "known": known[hot].astype("<u4").tobytes(), "base": base[hot].tobytes(), "score": score[hot].tobytes()})
-
-    return buckets.filter("kind = 0").mapInArrow(work, PARTIAL)
+                bucket = Bucket(row["runs"])
+                mean = sum(model.at(row["src"], k, level)[0].probability() for k in kept) / len(kept)
+                score = np.log10(mean).astype("<f4")
+                ends = np.cumsum([0, *bucket.sizes])
+                yield sent([(p, row["src"], score[bucket.cell[a:b]].tobytes()) for p, a, b in zip(row["parts"], ends[:-1], ends[1:], strict=True)])
 
-
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return buckets.mapInArrow(work, SENT)
 
 
 def score_documents(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     """docs: doc_id, text.  Learns from the documents not held out and scores all."""
     s = s or Settings()
-    n_buckets, folder = bucket_count(docs), workspace(docs.sparkSession, "restaurants")
-    frequent = frequent_words(docs, n_buckets)
-    buckets = gathered(postings(docs, n_buckets, s, frequent))
-    totals = learn(buckets, folder, frequent, s)
-    n = partitions(docs.sparkSession)
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in trimmed(batches):
-            for row in one_by_one(batch):
-                for i, flush in enumerate(row["flush"]):
-                    yield _record(PARTIAL, {"kind": 1, "flush": flush, "doc": row["w"][i] + row["wn"][i] + row["pc"][i], "known": row["held"][i], "base": row["od"][i], "score": row["pu"][i]})
+    spark = docs.sparkSession
+    folder, n = workspace(spark, "restaurants"), partitions(spark)
+    sources, sums, often = numbered(parts(docs, folder, s, n), folder, n, s.bucket_tokens // 2)
+    tokens, known = int(sums[0]), int(sums[1])
+    n_buckets = max(n, -(-int(sums[2]) // s.bucket_tokens))
+    hot = np.sort(often.reshape(-1, 2)[:, 0])
+    cells = run_again(sources.repartition(n, "src"), lambda src: Part(folder, src, hot, n_buckets).runs(src))
+    buckets = gathered(cells)
+    release(spark)
+    model = Model(folder, hot, n_buckets, s)
+    level = learn(buckets.repartition(n, "src"), model, known, tokens)
+    release(spark)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, "flush"):
-            rows = t.to_pylist()
-            main = next(r for r in rows if r["kind"] == 1)
-            m = len(main["doc"]) // 16
-            ids = np.frombuffer(main["doc"][: 8 * m], "<i8")
-            kept, tokens = np.frombuffer(main["doc"][8 * m :], "<u4").reshape(2, m)
-            held, null = (np.unpackbits(np.frombuffer(main[c], np.uint8))[:m].astype(bool) for c in ("known", "base"))
-            sums = np.zeros((3, m))
-            place = np.frombuffer(main["score"], "<u2")
-            values = np.zeros((3, int(place.max()) + 1 if len(place) else 0))
-            for r in rows:
-                if r["kind"] == 1:
-                    continue
-                at = np.frombuffer(r["doc"], "<u2").astype(np.int64)
-                got = np.frombuffer(r["known"], "<u4"), np.frombuffer(r["base"], "<f8"), np.frombuffer(r["score"], "<f8")
-                (sums if r["kind"] == 0 else values)[:, at] += np.array(got)
-            doc = np.repeat(np.arange(m), kept)
-            for j in range(3):
-                sums[j] += np.bincount(doc, values[j][place], minlength=m)
-            cols = [pa.array(ids, pa.int64(), mask=null), pa.array(held), pa.array(tokens.astype(np.int64)), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(np.full(m, totals.tokens)), pa.array(sums[1]), pa.array(sums[2])]
+        for t in _groups(batches, "grp"):
+            p = Part(folder, t.column("grp")[0].as_py(), hot, n_buckets)
+            score = np.concatenate([np.frombuffer(d, "<f4") for d in t.column("data").to_pylist()])
+            doc = np.repeat(np.arange(len(p.lengths)), p.lengths)
+            base = np.log10((p.train + 1) / (tokens + known + 1))
+            by = lambda x: np.bincount(doc, x, minlength=len(p.lengths))  # noqa: B023, E731
+            cols = [p.ids, pa.array(p.held), pa.array(p.lengths), pa.array(by((p.train > 0)[p.token]).astype(np.int64)), pa.array(np.full(len(p.lengths), tokens)), pa.array(by(base[p.token])), pa.array(by(score[p.cell]))]
             yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in RESULT.split(", ")])
 
-    parts = scored(buckets, folder, frequent, totals, s).unionByName(buckets.filter("kind = 1").mapInArrow(own, PARTIAL))
-    return parts.repartition(n, "flush").sortWithinPartitions("flush", "kind").mapInArrow(together, RESULT)
+    scores = values(buckets.repartition(n, "src"), model, level)
+    return scores.repartition(n, "grp").sortWithinPartitions("grp", "src").mapInArrow(together, RESULT)
 
 
 def op5_language_model(spark, sf_dir: str) -> DataFrame:
