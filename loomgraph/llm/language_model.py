@@ -170,7 +170,7 @@ def release(spark: SparkSession) -> None:
 
 
 def parts(docs: DataFrame, folder: str, s: Settings, groups: int) -> DataFrame:
-    """Files of each part: its tokens as numbers of its words (by group and hash), and its documents.
+    """Files of each part: its tokens as numbers of its words (by group and count), and its documents.
     Rows: the words of a part in a group, their hashes, counts and training counts."""
 
     def part(batch: pa.RecordBatch, src: int) -> pa.RecordBatch:
@@ -178,21 +178,23 @@ def parts(docs: DataFrame, folder: str, s: Settings, groups: int) -> DataFrame:
         _, lengths, words, index = tokenised(batch.column("text"))
         hashes = np.append(word_hashes(words), END)
         group = (mix(hashes, 3) % np.uint64(groups)).astype(np.int64)
-        order = np.lexsort((hashes, group))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
         n = len(ids)
-        token = np.full(len(index) + n, place[-1])
-        token[np.arange(len(index)) + np.repeat(np.arange(n), lengths)] = place[index]
+        counts = np.append(np.bincount(index, minlength=len(words)), n)
+        order = np.lexsort((hashes, -counts, group))
+        # a word's number: small for frequent ones, and telling its group
+        starts = np.searchsorted(group[order], np.arange(groups))
+        number = np.empty(len(order), np.int64)
+        number[order] = (np.arange(len(order)) - starts[group[order]]) * groups + group[order]
+        token = np.full(len(index) + n, number[-1])
+        token[np.arange(len(index)) + np.repeat(np.arange(n), lengths)] = number[index]
         held = np.array([is_held(i, s) for i in ids])
         numbers = np.array([i or 0 for i in ids], np.int64)
-        save(f"{folder}/part-{src}", token, lengths + 1, numbers.view(np.uint64), np.array([i is None for i in ids]), held)
+        save(f"{folder}/part-{src}", token, starts, lengths + 1, numbers.view(np.uint64), np.array([i is None for i in ids]), held)
         taught = np.repeat(~held, lengths + 1)
-        hashes, group = hashes[order], group[order]
-        counts, train = np.bincount(token, minlength=len(order)), np.bincount(token, taught, minlength=len(order)).astype(np.int64)
-        starts = np.flatnonzero(np.diff(group, prepend=-1))
-        cuts = [*starts.tolist(), len(group)]
-        return sent([(int(group[a]), src, packed(np.diff(hashes[a:b], prepend=np.uint64(0)), counts[a:b], train[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        train = np.bincount(starts[token % groups] + token // groups, taught, minlength=len(order)).astype(np.int64)
+        hashes, counts = hashes[order], counts[order]
+        cuts = [*starts.tolist(), len(order)]
+        return sent([(g, src, packed(hashes[a:b], counts[a:b], train[a:b])) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src = TaskContext.get().partitionId() << 32
@@ -214,7 +216,7 @@ def numbered(rows: DataFrame, folder: str, groups: int, frequent: int) -> tuple[
     def total(group: int, sources: list[int], datas: list[bytes]):
         hashes, counts, train = zip(*map(unpacked, datas), strict=True)
         sizes = np.cumsum([0, *map(len, hashes)])
-        hashes = np.concatenate([np.cumsum(h.view(np.uint64)) for h in hashes])
+        hashes = np.concatenate(hashes).view(np.uint64)
         counts, train = np.concatenate(counts), np.concatenate(train)
         words, at = np.unique(hashes, return_inverse=True)
         every, taught = (np.bincount(at, x, minlength=len(words)).astype(np.int64) for x in (counts, train))
@@ -236,8 +238,9 @@ class Part:
     """The tokens of a part, and its distinct cells (u, v, w) in the order of their buckets, by v, w, u."""
 
     def __init__(self, folder: str, src: int, hot: np.ndarray, buckets: int):
-        token, self.lengths, ids, null, held = load(f"{folder}/part-{src}")
+        token, starts, self.lengths, ids, null, held = load(f"{folder}/part-{src}")
         numbers, self.train = load(f"{folder}/words-{src}")
+        token = starts[token % len(starts)] + token // len(starts)
         self.token, self.held = token, held.astype(bool)
         self.ids = pa.array(ids, pa.int64(), mask=null.astype(bool))
         self.taught = np.repeat(~self.held, self.lengths)
@@ -298,22 +301,9 @@ def decoded(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 # --- buckets --------------------------------------------------------------------------------
 
 
-def gathered(rows: DataFrame) -> DataFrame:
-    """One stored row for each bucket: src (its number), parts and their runs."""
-    schema = "src long, parts array<long>, runs array<binary>"
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, "grp"):
-            yield pa.RecordBatch.from_arrays([pa.array([t.column("grp")[0].as_py()], pa.int64()), pa.array([t.column("src").to_pylist()], pa.list_(pa.int64())), pa.array([t.column("data").to_pylist()], pa.list_(pa.binary()))], ["src", "parts", "runs"])
-
-    n = partitions(rows.sparkSession)
-    return stored(rows.repartition(n, "grp").sortWithinPartitions("grp", "src").mapInArrow(work, schema), "buckets")
-
-
-def one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
-    """Rows that are large: only one at a time as Python objects."""
-    for i in range(batch.num_rows):
-        yield batch.slice(i, 1).to_pylist()[0]
+def starts_of(x: np.ndarray) -> np.ndarray:
+    """Places where runs of equal numbers begin."""
+    return np.flatnonzero(np.diff(x, prepend=-1))
 
 
 class Bucket:
@@ -321,7 +311,7 @@ class Bucket:
 
     def __init__(self, runs: list[bytes]):
         v, w, u, count = zip(*map(decoded, runs), strict=True)
-        self.sizes = [len(x) for x in v]
+        self.sizes = np.array([len(x) for x in v])
         v, w, u = map(np.concatenate, (v, w, u))
         n = len(v)
         known, at = np.unique(np.concatenate([v, w, u]), return_inverse=True)
@@ -349,20 +339,28 @@ class Model:
     def __init__(self, folder: str, hot: np.ndarray, groups: int, s: Settings):
         self.folder, self.hot, self.groups, self.s = folder, hot, groups, s
 
-    def put(self, b: int, bucket: Bucket) -> None:
+    def put(self, b: int, parts: list[int], bucket: Bucket) -> None:
+        """Files the cells, where the cells of the parts' runs are among them, and what goes to the groups.
+        Numbers that rise within a pair, a word before or a run are filed as steps."""
         shared = np.isin(bucket.befores, self.hot)
         shared3 = np.flatnonzero(shared[bucket.of])
         shared2 = np.flatnonzero(shared)
         keys = np.concatenate([shared_keys(bucket.befores[bucket.of[shared3]], bucket.first[shared3]), shared_keys(bucket.befores[shared2], np.full(len(shared2), -1))])
         sizes = np.array([len(bucket.first), len(bucket.befores), len(bucket.words)])
-        # what goes to the groups, in their order
         by_word = np.argsort(bucket.words % self.groups, kind="stable")
         by_key = np.lexsort((keys, keys % np.uint64(self.groups)))
-        save(f"{self.folder}/cells-{b}", bucket.count, np.diff(bucket.pair, prepend=0), bucket.context, bucket.word, np.diff(bucket.before, prepend=0), sizes, bucket.words, by_word, shared3, shared2, keys.view(np.int64).view(np.uint64), by_key)
+        in_before = np.arange(len(bucket.of)) - np.searchsorted(bucket.of, bucket.of)  # of contexts, which are sorted by v
+        context = stepped(in_before[bucket.context], starts_of(bucket.pair))
+        word = stepped(bucket.word, starts_of(bucket.before))
+        save(f"{self.folder}/cells-{b}", bucket.count, np.diff(bucket.pair, prepend=0), context, word, np.diff(bucket.before, prepend=0), np.bincount(bucket.of), sizes, bucket.words, by_word, shared3, shared2, keys, by_key)
+        runs = np.cumsum(bucket.sizes) - bucket.sizes
+        save(f"{self.folder}/runs-{b}", np.array(parts), bucket.sizes, stepped(bucket.cell, runs))
 
     def get(self, b: int) -> tuple[Restaurants, dict]:
-        count, pair, context, word, before, sizes, words, by_word, shared3, shared2, keys, by_key = load(f"{self.folder}/cells-{b}")
-        own = Restaurants(count, np.cumsum(pair), context, word, np.cumsum(before), tuple(sizes.tolist()))
+        count, pair, context, word, before, contexts, sizes, words, by_word, shared3, shared2, keys, by_key = load(f"{self.folder}/cells-{b}")
+        pair, before = np.cumsum(pair), np.cumsum(before)
+        context = summed_up(context, starts_of(pair)) + (np.cumsum(contexts) - contexts)[before[pair]]
+        own = Restaurants(count, pair, context, summed_up(word, starts_of(before)), before, tuple(sizes.tolist()))
         return own, {"words": words, "by_word": by_word, "shared3": shared3, "shared2": shared2, "keys": keys.view(np.uint64), "by_key": by_key}
 
     def at(self, b: int, k: int, level: Level) -> tuple[Restaurants, dict]:
@@ -445,21 +443,18 @@ class Model:
         return total, keep
 
 
-def learn(buckets: DataFrame, model: Model, words: int, tokens: int) -> Level:
-    """Rounds of sampling; leaves each bucket's states and totals in the folder."""
-    s = model.s
+def learn(cells: DataFrame, model: Model, words: int) -> tuple[DataFrame, Level]:
+    """cells: SENT (bucket, part, run).  Puts the buckets together and samples in rounds; leaves each
+    bucket's states and totals in the folder.  Returns the buckets."""
+    s, n = model.s, partitions(cells.sparkSession)
     level = Level(words, strengths=[(1.0, 1.0, 1.0)], roots=[(0.0, 0.0)])
     rng = np.random.default_rng([s.seed, 2])
 
-    def start(row: dict) -> list[tuple[int, int, bytes]]:
-        bucket = Bucket(row["runs"])
-        model.put(row["src"], bucket)
-        return model.meet(row["src"], 0, *model.get(row["src"]), level)
-
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in trimmed(batches):
-            for row in one_by_one(batch):
-                yield sent(start(row))
+        for t in _groups(batches, "grp"):
+            b = t.column("grp")[0].as_py()
+            model.put(b, t.column("src").to_pylist(), Bucket(t.column("data").to_pylist()))
+            yield sent(model.meet(b, 0, *model.get(b), level))
 
     for k in range(s.rounds + 1):
 
@@ -468,8 +463,11 @@ def learn(buckets: DataFrame, model: Model, words: int, tokens: int) -> Level:
             r.sample(k == 1, s.moves, np.random.default_rng([s.seed, 1, b, k]))
             return model.meet(b, k, r, places, level)
 
-        rows = buckets.mapInArrow(begin, SENT) if k == 0 else run_again(buckets.select("src"), again)
-        _, sums, _ = exchange(rows, *model.totals(k, level), 12)
+        if k == 0:
+            rows = cells.repartition(n, "grp").sortWithinPartitions("grp", "src").mapInArrow(begin, SENT)
+        else:
+            rows = run_again(buckets.repartition(n, "src"), again)
+        buckets, sums, _ = exchange(rows, *model.totals(k, level), 12)
         if k == 0:
             kept = lambda a, b: float(min(0.95, max(0.05, a / (a + 2 * b) if a + b else 0.5)))
             level.discounts = kept(*sums[2:4]), kept(*sums[10:12]), kept(*sums[8:10])
@@ -480,7 +478,12 @@ def learn(buckets: DataFrame, model: Model, words: int, tokens: int) -> Level:
             strengths = drawn_strength(one, rng), drawn_strength(sums[6:8], rng), drawn_strength(sums[4:6], rng)
         level.strengths.append(strengths)
         level.roots.append((float(sums[0]), float(sums[1])))
-    return level
+        release(cells.sparkSession)
+    return buckets, level
+
+
+#: of log10 probabilities that are sent: a millionth
+UNIT = 2.0**-20
 
 
 def values(buckets: DataFrame, model: Model, level: Level) -> DataFrame:
@@ -488,16 +491,15 @@ def values(buckets: DataFrame, model: Model, level: Level) -> DataFrame:
     s = model.s
     kept = range(max(0, s.rounds - s.keep + 1), s.rounds + 1)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in trimmed(batches):
-            for row in one_by_one(batch):
-                bucket = Bucket(row["runs"])
-                mean = sum(model.at(row["src"], k, level)[0].probability() for k in kept) / len(kept)
-                score = np.log10(mean).astype("<f4")
-                ends = np.cumsum([0, *bucket.sizes])
-                yield sent([(p, row["src"], score[bucket.cell[a:b]].tobytes()) for p, a, b in zip(row["parts"], ends[:-1], ends[1:], strict=True)])
+    def work(b: int) -> list[tuple[int, int, bytes]]:
+        parts, sizes, cell = load(f"{model.folder}/runs-{b}")
+        cell = summed_up(cell, np.cumsum(sizes) - sizes)
+        mean = sum(model.at(b, k, level)[0].probability() for k in kept) / len(kept)
+        score = np.rint(-np.log10(mean) / UNIT).astype(np.int64)
+        ends = np.cumsum([0, *sizes.tolist()])
+        return [(p, b, packed(score[cell[a:z]])) for p, a, z in zip(parts.tolist(), ends[:-1], ends[1:], strict=True)]
 
-    return buckets.mapInArrow(work, SENT)
+    return run_again(buckets, work)
 
 
 def score_documents(docs: DataFrame, s: Settings | None = None) -> DataFrame:
@@ -510,16 +512,13 @@ def score_documents(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     n_buckets = max(n, -(-int(sums[2]) // s.bucket_tokens))
     hot = np.sort(often.reshape(-1, 2)[:, 0])
     cells = run_again(sources.repartition(n, "src"), lambda src: Part(folder, src, hot, n_buckets).runs(src))
-    buckets = gathered(cells)
-    release(spark)
     model = Model(folder, hot, n_buckets, s)
-    level = learn(buckets.repartition(n, "src"), model, known, tokens)
-    release(spark)
+    buckets, level = learn(cells, model, known)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "grp"):
             p = Part(folder, t.column("grp")[0].as_py(), hot, n_buckets)
-            score = np.concatenate([np.frombuffer(d, "<f4") for d in t.column("data").to_pylist()])
+            score = -UNIT * np.concatenate([unpacked(d)[0] for d in t.column("data").to_pylist()])
             doc = np.repeat(np.arange(len(p.lengths)), p.lengths)
             base = np.log10((p.train + 1) / (tokens + known + 1))
             by = lambda x: np.bincount(doc, x, minlength=len(p.lengths))  # noqa: B023, E731
