@@ -154,13 +154,19 @@ def exchange(rows: DataFrame, total, keep, sums: int) -> tuple[DataFrame, np.nda
                 yield sent([(0, -1, added.tobytes() + b"".join(d[8 * sums :] for d in datas))])
 
     n = partitions(rows.sparkSession)
-    replies = rows.repartition(n, "grp").sortWithinPartitions("grp", "src").mapInArrow(answer, SENT)
+    replies = dealt(rows, "grp").sortWithinPartitions("grp", "src").mapInArrow(answer, SENT)
     done = stored(replies.repartition(n, "src").sortWithinPartitions("src", "grp").mapInArrow(back, SENT), "exchanged")
     said = done.filter("src = -1").first()
     data = said["data"] if said else bytes(8 * sums)
     return done.filter("src >= 0").select("src"), np.frombuffer(data[: 8 * sums]), np.frombuffer(data[8 * sums :], np.int64)
 
 
+def dealt(rows: DataFrame, number: str) -> DataFrame:
+    """Rows by buckets or groups, which are numbered without gaps: as many in one partition as in another."""
+    n = partitions(rows.sparkSession)
+    return rows.repartitionById(n, F.pmod(F.col(number), F.lit(n)).cast("int"))
+
+
 def release(spark: SparkSession) -> None:
     """Spark deletes shuffle files once the driver has collected what refers to them."""
     spark.sparkContext._jvm.System.gc()
@@ -446,7 +452,7 @@ class Model:
 def learn(cells: DataFrame, model: Model, words: int) -> tuple[DataFrame, Level]:
     """cells: SENT (bucket, part, run).  Puts the buckets together and samples in rounds; leaves each
     bucket's states and totals in the folder.  Returns the buckets."""
-    s, n = model.s, partitions(cells.sparkSession)
+    s = model.s
     level = Level(words, strengths=[(1.0, 1.0, 1.0)], roots=[(0.0, 0.0)])
     rng = np.random.default_rng([s.seed, 2])
 
@@ -464,9 +470,9 @@ def learn(cells: DataFrame, model: Model, words: int) -> tuple[DataFrame, Level]
             return model.meet(b, k, r, places, level)
 
         if k == 0:
-            rows = cells.repartition(n, "grp").sortWithinPartitions("grp", "src").mapInArrow(begin, SENT)
+            rows = dealt(cells, "grp").sortWithinPartitions("grp", "src").mapInArrow(begin, SENT)
         else:
-            rows = run_again(buckets.repartition(n, "src"), again)
+            rows = run_again(dealt(buckets, "src"), again)
         buckets, sums, _ = exchange(rows, *model.totals(k, level), 12)
         if k == 0:
             kept = lambda a, b: float(min(0.95, max(0.05, a / (a + 2 * b) if a + b else 0.5)))
@@ -525,7 +531,7 @@ def score_documents(docs: DataFrame, s: Settings | None = None) -> DataFrame:
             cols = [p.ids, pa.array(p.held), pa.array(p.lengths), pa.array(by((p.train > 0)[p.token]).astype(np.int64)), pa.array(np.full(len(p.lengths), tokens)), pa.array(by(base[p.token])), pa.array(by(score[p.cell]))]
             yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in RESULT.split(", ")])
 
-    scores = values(buckets.repartition(n, "src"), model, level)
+    scores = values(dealt(buckets, "src"), model, level)
     return scores.repartition(n, "grp").sortWithinPartitions("grp", "src").mapInArrow(together, RESULT)
 
 
