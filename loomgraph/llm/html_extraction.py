@@ -8,7 +8,8 @@ generated ones in which every block's origin is known.
 
 Defined results: null or empty html has an empty text; unclosed and stray tags are tolerated;
 rows with null or repeated page_id are extracted like others; an empty table gives no rows;
-further columns are ignored."""
+further columns are ignored.  Pages of any length and with any markup take time in proportion to
+their length: they are scanned once, and quotes that are never closed hide nothing."""
 
 from __future__ import annotations
 
@@ -16,6 +17,7 @@ import functools
 import html as html_
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,25 +28,30 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import slices, table, trimmed
 
-BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
+BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: elements whose content is never text of the page
-RAW_TAGS = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())
+RAW_TAGS = frozenset("script style title textarea iframe xmp noembed noframes".split())
 #: the same, but with ordinary markup inside
 SKIPPED_TAGS = frozenset("template svg object canvas audio video".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: an open element of the first kind ends where one of the second begins
-ENDS = {"p": BLOCK_TAGS - {"button", "label"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option", "optgroup"}, "head": {"body"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
+ENDS = {"p": BLOCK_TAGS - {"button", "label", "noscript"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option", "optgroup"}, "head": {"body"}}
+_START = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([A-Za-z][^\s/>]*))")
+#: the rest of a tag; only a value's quotes hide a `>`
+_REST = re.compile(r"(?>[^>=\"']+|=\s*+(?>\"[^\"]*\"|'[^']*')?|[\"'])*+>")
+_SKIPPED = re.compile(r"<(?:template|svg|object|canvas|audio|video)\b", re.I)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
 @dataclass
 class Leaf:
-    """A block: its text, the tags and attribute words above it, characters of its links."""
+    """A block: its text, the innermost and all tags above it, their attributes' words, characters of
+    its links."""
 
     text: str
-    tags: tuple[str, ...]
+    tag: str
+    tags: frozenset[str]
     names: frozenset[str]
     linked: int
 
@@ -57,100 +64,142 @@ def _names(attributes: str) -> frozenset[str]:
     return frozenset(out)
 
 
-def _raw_end(page: str, at: int, tag: str) -> int:
-    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-    return end.end() if end else len(page)
-
-
-def _skipped_end(page: str, at: int, tag: str, above: list[str]) -> int:
-    """Where an element that began before `at` ends: after its end tag or, if the element around it
-    ends first, there.  That may also be where a block begins that ends the element around it; below
-    body, where any block begins."""
-    depth, inside, block = 1, [], None
-    while m := _TOKEN.search(page, at):
-        at = m.end()
-        if not m[2]:
-            continue
-        name, closing = m[2].lower(), bool(m[1])
-        if name == tag:
-            depth += -1 if closing else not m[4]
-            if not depth:
-                return at
-        elif name in RAW_TAGS:
-            if not closing and not m[4]:
-                at = _raw_end(page, at, name)
-        elif closing and name in inside:
-            del inside[len(inside) - 1 - inside[::-1].index(name) :]
-        elif closing and name in above:
-            return m.start() if block is None else block
-        elif not closing and name in BLOCK_TAGS and name not in VOID_TAGS and not m[4]:
-            inside.append(name)
-            if block is None and (not above or above[-1] in ("html", "body") or name in ENDS.get(above[-1], ())):
-                block = m.start()
-    return len(page) if block is None else block
-
-
-def leaves(page: str | None) -> list[Leaf]:
-    """Blocks with text, in page order; references decoded, white space made single spaces."""
+class Tags:
+    """Scans a page once, from left to right.  A tag that no `>` outside quotes ends shows that a
+    quote is never closed: from there on quotes hide nothing, so that no part is scanned again."""
+
+    def __init__(self, page: str):
+        self.page, self.at, self.quotes = page, 0, True
+
+    def next(self) -> tuple[int, str, bool, str] | None:
+        """Where the next tag starts, its name, whether it closes, its attributes; comments and
+        declarations have no name.  `at` is then behind it."""
+        page, at = self.page, self.at
+        while m := _START.search(page, at):
+            start, head = m.start(), m.end()
+            if not m[2]:
+                mark = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">")
+                # an empty comment may be closed by its own dashes
+                end = page.find(mark, head - 2 if m[0] == "<!--" else head)
+                self.at = len(page) if end < 0 else end + len(mark)
+                return start, "", False, ""
+            end = _REST.match(page, head) if self.quotes else None
+            if end is None:
+                self.quotes = False
+                stop = page.find(">", head)
+                if stop < 0:
+                    break
+                self.at = stop + 1
+            else:
+                self.at = end.end()
+            return start, m[2].lower(), bool(m[1]), page[head : self.at - 1]
+        self.at = len(page)
+        return None
+
+    def skip_raw(self, tag: str) -> None:
+        end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(self.page, self.at)
+        self.at = end.end() if end else len(self.page)
+
+
+def _closed(page: str) -> set[int]:
+    """Where those skipped elements start that have an end tag."""
+    out: set[int] = set()
+    if not _SKIPPED.search(page):
+        return out
+    scan, opened = Tags(page), {t: [] for t in SKIPPED_TAGS}
+    while (found := scan.next()) is not None:
+        start, name, closing, rest = found
+        if name in RAW_TAGS and not closing and not rest.endswith("/"):
+            scan.skip_raw(name)
+        elif name in SKIPPED_TAGS:
+            if not closing and not rest.endswith("/"):
+                opened[name].append(start)
+            elif closing and opened[name]:
+                out.add(opened[name].pop())
+    return out
+
+
+def leaves(page: str | None, known: frozenset[str] | None = None) -> list[Leaf]:
+    """Blocks with text, in page order; references decoded, white space made single spaces.  known:
+    the attribute words to keep, of which a page may have any number.  A skipped element without an
+    end tag ends with the element around it, or where a block begins that ends that element, or below
+    body where any block begins."""
+    page = page or ""
     out: list[Leaf] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[tuple[str, frozenset[str], bool]] = []  # tag, names, whether it is skipped to its end tag
+    skipped: list[int] = []  # places of skipped elements in the stack
+    open_tags: Counter[str] = Counter()
+    open_names: Counter[str] = Counter()
     parts: list[str] = []
-    linked = in_link = 0
+    linked, in_link = 0, False
+    closed, scan, at = _closed(page), Tags(page), 0
+
+    def pop_to(place: int) -> None:
+        while len(stack) > place:
+            tag, names, _ = stack.pop()
+            if tag in SKIPPED_TAGS:
+                skipped.pop()
+            for counts, items in ((open_tags, (tag,)), (open_names, names)):
+                for x in items:
+                    counts[x] -= 1
+                    if not counts[x]:
+                        del counts[x]
+
+    def push(tag: str, names: frozenset[str] = frozenset(), has_end: bool = False) -> None:
+        if tag in SKIPPED_TAGS:
+            skipped.append(len(stack))
+        stack.append((tag, names, has_end))
+        open_tags[tag] += 1
+        open_names.update(names)
 
-    def flush():
+    def flush() -> None:
         nonlocal linked
         text = " ".join(html_.unescape("".join(parts)).split())
         if text:
-            names = frozenset().union(*(n for _, n in stack)) if stack else frozenset()
-            out.append(Leaf(text, tuple(t for t, _ in stack if t in BLOCK_TAGS), names, linked))
+            place = skipped[0] if skipped else len(stack)
+            out.append(Leaf(text, stack[place - 1][0] if place else "", frozenset(open_tags), frozenset(open_names), linked))
         parts.clear()
         linked = 0
 
-    page, at = page or "", 0
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        raw = page[at : m.start() if m else len(page)]
-        parts.append(raw)
-        if in_link:
-            linked += len(raw)
-        if not m:
+    while True:
+        found = scan.next()
+        if not skipped:
+            raw = page[at : found[0] if found else len(page)]
+            parts.append(raw)
+            linked += len(raw) * in_link
+        if found is None:
             break
-        at = m.end()
-        if not m[2]:
-            continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag in RAW_TAGS:
-            if not closing and not m[4]:
-                at = _raw_end(page, at, tag)
-            continue
-        if tag in SKIPPED_TAGS:
-            if not closing and not m[4]:
-                at = _skipped_end(page, at, tag, [t for t, _ in stack])
-            continue
+        start, tag, closing, rest = found
+        empty = rest.endswith("/")
+        if tag in RAW_TAGS and not closing and not empty:
+            scan.skip_raw(tag)
+        at = scan.at
         if tag == "br":
             parts.append(" ")
-        if tag == "a":
-            in_link = 0 if closing else 1
-        if tag not in BLOCK_TAGS:
-            if tag in ("span", "b", "i", "em", "strong") or tag in VOID_TAGS or tag == "a":
+        elif tag == "a":
+            in_link = not closing
+        elif closing and open_tags[tag]:
+            place = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag)
+            if tag in BLOCK_TAGS and (not skipped or place < skipped[0]):
+                flush()
+                in_link = False
+            pop_to(place)
+        elif tag in SKIPPED_TAGS and not closing and not empty:
+            push(tag, has_end=start in closed)
+        elif tag in BLOCK_TAGS:
+            if skipped and not closing and not stack[skipped[0]][2]:
+                around = stack[skipped[0] - 1][0] if skipped[0] else "body"
+                if around in ("html", "body") or tag in ENDS.get(around, ()):
+                    pop_to(skipped[0])
+            if not skipped:
+                flush()
+            if closing or tag in VOID_TAGS:
                 continue
-            if not closing:
-                parts.append("")
-            continue
-        flush()
-        if tag in VOID_TAGS:
-            continue
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    in_link = 0
-                    break
-            continue
-        while stack and tag in ENDS.get(stack[-1][0], ()):
-            stack.pop()
-        if not m[4]:
-            stack.append((tag, _names(m[3]) if m[3] else frozenset()))
+            while stack and tag in ENDS.get(stack[-1][0], ()):
+                pop_to(len(stack) - 1)
+            if not empty:
+                names = frozenset() if skipped or not rest else _names(rest)
+                push(tag, names if known is None else names & known)
     flush()
     return out
 
@@ -162,8 +211,8 @@ def _size(n: int) -> str:
 def features(leaf: Leaf, place: int, count: int) -> list[str]:
     text = leaf.text
     words = text.split(" ")
-    out = ["bias", f"tag:{leaf.tags[-1] if leaf.tags else ''}", f"words:{_size(len(words))}", f"links:{min(4, 5 * leaf.linked // max(1, len(text)))}"]
-    out += [f"in:{t}" for t in set(leaf.tags)]
+    out = ["bias", f"tag:{leaf.tag}", f"words:{_size(len(words))}", f"links:{min(4, 5 * leaf.linked // max(1, len(text)))}"]
+    out += [f"in:{t}" for t in leaf.tags]
     out += [f"name:{n}" for n in leaf.names]
     out.append(f"end:{text[-1] if text[-1] in '.!?:;,…' else 'other'}")
     stops = sum(text.count(c) for c in ".,;!?")
@@ -187,6 +236,11 @@ class Chain:
     moves: list[list[float]]
     starts: list[float]
 
+    @functools.cached_property
+    def names(self) -> frozenset[str]:
+        """Attribute words that have a weight."""
+        return frozenset(f[5:] for f in self.weights if f.startswith("name:"))
+
     def decode(self, blocks: list[Leaf]) -> list[int]:
         """Likeliest states, by Viterbi."""
         get, n, back = self.weights.get, len(blocks), []
@@ -286,6 +340,9 @@ class PageMaker:
 
     def paragraph(self) -> str:
         text = " ".join(self.sentence(2, 18) for _ in range(self.r.choice([1, 1, 1, 2, 3, 6])))
+        if self.r.random() < 0.12:  # some end in the middle of a sentence
+            words = text.split(" ")
+            text = " ".join(words[: self.r.randint(1, len(words))]).rstrip(".!?")
         if self.r.random() < 0.2:
             text = text.replace(" ", f" <a href='/{self.word()}'>{self.word()}</a> ", 1)
         if self.r.random() < 0.15:
@@ -326,6 +383,8 @@ class PageMaker:
         tag = self.r.choice(["div", "div", "section", "dialog"])
         text = self.r.choice(["We use cookies. ", "Cookie notice. ", "Privacy. ", ""]) + self.sentence(3, 15)
         inner = f"<p>{text}</p><button>{self.r.choice(['Accept', 'OK', 'Close', 'Decline'])}</button>" if self.r.random() < 0.6 else text
+        if self.r.random() < 0.15:
+            return f"<noscript>{self.r.choice(['Please enable JavaScript. ', 'JavaScript is disabled. ', ''])}{self.sentence(3, 9)}</noscript>"
         return f'<{tag}{self.attribute("cookie", "cookie-notice", "consent", "notice", "gdpr", "banner", "popup", "modal")}>{inner}</{tag}>'
 
     def form(self) -> str:
@@ -360,6 +419,9 @@ class PageMaker:
         if r.random() < 0.2:
             out.append(r.choice([self.comments, self.side, self.form])())
         out.append(closing)
+        if r.random() < 0.04:  # pages whose article is there for readers without scripts
+            begin = next(k for k in range(len(out)) if out[k].startswith(opening))
+            out[begin], out[-1] = "<noscript>" + out[begin], closing + "</noscript>"
         for make, chance in ((self.comments, 0.35), (self.side, 0.3), (self.advert, 0.25), (self.form, 0.2), (self.notice, 0.1)):
             if r.random() < chance:
                 out.append(make())
@@ -381,7 +443,7 @@ def default_chain(pages: int = 500, seed: int = 7) -> Chain:
 
 
 def main_text(page: str | None, chain: Chain) -> str:
-    blocks = leaves(page)
+    blocks = leaves(page, chain.names)
     return " ".join(b.text for b, s in zip(blocks, chain.decode(blocks), strict=True) if s) if blocks else ""
 
 
