@@ -6,8 +6,10 @@ distrust holds more than `share` of what its host has of both.  All work is Data
 expressions; both walks go in one table, stored after each round.
 
 Defined results: a null url or one without `://` has an empty host and path, fits no rule and is
-allowed; null html has no links; links within a host carry nothing; rows with null or repeated
-page_id are judged like others; an empty table gives no rows; further columns are ignored."""
+allowed; null html has no links; links within a host carry nothing, nor do those in comments and
+scripts; of equally long rules that fit a blocking one counts; rows with null or repeated page_id
+are judged like others; urls and pages may be of any length; an empty table gives no rows; further
+columns are ignored.  The walks go on until their tolerance is met."""
 
 from __future__ import annotations
 
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import ascii_lower, stored, table
 
 SALTS = 16
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea)\b.*?(?:</\1\s*>|\z)"
+ANCHOR = r"(?i)<a(?=\s)[^>]*?[\s\"'/]href\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 @dataclass(frozen=True)
@@ -58,7 +62,10 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def host_links(pages: DataFrame) -> DataFrame:
     """pages: host, html.  Rows (src, dst, n): links from pages of one host to another."""
-    refs = F.regexp_extract_all(F.coalesce(F.col("html").cast("string"), F.lit("")), F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']?([^\"'\s>]+)"), F.lit(1))
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    # what a comment or a script holds is no link
+    html = F.when(html.rlike(r"(?i)<!--|<script|<style|<textarea"), F.regexp_replace(html, HIDDEN, " ")).otherwise(html)
+    refs = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))
     # most links stay within their site: only those with a host of their own leave the array
     away = F.filter(refs, lambda x: x.contains("//"))
     links = pages.filter("host <> ''").select(F.col("host").alias("src"), F.explode(away).alias("ref"))
