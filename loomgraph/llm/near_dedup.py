@@ -5,8 +5,9 @@ after round every shingle is hashed to a bin, and a bin keeps the least value of
 that reaches it; from round t on each round fills one bin with the least value of all shingles,
 so that every coordinate is filled.  Classes that agree on a band of the sketch are in one bucket,
 tied to the bucket's least member; what is tied together is a family, and all links are inside
-families.  Small families are verified whole in one place.  In large ones the ties are verified
-first, then blocks of members against blocks, but no two blocks of one component.
+families.  Families of few members and shingles are verified whole in one place.  In others the ties
+are verified first, then blocks of members against blocks, but no two blocks of one component; a
+block too has few members and shingles (one text may have more).
 
 Bands: 25 of 5 coordinates; a pair at the threshold 0.85 is missed with probability 4e-7.
 
@@ -29,8 +30,8 @@ from loomgraph.llm.components import connected_components
 
 BINS, ROWS, BANDS = 128, 5, 25
 SALTS = 8
-#: documents of a family, or of a block, that one task compares
-BLOCK = 1024
+#: documents of a family, or of a block, that one task compares, and shingles that they have together
+BLOCK, SHINGLES = 1024, 2_000_000
 
 
 def sketches(values: np.ndarray, offsets: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -196,17 +197,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def large_families(tied: DataFrame, families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) enough to connect each component of families of more than BLOCK members.
+    """Links (a, b) enough to connect each component of large families.
     families: family, id; tied: a, b."""
     inside = tied.join(families.select(F.col("id").alias("a")), "a", "left_semi")
     first = stored(verified(inside, sets, percent), "links")
     labels = connected_components(first)
     rows = families.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    sizes = rows.groupBy("family", "label").count()
+    rows = rows.join(sets.select("id", (F.length("set") / 8).alias("shingles")), "id")
+    sizes = rows.groupBy("family", "label").agg(F.count("*").alias("count"))
     # components of their own get blocks of their own; small ones share
     own = F.col("count") >= BLOCK // 8
     rows = stored(rows.join(sizes, ["family", "label"]).withColumn("pure", F.when(own, F.col("label"))), "family-rows")
-    tally = rows.groupBy("family", "pure").agg(F.count("*").alias("total")).withColumn("chunks", F.ceil(F.col("total") / BLOCK).cast("int"))
+    tally = rows.groupBy("family", "pure").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("shingles") / SHINGLES)).cast("int").alias("chunks"))
     blocks = tally.select("family", "pure", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "chunks")
     blocks = stored(blocks.withColumn("block", F.xxhash64("family", F.coalesce("pure", F.lit(-1)), "chunk")), "blocks")
     one, two = blocks.select("family", F.col("block").alias("p"), F.col("pure").alias("pp")), blocks.select("family", F.col("block").alias("q"), F.col("pure").alias("qq"))
@@ -250,10 +252,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     sets = stored(texts.join(family.select("id"), "id", "left_semi").mapInArrow(as_sets, "id long, set binary").filter("length(set) > 0").dropDuplicates(["id", "set"]), "sets")
-    sizes = family.groupBy("family").count()
-    sized = family.join(sizes, "family")
-    found = [small_families(sized.filter(F.col("count") <= BLOCK).join(sets, "id").select("family", "id", "set"), percent)]
-    large = stored(sized.filter(F.col("count") > BLOCK).select("family", "id"), "large")
+    sizes = family.join(sets.select("id", F.length("set").alias("bytes")), "id").groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sized = family.join(sizes, "family").withColumn("small", (F.col("n") <= BLOCK) & (F.col("bytes") <= 8 * SHINGLES))
+    found = [small_families(sized.filter("small").join(sets, "id").select("family", "id", "set"), percent)]
+    large = stored(sized.filter("NOT small").select("family", "id"), "large")
     if not large.isEmpty():
         found.append(connected_components(large_families(tied, large, sets, percent)))
     labels = found[0] if len(found) == 1 else found[0].unionByName(found[1])
