@@ -206,7 +206,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     keys = (runs[:, 0] << np.int64(44)) + runs[:, 1]
     order = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = tally.select("part", "length", F.coalesce(F.sum("count").over(order), F.lit(0)).alias("before"))
-    ranked = pieces.join(before, ["part", "length"])
+    # rows of `before` grow with the parts: met by a shuffle, never sent to every task
+    ranked = pieces.join(before.hint("merge"), ["part", "length"])
     schema = pieces.drop("part", "nth").schema.add("sequence_id", "long").add("offset", "long")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
