@@ -2,15 +2,17 @@
 
 P(grade <= k) = sigmoid(threshold_k - w.x), one weight vector w for all thresholds.  Features
 are words (A-Z in lower case) and the first four to six characters of longer words, x the logarithm
-of one more than the count.  The labels tell toxic from clean only; a toxic text's grade for
-training comes from how many words with toxic associations it has, cut at terciles.
+of one more than the count.  Grades come from the labels alone: 0 clean, 1 toxic, 2 toxic and of
+low quality; without a column `quality` toxic texts have grade 1 and there is one threshold.
 
-Fitted on a bounded sample: at most `sample` labelled rows of either class, of texts of at most
-`sample_chars` characters, picked by hash.  Scores cover every row and every whole text.
+Fitted on a bounded sample: at most `sample` labelled rows of either class, picked by hash of those
+that have a document, whatever their length.  Executors count the features of the sampled texts;
+the driver gets these counts.  Scores cover every row and every whole text.
 
-Defined results: a null or empty text has no features and the grade they give; rows with null or
-repeated doc_id are scored like others; without labels of both classes every severity is 0; an
-empty table gives no rows; further columns are ignored, or kept in toxicity_filter()."""
+Defined results: a null or empty text has no features and the grade they give; of labels of one
+document the worst counts, null labels do not; rows with null or repeated doc_id are scored like
+others (of those labelled one text is learnt from); without labels of both classes every severity
+is 0; an empty table gives no rows; further columns are ignored, or kept in toxicity_filter()."""
 
 from __future__ import annotations
 
@@ -24,7 +26,6 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import mix, shingle_sets, slices, stored, table, tokenised, trimmed, word_hashes
 
-GRADES = 4
 PREFIXES = (4, 5, 6)
 
 
@@ -59,9 +60,8 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(t - scores.reshape(-1, 1), -500, 500)))
 
 
-def select_features(counts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, most: int, least_docs: int = 4, z: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of features whose rates in the classes differ by z standard errors, the strongest
-    first; whether each is commoner in toxic texts)."""
+def select_features(counts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, most: int, least_docs: int = 4, z: float = 5.0) -> np.ndarray:
+    """Hashes of the features whose rates in the classes differ by z standard errors, the strongest first."""
     n = [int((toxic == t).sum()) for t in (0, 1)]
     keys, at = np.unique(np.concatenate([k for k, _ in counts]), return_inverse=True)
     hostile = np.repeat(toxic, [len(k) for k, _ in counts])
@@ -70,91 +70,138 @@ def select_features(counts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarr
     spread = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     strength = np.abs(a / n[1] - b / n[0]) / np.sqrt((a + b) / (n[0] + n[1]) * (1 / n[0] + 1 / n[1]))
     good = np.flatnonzero((a + b >= least_docs) & (strength >= z) & (np.abs(odds) > 2.5 * spread))
-    good = good[np.argsort(-strength[good], kind="stable")][:most]
-    return keys[good], odds[good] > 0
+    return keys[good[np.argsort(-strength[good], kind="stable")][:most]]
 
 
-def without_copies(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
+def least_shingles(texts: pa.Array, ways: int = 4) -> np.ndarray:
+    """Least three-word shingles of each text under several hashes; 0 without words."""
+    values, offsets = shingle_sets(texts, 3)
+    out = np.zeros((len(offsets) - 1, ways), np.uint64)
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    if len(full):
+        for k in range(ways):
+            out[full, k] = np.minimum.reduceat(mix(values, k), offsets[full])
+    return out
+
+
+def without_copies(least: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Indices of the texts, of copies and near copies in a class only the first: else the rare words
     of a text with many copies would look like signs of its class.  Copies share the least
-    of their three-word shingles under one of several hashes."""
-    values, offsets = shingle_sets(pa.array(texts, pa.string()), 3)
-    full = np.flatnonzero(np.diff(offsets) > 0)
-    least = [dict(zip(full.tolist(), np.minimum.reduceat(mix(values, s), offsets[full]).tolist(), strict=True)) for s in range(4)] if len(full) else []
+    of their shingles under one of several hashes."""
     seen, keep = set(), []
-    for i, t in enumerate(toxic.tolist()):
-        keys = {(t, s, m[i]) for s, m in enumerate(least) if i in m}
+    for i, (t, row) in enumerate(zip(toxic.tolist(), least.tolist(), strict=True)):
+        keys = {(t, k, m) for k, m in enumerate(row) if m}
         if not keys & seen:
             keep.append(i)
         seen |= keys
     return np.array(keep, np.int64)
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, most_features: int = 4000, rounds: int = 400, l2: float = 1e-4) -> OrdinalModel:
-    kept = without_copies(texts, toxic)
-    texts, toxic = [texts[i] for i in kept], toxic[kept]
+@dataclass
+class Design:
+    """Sparse rows (row, column, value) of texts and their grades."""
+
+    row: np.ndarray
+    col: np.ndarray
+    val: np.ndarray
+    grade: np.ndarray
+    features: int
+
+    def loss(self, w: np.ndarray, t: np.ndarray, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """Mean negative log likelihood with a quadratic penalty, and its derivatives by w and t.  t: the
+        first threshold, then the logarithms of the gaps, so that thresholds stay in order."""
+        n, grade = len(self.grade), self.grade
+        theta = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
+        score = np.bincount(self.row, w[self.col] * self.val, minlength=n)
+        upper, lower = np.append(theta, np.inf)[grade], np.concatenate([[-np.inf], theta])[grade]
+        pu, pl = (1 / (1 + np.exp(np.clip(score - x, -500, 500))) for x in (upper, lower))
+        p = np.maximum(pu - pl, 1e-12)
+        du, dl = pu * (1 - pu) / p, pl * (1 - pl) / p
+        by_score = (du - dl) / n
+        by_w = np.bincount(self.col, by_score[self.row] * self.val, minlength=len(w)) + l2 * w
+        by_theta = np.array([(dl[grade == k + 1].sum() - du[grade == k].sum()) / n for k in range(len(t))])
+        tail = np.cumsum(by_theta[::-1])[::-1]
+        return float(-np.log(p).mean() + l2 * (w @ w) / 2), by_w, np.concatenate([tail[:1], tail[1:] * np.exp(t[1:])])
+
+
+def fit(counts: list[tuple[np.ndarray, np.ndarray]], least: np.ndarray, grade: np.ndarray, most_features: int = 4000, rounds: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """counts: hashes and counts of each text's features.  Hashes of the features chosen (sorted), their
+    weights, and thresholds: none if there is nothing to learn."""
+    nothing = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    kept = without_copies(least, grade > 0)
+    counts, grade = [counts[i] for i in kept], grade[kept]
+    toxic = (grade > 0).astype(np.int64)
     if len(set(toxic.tolist())) < 2:
-        return OrdinalModel()
-    counts = [counted(t) for t in texts]
-    keys, hostile = select_features(counts, toxic, most_features)
+        return nothing
+    keys = np.sort(select_features(counts, toxic, most_features))
     if not len(keys):
-        return OrdinalModel()
-    order = np.argsort(keys)
-    keys, hostile = keys[order], hostile[order]
-    row, col, val, hits = [], [], [], np.zeros(len(texts))
+        return nothing
+    row, col, val = [], [], []
     for i, (k, n) in enumerate(counts):
         at = np.searchsorted(keys, k)
         there = keys[np.minimum(at, len(keys) - 1)] == k
         row.append(np.full(int(there.sum()), i))
         col.append(at[there])
         val.append(np.log1p(n[there]))
-        hits[i] = n[there][hostile[at[there]]].sum()
-    row, col, val = np.concatenate(row), np.concatenate(col), np.concatenate(val)
-    cuts = np.quantile(hits[toxic == 1], [i / (GRADES - 1) for i in range(1, GRADES - 1)])
-    grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, hits, "left"), 0)
-    n, w = len(texts), np.zeros(len(keys))
-    # thresholds: the first, then gaps as exponentials, so that they stay in order
-    t = np.array([0.0] + [0.0] * (GRADES - 2))
-    first, second, state = np.zeros(len(w) + len(t)), np.zeros(len(w) + len(t)), 0
+    # grades that do not occur have no threshold
+    levels, grade = np.unique(grade, return_inverse=True)
+    design = Design(np.concatenate(row), np.concatenate(col), np.concatenate(val), grade, len(keys))
+    w, t = np.zeros(len(keys)), np.zeros(len(levels) - 1)
+    first, second = np.zeros(len(w) + len(t)), np.zeros(len(w) + len(t))
     for state in range(1, rounds + 1):
-        theta = np.cumsum(np.concatenate([[t[0]], np.exp(t[1:])]))
-        score = np.bincount(row, w[col] * val, minlength=n)
-        upper, lower = np.append(theta, np.inf)[grade], np.concatenate([[-np.inf], theta])[grade]
-        pu, pl = 1 / (1 + np.exp(np.clip(score - upper, -500, 500))), 1 / (1 + np.exp(np.clip(score - lower, -500, 500)))
-        p = np.maximum(pu - pl, 1e-12)
-        du, dl = pu * (1 - pu) / p, pl * (1 - pl) / p
-        gs = (du - dl) / n  # of the loss by score
-        gw = np.bincount(col, gs[row] * val, minlength=len(w)) + l2 * w
-        gt = np.array([(-du[grade == k].sum() + dl[grade == k + 1].sum()) / n for k in range(GRADES - 1)])
-        tail = np.cumsum(gt[::-1])[::-1]
-        g = np.concatenate([gw, [tail[0]], tail[1:] * np.exp(t[1:])])
+        _, gw, gt = design.loss(w, t, l2)
+        g = np.concatenate([gw, gt])
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         step = 0.1 * (first / (1 - 0.9**state)) / (np.sqrt(second / (1 - 0.99**state)) + 1e-8)
         w, t = w - step[: len(w)], t - step[len(w) :]
-    theta = np.cumsum(np.concatenate([[t[0]], np.exp(t[1:])]))
-    # the names of the hashes, from the texts again
-    found: dict[str, float] = {}
-    for t in texts:
-        names = [f for v in set(tokenised(pa.array([t or ""]))[2]) for f in features(v.decode())]
-        h = word_hashes([f.encode() for f in names])
-        at = np.searchsorted(keys, h)
-        for k in np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == h).tolist():
-            found[names[k]] = float(w[at[k]])
-    return OrdinalModel(dict(sorted(found.items())), theta.tolist())
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_chars: int = 20_000) -> OrdinalModel:
-    """docs: doc_id, text; labels: doc_id, toxic (a document is toxic if any of its labels is)."""
-    one = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    texts = docs.filter(F.length("text") <= sample_chars).select("doc_id", "text")
-    picked = []
-    for value in (0, 1):
-        ids = one.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        picked.append(ids)
+    return keys, w, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """Stored rows (doc_id, text, grade) of the sample."""
+    quality = F.col("quality").cast("int") if "quality" in labels.columns else F.lit(None).cast("int")
+    one = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"), F.min(quality).alias("quality"))
+    grade = F.when(F.col("toxic") <= 0, 0).when(F.col("quality") <= 0, 2).otherwise(1)
+    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    there = stored(one.select("doc_id", grade.alias("grade")).join(texts.select("doc_id"), "doc_id", "left_semi"), "labels")
+    ids = [there.filter(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in ("grade = 0", "grade > 0")]
     # 2 * sample ids, so the broadcast is bounded
-    ids = stored(picked[0].unionByName(picked[1]), "labelled")
-    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy(np.int64))
+    ids = stored(ids[0].unionByName(ids[1]), "labelled")
+    return stored(texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")), "labelled-texts")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> OrdinalModel:
+    """docs: doc_id, text; labels: doc_id, toxic and, if there, quality."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in trimmed(batches):
+            for some in slices(batch, "text"):
+                found = [counted(t) for t in some.column("text").to_pylist()]
+                cols = [some.column("doc_id"), some.column("grade"), *(pa.array([x[j].tobytes() for x in found], pa.binary()) for j in (0, 1)), pa.array([x.tobytes() for x in least_shingles(some.column("text"))], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "grade", "keys", "counts", "least"])
+
+    rows = labelled(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, sample)
+    got = rows.mapInArrow(count, "doc_id long, grade int, keys binary, counts binary, least binary").toArrow().sort_by("doc_id")
+    if not got.num_rows:
+        return OrdinalModel()
+    counts = [(np.frombuffer(k.as_py(), "<u8"), np.frombuffer(n.as_py(), "<i4")) for k, n in zip(got.column("keys"), got.column("counts"), strict=True)]
+    least = np.stack([np.frombuffer(x.as_py(), "<u8") for x in got.column("least")])
+    keys, weights, thresholds = fit(counts, least, got.column("grade").to_numpy())
+    del got, counts
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the chosen hashes stand for."""
+        for batch in trimmed(batches):
+            found = set()
+            for some in slices(batch, "text"):
+                words = [f for w in tokenised(some.column("text"))[2] for f in features(w.decode())]
+                found.update(w for w, h in zip(words, np.isin(word_hashes([w.encode() for w in words]), keys).tolist(), strict=True) if h)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["name"])
+
+    # as many as features were chosen
+    chosen = sorted(r["name"] for r in rows.select("text").mapInArrow(names, "name string").distinct().collect()) if len(keys) else []
+    at = np.searchsorted(keys, word_hashes([f.encode() for f in chosen]))
+    return OrdinalModel(dict(zip(chosen, weights[at].tolist(), strict=True)), thresholds.tolist())
 
 
 #: P(grade > 0) from which a text counts as toxic; clean texts are far below, one weak sign is not
@@ -162,7 +209,7 @@ THRESHOLD = 0.25
 
 
 def judged(texts: pa.Array, model: OrdinalModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(expected grade, likeliest grade, P(grade > 0)) of each text."""
+    """(expected grade, median grade, P(grade > 0)) of each text."""
     get, starts = model.weights.get, {f[:4] for f in model.weights}
     _, lengths, words, index = tokenised(texts)
     n = len(lengths)
@@ -183,13 +230,12 @@ def judged(texts: pa.Array, model: OrdinalModel) -> tuple[np.ndarray, np.ndarray
     over = model.exceed(total)
     if not over.shape[1]:
         return np.zeros(n), np.zeros(n, np.int32), np.zeros(n)
-    p = -np.diff(np.concatenate([np.ones((n, 1)), over, np.zeros((n, 1))], axis=1), axis=1)
-    return over.sum(axis=1), p.argmax(axis=1).astype(np.int32), over[:, 0]
+    return over.sum(axis=1), (over >= 0.5).sum(axis=1).astype(np.int32), over[:, 0]
 
 
 def score(docs: DataFrame, model: OrdinalModel, threshold: float = THRESHOLD) -> DataFrame:
     """docs: doc_id, text.  Rows (doc_id, severity, grade, p_toxic, toxic): severity is the expected
-    grade, grade the likeliest, toxic tells whether P(grade > 0) reaches the threshold."""
+    grade, grade the median, toxic tells whether P(grade > 0) reaches the threshold."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
