@@ -29,12 +29,18 @@ def partitions(spark: SparkSession) -> int:
 
 def workspace(spark: SparkSession, name: str) -> str:
     """URI of a new folder that the driver and all executors share: below
-    spark.checkpoint.dir where the cluster names it, else (tests) below a local one."""
+    spark.checkpoint.dir where the cluster names it, else below the session's checkpoint folder, else
+    (in a session of one machine, as in tests) below a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # a session of one machine, as in tests
-        base = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = base.get() if base.isDefined() else "file://" + tempfile.mkdtemp(prefix="loom-")
-        spark.sparkContext.setCheckpointDir(base)
+    if not base:
+        set_by_session = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if set_by_session.isDefined():
+            base = set_by_session.get()
+        elif spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+            base = "file://" + tempfile.mkdtemp(prefix="loom-")
+            spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if base.startswith("/"):
         base = "file://" + base
     elif base.startswith("file:/") and not base.startswith("file:///"):

@@ -63,13 +63,29 @@ def member(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}"]
     data = "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
-    for strategy in (zlib.Z_DEFAULT_STRATEGY, zlib.Z_FIXED):
-        z = zlib.compressobj(6, zlib.DEFLATED, 31, 9, strategy)
-        out = z.compress(data) + z.flush()
-        # a stored archive inside the payload must not look like a member of this one
+    # a stored archive inside the payload must not look like a member of this one
+    for make in (_deflated, _fixed, _split):
+        out = make(data)
         if not any(header_at(out, at) for at in _magics(out, 1)):
-            break
-    return out
+            return out
+    raise ValueError(f"record {record_id(page_id)} can't be written so that no archive shows inside")
+
+
+def _deflated(data: bytes, strategy: int = zlib.Z_DEFAULT_STRATEGY) -> bytes:
+    z = zlib.compressobj(6, zlib.DEFLATED, 31, 9, strategy)
+    return z.compress(data) + z.flush()
+
+
+def _fixed(data: bytes) -> bytes:
+    return _deflated(data, zlib.Z_FIXED)
+
+
+def _split(data: bytes) -> bytes:
+    """Stored, with a block's header inside every magic."""
+    z = zlib.compressobj(0, zlib.DEFLATED, 31, 9)
+    cuts = [0, *(at + 1 for at in _magics(data, 0)), len(data)]
+    parts = [z.compress(data[a:b]) + z.flush(zlib.Z_FULL_FLUSH) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return b"".join(parts) + z.flush()
 
 
 def _magics(data: bytes, start: int) -> Iterator[int]:

@@ -9,9 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from loomgraph.llm import decontamination, html_extraction, language_model, near_dedup, packing, token_files, topk_search, toxicity, url_filter, warc
-from loomgraph.llm.common import stored, workspace
+from loomgraph.llm import decontamination, near_dedup, packing, token_files, warc
+from loomgraph.llm.common import workspace
 from loomgraph.llm.tokenizing import MemoTokenizer
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -207,136 +206,6 @@ def test_decontamination(spark, docs, none):
     assert decontamination.contained_items(none, items).collect() == [] and decontamination.contained_items(docs, items.limit(0)).collect() == []
 
 
-def test_language_model(spark, docs, none):
-    rows = ROWS + [(20 + i, " ".join(WORDS[: 5 + i])) for i in range(30)]
-    got = language_model.score_documents(documents(spark, rows).repartition(3)).collect()
-    tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + [None]
-    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-    c = Counter(w for i, t in rows if not held(i) for w in tokens(t))
-    n, v = sum(c.values()), len(c)
-    want = Counter((i, held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for i, t in rows)
-    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
-    assert language_model.score_documents(none).collect() == []
-    only_held = language_model.score_documents(documents(spark, [(i, "a b") for i in range(60) if held(i)])).collect()
-    assert only_held and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in only_held)
-
-
-def test_language_model_is_a_distribution():
-    r, s = np.random.default_rng(4), language_model.Settings()
-    n, contexts = 40, 5
-    counts = r.poisson(0.7, (n, contexts)) * r.integers(1, 60, (n, contexts))
-    word, context = np.nonzero(counts)
-    count = counts[word, context]
-    totals = language_model.Totals(int(count.sum()), int((counts.sum(axis=1) > 0).sum()), np.pad(counts.sum(axis=0).astype(float), (0, language_model.CONTEXTS - contexts)), (0.6, 0.4))
-    for _ in range(4):
-        tables, customers, roots = list(language_model.sweeps(0, word, context, count, n, totals, s))[-1]
-        assert (tables >= 1).all() and (tables <= count).all() and (roots <= customers).all() and ((roots > 0) == (customers > 0)).all()
-        totals.sweeps.append((np.bincount(context, tables, minlength=language_model.CONTEXTS), float(customers.sum()), float(roots.sum())))
-    by_class, c, t = totals.sweeps[-1]
-    known = counts.sum(axis=1) > 0
-    parent = language_model.word_probability(customers, roots, c, t, 0.4, totals.words, s)
-    unknown = language_model.word_probability(0, 0, c, t, 0.4, totals.words, s)
-    assert np.isclose(parent[known].sum() + unknown, 1)
-    full = np.zeros((n, contexts))
-    full[word, context] = tables
-    for u in range(contexts):
-        p = lambda a, b, q: (a - 0.6 * b + (s.strength + 0.6 * by_class[u]) * q) / (s.strength + totals.customers[u])  # noqa: E731, B023
-        assert np.isclose(p(counts[known, u], full[known, u], parent[known]).sum() + p(0, 0, unknown), 1)
-
-
-def test_seating_has_the_tables_it_should():
-    r = np.random.default_rng(6)
-    n, a, d = 200, 3.0, 0.5
-    got = language_model.seat(np.full(4000, n), np.full(4000, a), d, r).mean()
-    want = 0.0
-    for _ in range(300):
-        t = 1
-        for i in range(1, n):
-            t += r.random() < a / (i - d * t + a)
-        want += t / 300
-    assert abs(got - want) < 0.03 * want + 0.5
-
-
-def vectors(spark, rows):
-    return spark.createDataFrame([(i, v, "x", 3) for i, v in rows], "vec_id long, embedding array<float>, id string, chunk int")
-
-
-def test_top_k(spark):
-    r = np.random.default_rng(1)
-    rows = [(i, [float(x) for x in r.normal(size=6)]) for i in range(3000)]
-    rows += [(5000 + i, rows[40][1]) for i in range(30)] + [(None, [1.0] * 6), (6000, None), (6020, [1.0, None]), (6040, [float("nan")] * 6), (6060, []), (6080, [float("inf")]), (6100, [2.0, -1.0]), (40, rows[40][1])]
-    got = {}
-    for x in topk_search.top_k(vectors(spark, rows).repartition(4), k=7, divisor=20).collect():
-        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
-    clean = {i: topk_search.quantised(v) for i, v in rows if i is not None and v is not None and topk_search.quantised(v) is not None}
-    m = np.array([np.pad(v, (0, 6 - len(v))) for v in clean.values()])
-    ids = np.array(list(clean))
-    assert set(got) == {i for i in clean if i % 20 == 0}
-    for q in got:
-        s = m @ m[ids == q][0]
-        order = [k for k in np.lexsort((ids, -s)) if ids[k] != q][:7]
-        assert sorted(got[q]) == [(n + 1, ids[k], int(s[k])) for n, k in enumerate(order)]
-    few = topk_search.top_k(vectors(spark, [(20, [1.0]), (3, [2.0])])).collect()
-    assert [tuple(x) for x in few] == [(20, 1, 3, 8192)] and topk_search.top_k(vectors(spark, [])).collect() == []
-
-
-def test_blocks_are_pruned():
-    r = np.random.default_rng(0)
-    blocks = [(np.arange(b * 50, b * 50 + 50), np.floor(r.normal(size=(50, 4)) * 8) + 60 * b) for b in range(10)]
-    highs, lows = (np.array([f(m, axis=0) for _, m in blocks]) for f in (np.max, np.min))
-    q = np.ones((3, 4)) * 2
-    who, what, score, scored = topk_search.search_blocks(np.array([-1, -2, -3]), q, blocks, highs, lows, 5)
-    assert scored == 3 and (what >= 450).all() and len(who) == 15 and (score[:5] == np.sort((blocks[9][1] @ q[0]))[::-1][:5]).all()
-
-
-PAGE = "<html><body><nav><a href='/a'>Home</a></nav><article><h1>Title &amp; more</h1><p>First <b>part</b>\n of it.<br><p>Second&nbsp;one has a few words.</p><script>no()</script></article><footer>&copy; x.com</footer></body></html>"
-URLS = [(0, "http://a.com/x", '<a href="http://b.com/">'), (1, "http://b.com/", '<a href="http://bad.net/y">'), (2, "http://bad.net/y", None), (3, "http://c.org/fr/1", "<a href=//d.com/z>"), (4, "http://D.com", "x"), (5, None, None), (6, "nothing", ""), (7, "http://example.net/en/a?x", '<a href="http://a.com">'), (8, "HTTP://x.Example.COM/de/b#f", ""), (9, "http://net", ""), (None, "http://d.com/q", PAGE), (0, "http://a.com/x", "")]
-
-
-def test_html_extraction(spark):
-    chain = html_extraction.default_chain()
-    assert html_extraction.main_text(PAGE, chain) == "Title & more First part of it. Second one has a few words."
-    assert [html_extraction.main_text(p, chain) for p in (None, "", "<p>", "<!--", "<script>x", "</div></p>")] == [""] * 6
-    assert [b.text for b in html_extraction.leaves("a < b <p class=\"x>y\">c<br>d<div>e</p>f")] == ["a < b", "c d", "e", "f"]
-    pages = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 2), (3, "v", "", 3)], "page_id long, url string, html string, text int")
-    got = html_extraction.extract(pages).collect()
-    assert Counter((r["page_id"], r["n_chars"] == len(r["text"]), bool(r["text"])) for r in got) == {(1, True, True): 2, (None, True, False): 1, (3, True, False): 1}
-    assert html_extraction.extract(pages.limit(0)).collect() == []
-    maker, right, blocks = html_extraction.PageMaker(1234), 0, 0
-    for _ in range(150):
-        leaves, labels = maker.page()
-        right += sum(a == b for a, b in zip(chain.decode(leaves), labels, strict=True))
-        blocks += len(labels)
-    assert right / blocks > 0.97
-
-
-def test_url_filter(spark):
-    pages = spark.createDataFrame([(*u, 1) for u in URLS], "page_id long, url string, html string, host int")
-    got = Counter((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages.drop("host")).collect())
-    assert got[2, "bad.net", "/y", "net/", "block"] == 1 and got[3, "c.org", "/fr/1", "org/fr/", "allow"] == 1 and got[8, "x.example.com", "/de/b", "example.com/de/", "block"] == 1
-    assert got[7, "example.net", "/en/a", "example.net/en/", "allow"] == 1 and got[9, "net", "", None, "allow"] == 1 and got[5, "", "", None, "allow"] == got[6, "", "", None, "allow"] == 1
-    # b.com links to a blocked host, d.com is linked from a trusted one
-    assert got[1, "b.com", "/", None, "block"] == 1 and got[4, "d.com", "", None, "allow"] == 1 and sum(got.values()) == len(URLS)
-    assert url_filter.judge_urls(pages.drop("host").limit(0)).collect() == []
-
-
-def test_spread_is_personalised_page_rank(spark):
-    links = spark.createDataFrame([("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1), ("d", "a", 5)], "src string, dst string, n long")
-    seeds = spark.createDataFrame([("trust", "a", 0.5), ("trust", "d", 0.5), ("distrust", "c", 1.0)], "kind string, host string, mass double")
-    got = {(r["kind"], r["host"]): r["score"] for r in url_filter.spread(links, seeds, tolerance=1e-9, rounds=60).collect()}
-    names, w = "abcd", np.zeros((4, 4))
-    for s, d, n in links.collect():
-        w[names.index(s), names.index(d)] = n
-    for kind, m, seed in (("trust", w, np.array([0.5, 0, 0, 0.5])), ("distrust", w.T, np.array([0, 0, 1.0, 0]))):
-        x = seed
-        for _ in range(200):
-            out = m.sum(axis=1)
-            step = np.divide(m, out[:, None], out=np.zeros_like(m), where=out[:, None] > 0)
-            x = 0.15 * seed + 0.85 * (x @ step + x[out == 0].sum() * seed)
-        assert np.allclose([got.get((kind, n), 0.0) for n in names], x, atol=1e-4)
-
-
 def test_warc(spark):
     long = "é" * 600
     rows = [(1, "http://a/ b\n", long), (3, None, long), (2, "u", long), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (None, "u", long), (8, "u", "x\x1f\x8b\x08" * 900), (9, "u", LONG)]
@@ -359,157 +228,66 @@ def test_an_archive_within_an_archive_stays_hidden():
     assert not any(warc.header_at(outer, k) for k in range(1, len(outer)) if outer[k : k + 3] == warc.GZIP)
 
 
-def labelled(spark, n=240):
-    r = np.random.default_rng(5)
-    rows, labels = [], []
-    for i in range(n):
-        w = [WORDS[k] for k in r.integers(0, 400, 30)]
-        toxic = i % 3 == 0
-        for k in range((1 + i % 4) if toxic else 0):
-            w[3 * k] = ["vile", "awful", "nastyx" + WORDS[i % 50], "nastyx" + WORDS[i % 37]][(i + k) % 4]
-        rows.append((1000 + i, " ".join(w)))
-        labels.append((1000 + i, int(toxic)))
-    return documents(spark, rows), spark.createDataFrame(labels + [(None, 1), (1, None), (1000, 1)], "doc_id long, toxic int")
-
-
-def test_toxicity(spark, docs, none):
-    texts, labels = labelled(spark)
-    model = toxicity.train(texts, labels)
-    assert model.thresholds == sorted(model.thresholds) and "vile" in model.weights
-    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
-    got = toxicity.score(texts, model).collect()
-    assert np.mean([r["toxic"] == bool(truth[r["doc_id"]]) for r in got]) > 0.97 and {r["grade"] for r in got} >= {0, 1, 2}
-    assert all(0 <= r["severity"] <= toxicity.GRADES - 1 for r in got)
-    assert len(toxicity.score(docs, model).collect()) == len(ROWS) and toxicity.score(none, model).collect() == []
-    empty = toxicity.train(texts, labels.limit(0))
-    assert {r["severity"] for r in toxicity.score(docs, empty).collect()} == {0.0}
-    kept = toxicity.toxicity_filter(texts, model)
-    assert kept.columns == texts.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got if not r["toxic"]}
-
-
-def test_pipeline(spark, tmp_path):
-    texts, labels = labelled(spark)
-    clean = [(i, " ".join(f"c{i}v{k}" for k in range(40))) for i in range(10)]
-    rows = clean + [(50, clean[3][1]), (51, clean[3][1] + " z"), (60, "aa bb " + " ".join(WORDS[:20]) + " cc dd"), (70, "vile awful vile awful vile"), (None, None), (80, "a\tb"), (80, "a\tb")]
-    documents(spark, rows).union(texts).write.parquet(f"{tmp_path}/documents.parquet")
-    labels.write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, " ".join(WORDS[:20]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    left = []
-    for name, stage in corpus_pipeline.STAGES:
-        docs = stored(stage(spark, docs, str(tmp_path)), name)
-        left.append(Counter(r["doc_id"] for r in docs.select("doc_id").collect() if r["doc_id"] is None or r["doc_id"] < 1000))
-    first = Counter(i for i, _ in rows)
-    assert left[0] == first - Counter([70])
-    assert left[1] == left[0] - Counter([50, 51, 80]) and left[2] == left[1] - Counter([60]) and left[3] == left[2]
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "packing"] and corpus_pipeline.ORACLE_SQL is None
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
-
-
-def test_pipeline_drops_near_copies_from_80(spark):
-    words = [f"n{k}" for k in range(80)]
-    # 36 shingles of 44 (0.82), and of 46 (0.78)
-    rows = [(1, " ".join(words[:40])), (2, " ".join(words[:48])), (3, " ".join(f"m{w}" for w in words[:40])), (4, " ".join(f"m{w}" for w in words[:50]))]
-    left = corpus_pipeline.near_dedup(spark, documents(spark, rows), "").collect()
-    assert sorted(r["doc_id"] for r in left) == [1, 3, 4]
-
-
-def brute_language_model(rows, held, s, sweeps=30, burn=10):
-    """Customer by customer, in one place; log10 probability by row."""
-    r = np.random.default_rng(5)
-    sequences = [["<s>", *t.split(), "</s>"] for _, t in rows]
-    cells = Counter(p for (i, _), q in zip(rows, sequences, strict=True) if not held(i) for p in zip(q[:-1], q[1:], strict=True))
-    by_context, words = Counter(), Counter()
-    for (u, w), n in cells.items():
-        by_context[u] += n
-        words[w] += n
-    ratio = lambda c: min(0.95, max(0.05, c[1] / (c[1] + 2 * c[2]) if c[1] + c[2] else 0.5))
-    d1, d0 = ratio(Counter(cells.values())), ratio(Counter(words.values()))
-    tables, roots = dict.fromkeys(cells, 1), dict.fromkeys(words, 1)
-    out = np.zeros(len(rows))
-    for k in range(sweeps):
-        below, parent = Counter(), Counter()
-        for (u, w), n in tables.items():
-            below[u] += n
-            parent[w] += n
-        total, all_roots = sum(parent.values()), sum(roots.values())
-        base = (s.strength + d0 * all_roots) / (len(words) + 1)
-        p = {w: (parent[w] - d0 * roots[w] + base) / (s.strength + total) for w in words}
-        unknown = base / (s.strength + total)
-        if k >= burn:
-            prob = lambda u, w: (cells[u, w] - d1 * tables.get((u, w), 0) + (s.strength + d1 * below[u]) * p.get(w, unknown)) / (s.strength + by_context[u])  # noqa: B023, E731
-            out += [sum(np.log10(prob(u, w)) for u, w in zip(q[:-1], q[1:], strict=True)) / (sweeps - burn) for q in sequences]
-        for (u, w), n in cells.items():
-            t, weight = 1, (s.strength + d1 * below[u]) * p[w]
-            for i in range(1, n):
-                t += r.random() < weight / (i - d1 * t + weight)
-            tables[u, w] = t
-        parent = Counter()
-        for (_, w), n in tables.items():
-            parent[w] += n
-        for w, n in parent.items():
-            t = 1
-            for i in range(1, n):
-                t += r.random() < base / (i - d0 * t + base)
-            roots[w] = t
-    return out
-
-
-@pytest.mark.parametrize("frequent", [True, False])
-def test_each_word_is_a_context_of_its_own(spark, monkeypatch, frequent):
-    # 6,000 words each of which tells the next: folded into 1,024 classes, they tell little
-    r = np.random.default_rng(3)
-    rows = [(i, " ".join(f"a{k} b{k} the" for k in r.integers(0, 3000, 25))) for i in range(900)]
-    if not frequent:
-        monkeypatch.setattr(language_model, "frequent_words", lambda *_: np.zeros(0, np.uint64))
-    else:
-        assert len(language_model.frequent_words(documents(spark, rows), 192)) > 0
-    s = language_model.Settings()
-    got = {x["doc_id"]: x["score"] for x in language_model.score_documents(documents(spark, rows).repartition(3), s).collect()}
-    want = brute_language_model(rows, lambda i: language_model.is_held(i, s), s)
-    held = [i for i, _ in rows if language_model.is_held(i, s)]
-    a, b = sum(got[i] for i in held), sum(want[i] for i in held)
-    print("held-out log10 probability", a, "brute force", b)
-    assert len(held) > 80 and abs(a - b) < 0.01 * abs(b)
-    assert max(abs(got[i] - want[i]) / abs(want[i]) for i, _ in rows) < 0.03
-
-
-def test_seating_of_many_customers_is_unbiased():
-    r = np.random.default_rng(8)
-    for n, least in ((1000, 4000), (10_000, 1500), (100_000, 300)):
-        exact = np.ones(least)
-        for i in range(1, n):
-            exact += r.random(least) < 50 / (i - 0.75 * exact + 50)
-        got = language_model.seat(np.full(4000, n), np.full(4000, 50.0), 0.75, r)
-        print(n, "customers:", got.mean(), "tables, exact", exact.mean(), "spread", got.std(), exact.std())
-        assert abs(got.mean() / exact.mean() - 1) < 0.01
-
-
-def test_unclosed_media_lose_no_later_text():
-    texts = lambda page: [b.text for b in html_extraction.leaves(page)]
-    for tag in ("svg", "object", "canvas", "audio", "video", "template"):
-        assert texts(f"<body><div>a<{tag} x=1>no</div><p>b</p></body>") == ["a", "b"]
-        assert texts(f"<body><p>a<{tag}>no<p>b") == texts(f"a<{tag}>no<p>b") == ["a", "b"]
-        assert texts(f"<div>a <{tag}><p>no</p><{tag}>no</{tag}><script></{tag}></script></{tag}> b</div>c") == ["a b", "c"]
-    assert texts("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p>") == ["if x=2 then"]
-    assert texts("a<script>no<p>no") == ["a"]
-
-
-def test_spread_ends_at_the_tolerance(spark):
-    # two hosts that pass all back and forth: 30 rounds do not get below 1e-10
-    links = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
-    seeds = spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, mass double")
-    got = {r["host"]: r["score"] for r in url_filter.spread(links, seeds, damping=0.5, tolerance=1e-10).collect()}
-    assert abs(got["a"] - 2 / 3) < 1e-10 and abs(got["a"] + got["b"] - 1) < 1e-9
-
-
-def test_pipeline_judges_rows_without_id_by_their_text(spark, tmp_path):
-    item, other = " ".join(WORDS[:20]), " ".join(WORDS[100:160])
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = documents(spark, [(3, TEXT), (None, TEXT), (None, other), (None, other), (None, None), (None, None), (7, "a b")])
-    left = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
-    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == {(3, TEXT): 1, (None, other): 1, (None, None): 2, (7, "a b"): 1}
-    assert left.columns == docs.columns
-    leaky = documents(spark, [(3, TEXT), (None, "aa bb " + item + " cc"), (None, other), (None, None), (7, "a b")])
-    left = corpus_pipeline.decontamination(spark, leaky, str(tmp_path))
-    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == {(None, other): 1, (None, None): 1, (7, "a b"): 1}
+def test_an_archive_shows_neither_stored_nor_fixed():
+    inner = b"".join(warc.member(k, "u", bytes([k]) * 50, "00" * 20, None, "2000-01-01T00:00:00Z") for k in range(40))
+    for make in (warc._deflated, warc._fixed, warc._split):
+        assert zlib.decompressobj(31).decompress(make(inner)) == inner
+    out = warc._split(inner)
+    assert not any(warc.header_at(out, k) for k in range(1, len(out)) if out[k : k + 3] == warc.GZIP)
+
+
+def test_a_record_that_cannot_be_hidden_is_an_error(monkeypatch):
+    monkeypatch.setattr(warc, "header_at", lambda *_: {"warc-type": "response"})
+    monkeypatch.setattr(warc, "_magics", lambda *_: [1])
+    with pytest.raises(ValueError):
+        warc.member(1, "u", b"x", "00" * 20, None, "2000-01-01T00:00:00Z")
+
+
+def test_ranges_of_items_lose_no_candidate():
+    bounds = decontamination.range_bounds()
+    r = np.random.default_rng(1)
+    for u, size, absent in bounds[:14]:
+        assert size <= decontamination.MOST
+        for q in {(u + 1) // 2, u}:
+            missing = q * 20 // 100
+            k = min(q, size)
+            worst = max(int((r.permutation(q)[:k] < missing).sum()) for _ in range(300))
+            assert k - worst >= max(1, k - absent)
+            if 2 * missing + 1 <= size:
+                assert missing <= absent
+
+
+def test_long_items_are_found_by_bounded_sketches(spark):
+    r = np.random.default_rng(2)
+    words = [f"x{k}" for k in range(3000)]
+    items = [(1, " ".join(words[:600])), (2, " ".join(words[600:2600])), (3, " ".join(words[2600:2640]))]
+    part = lambda a, b: " ".join(words[a:b])
+    noise = lambda: " ".join(f"y{k}" for k in r.integers(0, 10**6, 500))
+    docs = [(1, f"{noise()} {part(0, 500)} {noise()}"), (2, f"{part(0, 400)} {noise()}"), (3, part(500, 3000)), (4, part(2600, 2640)), (5, noise())]
+    got = decontamination.contained_items(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == {(1, 1), (3, 2), (3, 3), (4, 3)}
+
+
+def test_families_of_long_texts_are_split(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SHINGLES", 100)
+    rows = near_rows()
+    got = near_dedup.near_duplicates(documents(spark, rows).repartition(4)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Nothing:
+        isDefined = staticmethod(lambda: False)
+        getCheckpointDir = staticmethod(lambda: Nothing)
+        sc = staticmethod(lambda: Nothing)
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"_jsc": Nothing, "master": "local-cluster[2,1,1024]"})()
+
+    with pytest.raises(ValueError):
+        workspace(Session(), "x")
