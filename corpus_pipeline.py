@@ -15,45 +15,47 @@ from loomgraph.llm.toxicity import toxicity_filter, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the ordinal model calls toxic."""
+    """Rejects documents that the ordinal model calls toxic.  A null or empty text is not toxic; rows
+    are judged one by one, those without doc_id or with one that others have too like all others."""
     return toxicity_filter(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Adds row_key: doc_id, or for rows without one a number of their own above all ids."""
-    most = docs.agg(F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    if not most[1]:
-        return docs.withColumn("row_key", F.col("doc_id"))
-    above = F.lit(most[0] or 0).cast("long") + 1 + F.monotonically_increasing_id()
-    return stored(docs.withColumn("row_key", F.coalesce(F.col("doc_id").cast("long"), above)), "keyed")
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Stored rows with a key of their own, and its name."""
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
-def by_key(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("row_key").alias("doc_id"), "text")
+def without(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    return rows.join(stored(dropped.select(key), "dropped"), key, "left_anti").drop(key)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (similarity 0.8 or more of five-word shingles),
-    that with the smallest doc_id (rows without one come last)."""
-    rows = keyed(docs)
-    judged = stored(near_duplicates(by_key(rows), percent=80), "judged")
-    dropped = stored(judged.filter("NOT kept").select(F.col("doc_id").alias("row_key")).distinct(), "dropped")
-    kept = rows.join(dropped, "row_key", "left_anti").select(docs.columns)
-    if judged.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    known = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    return known.unionByName(kept.filter("doc_id IS NULL"))
+    """Keeps one row of each group of near copies (similarity 0.8 or more of five-word shingles), that
+    with the smallest doc_id; rows without doc_id come last, and of equal ones any stays.  Rows are
+    linked by their texts alone, so that different texts under one doc_id all stay, and copies
+    without doc_id go; rows without words are linked with nothing and stay."""
+    rows, key = keyed(docs)
+    judged = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), percent=80)
+    judged = stored(judged.select(F.col("doc_id").alias(key), "component_id"), "judged")
+    named = judged.join(rows.select(key, "doc_id"), key)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("first"))
+    return without(rows, key, judged.join(first.select(f"first.{key}"), key, "left_anti")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain an item of the benchmark."""
-    rows = keyed(docs)
-    found = contained_items(by_key(rows), table(spark, sf_dir, "benchmark"))
-    leaks = stored(found.select(F.col("doc_id").alias("row_key")).distinct(), "leaks")
-    return rows.join(leaks, "row_key", "left_anti").select(docs.columns)
+    """Drops rows whose text contains an item of the benchmark, whatever their doc_id; rows without
+    words contain none."""
+    rows, key = keyed(docs)
+    found = contained_items(rows.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(rows, key, found.select(F.col("doc_id").alias(key)).distinct()).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all rows into sequences of 4096 tokens, one row for each piece; a null or empty text has
+    only the end id, equal rows are packed as often as they occur."""
     return pack_documents(docs, "word_bpe_49k.json", 1, memo=150_000)
 
 
