@@ -89,7 +89,13 @@ class Lexer:
         return t.kind != "mark" or t.text in VALUE_MARKS
 
     def run(self) -> list[Token]:
-        self.code(0, None)
+        """What is being lexed stands on a stack, so that nesting may be of any depth: code, in braces
+        all but the first, with the braces open in it; templates; elements, with their depth, whether
+        the place is within a tag, and whether that closes or is empty."""
+        work: list[list] = [["code", 0]]
+        i = 0
+        while i < len(self.s):
+            i = {"code": self.code, "template": self.template, "element": self.element}[work[-1][0]](i, work)
         return self.out
 
     def quoted(self, i: int) -> int:
@@ -98,69 +104,85 @@ class Lexer:
             i += 2 if self.s[i] == "\\" else 1
         return min(i + 1, len(self.s))
 
-    def code(self, i: int, until: str | None) -> int:
-        """Lexes up to the bracket that closes what is being lexed; returns the place behind it."""
-        s, depth = self.s, 0
-        while i < len(s):
-            c = s[i]
-            if c.isspace():
-                i += 1
-            elif s.startswith("//", i):
-                i = s.find("\n", i)
-                i = len(s) if i < 0 else i
-            elif s.startswith("/*", i):
-                i = s.find("*/", i + 2)
-                i = len(s) if i < 0 else i + 2
-            elif self.blocks and s.startswith('"""', i):
-                end = s.find('"""', i + 3)
-                end = len(s) if end < 0 else end + 3
-                self.add("string", i, end)
-                i = end
-            elif c in "\"'":
-                end = self.quoted(i)
-                self.add("string", i, end)
-                i = end
-            elif c == "`" and (self.raw or self.templates):
-                i = self.backquoted(i)
-            elif c.isalpha() or c in "_$#" or ord(c) > 127:
-                end = i + 1
-                while end < len(s) and (s[end].isalnum() or s[end] in "_$" or ord(s[end]) > 127 and not s[end].isspace()):
-                    end += 1
-                self.add("name", i, end)
-                i = end
-            elif c.isdigit():
-                end = i + 1
-                while end < len(s) and (s[end].isalnum() or s[end] in "_." and s[end : end + 2] != ".."):
-                    end += 1
-                self.add("number", i, end)
-                i = end
-            elif c == "/" and self.regex and not self.after_value():
-                i = self.pattern(i)
-            elif c == "<" and self.jsx and not self.after_value() and (s[i + 1 : i + 2].isalpha() or s[i + 1 : i + 2] == ">"):
-                i = self.element(i)
-            else:
-                two = s[i : i + 2]
-                n = 3 if s.startswith("...", i) else 2 if two in ("=>", "?.", "->", "::", ":=") else 1
-                if n == 1 and until and c in "{}":
-                    depth += 1 if c == "{" else -1
-                    if depth < 0:
-                        return i + 1
-                self.add("mark", i, i + n)
-                i += n
-        return i
-
-    def backquoted(self, i: int) -> int:
-        start, i = i, i + 1
-        while i < len(self.s) and self.s[i] != "`":
-            if self.templates and self.s[i] == "\\":
-                i += 2
-            elif self.templates and self.s.startswith("${", i):
-                self.add("mark", i + 1, i + 2)
-                i = self.code(i + 2, "}")
-                self.add("mark", i - 1, i)
-            else:
-                i += 1
-        self.add("string", min(i, len(self.s)), min(i + 1, len(self.s))) if self.templates else self.add("string", start, min(i + 1, len(self.s)))
+    def code(self, i: int, work: list[list]) -> int:
+        """Lexes one token; returns the place behind it."""
+        s, c = self.s, self.s[i]
+        if c.isspace():
+            return i + 1
+        if s.startswith("//", i):
+            i = s.find("\n", i)
+            return len(s) if i < 0 else i
+        if s.startswith("/*", i):
+            i = s.find("*/", i + 2)
+            return len(s) if i < 0 else i + 2
+        if self.blocks and s.startswith('"""', i):
+            end = s.find('"""', i + 3)
+            return self.token("string", i, len(s) if end < 0 else end + 3)
+        if c in "\"'":
+            return self.token("string", i, self.quoted(i))
+        if c == "`" and self.templates:
+            work.append(["template"])
+            return i + 1
+        if c == "`" and self.raw:
+            end = s.find("`", i + 1)
+            return self.token("string", i, len(s) if end < 0 else end + 1)
+        if c.isalpha() or c in "_$#" or ord(c) > 127:
+            end = i + 1
+            while end < len(s) and (s[end].isalnum() or s[end] in "_$" or ord(s[end]) > 127 and not s[end].isspace()):
+                end += 1
+            return self.token("name", i, end)
+        if c.isdigit():
+            end = i + 1
+            while end < len(s) and (s[end].isalnum() or s[end] in "_." and s[end : end + 2] != ".."):
+                end += 1
+            return self.token("number", i, end)
+        if c == "/" and self.regex and not self.after_value():
+            return self.pattern(i)
+        if c == "<" and self.jsx and not self.after_value() and (s[i + 1 : i + 2].isalpha() or s[i + 1 : i + 2] == ">"):
+            work.append(["element", 0, False, False, False])
+            return i
+        two = s[i : i + 2]
+        n = 3 if s.startswith("...", i) else 2 if two in ("=>", "?.", "->", "::", ":=") else 1
+        if n == 1 and len(work) > 1 and c in "{}":
+            work[-1][1] += 1 if c == "{" else -1
+            if work[-1][1] < 0:
+                work.pop()
+        return self.token("mark", i, i + n)
+
+    def token(self, kind: str, start: int, end: int) -> int:
+        self.add(kind, start, end)
+        return end
+
+    def template(self, i: int, work: list[list]) -> int:
+        s = self.s
+        if s[i] == "`":
+            work.pop()
+            return self.token("string", i, i + 1)
+        if s.startswith("${", i):
+            work.append(["code", 0])
+            return self.token("mark", i + 1, i + 2)
+        return i + (2 if s[i] == "\\" else 1)
+
+    def element(self, i: int, work: list[list]) -> int:
+        """An element: its text is no code, what stands in braces is."""
+        s, state = self.s, work[-1]
+        _, depth, in_tag, closing, empty = state
+        if s[i] == "{":
+            work.append(["code", 0])
+            return self.token("mark", i, i + 1)
+        if not in_tag:
+            if s[i] == "<":
+                state[2:] = [True, s.startswith("</", i), False]
+            return i + 1
+        if s[i] in "\"'":
+            return self.quoted(i)
+        if s[i] != ">":
+            state[4] = s.startswith("/>", i)
+            return i + 1
+        state[1], state[2] = depth + (-1 if closing else 0 if empty else 1), False
+        if state[1] <= 0:
+            work.pop()
+            self.add("string", i + 1, i + 1)
         return i + 1
 
     def pattern(self, i: int) -> int:
@@ -176,35 +198,3 @@ class Lexer:
             i += 1
         self.add("string", start, min(i, len(self.s)))
         return i
-
-    def element(self, i: int) -> int:
-        """An element: its text is no code, what stands in braces is."""
-        s, depth = self.s, 0
-        while i < len(s):
-            if s[i] == "<":
-                closing, i = s.startswith("</", i), i + 1
-                empty = False
-                while i < len(s) and s[i] != ">":
-                    if s[i] in "\"'":
-                        i = self.quoted(i)
-                    elif s[i] == "{":
-                        i = self.braces(i)
-                    else:
-                        empty = s.startswith("/>", i)
-                        i += 1
-                i += 1
-                depth += -1 if closing else 0 if empty else 1
-                if depth <= 0:
-                    break
-            elif s[i] == "{":
-                i = self.braces(i)
-            else:
-                i += 1
-        self.add("string", min(i, len(s)), min(i, len(s)))
-        return i
-
-    def braces(self, i: int) -> int:
-        self.add("mark", i, i + 1)
-        i = self.code(i + 1, "}")
-        self.add("mark", i - 1, i)
-        return i

@@ -20,18 +20,21 @@ def parse_java(source: str) -> dict:
     def named(i: int) -> bool:
         return 0 <= i < n and tokens[i].kind == "name"
 
-    class_bodies, scopes, class_bodies_scope = set(), {}, {}
-    stack: list[tuple[int, str | None, bool]] = []
+    class_bodies, enum_bodies, scopes, class_bodies_scope = set(), set(), {}, {}
+    stack: list[tuple[int, str | None, bool, bool]] = []
+    constants = False  # whether the place is among the constants of an enum
     scope: str | None = None
     in_class, begin, i = False, 0, 0  # begin: first token of the member or statement
     while i < n:
         while stack and i >= stack[-1][0]:
-            _, scope, in_class = stack.pop()
+            _, scope, in_class, constants = stack.pop()
             begin = i + 1
         t, before = text[i], text[i - 1] if i else ""
         if t == "{":
-            stack.append((close.get(i, n), scope, in_class))
-            if i in class_bodies:
+            stack.append((close.get(i, n), scope, in_class, constants))
+            body_of_constant = constants and (before == ")" or named(i - 1))
+            constants = i in enum_bodies
+            if i in class_bodies or body_of_constant:
                 scope, in_class = class_bodies_scope.get(i, None), True
             elif i in scopes:
                 scope, in_class = scopes[i], False
@@ -40,6 +43,7 @@ def parse_java(source: str) -> dict:
             begin = i + 1
         elif t in (";", "}"):
             begin = i + 1
+            constants = constants and t != ";"
         elif t == "@" and text[i + 1] == "interface":
             i += 2
             while i < n and text[i] != "{":
@@ -71,6 +75,8 @@ def parse_java(source: str) -> dict:
             while k < n and text[k] not in ("{", ";"):
                 k = past(k) if text[k] == "(" else k + 1
             class_bodies.add(k)
+            if t == "enum":
+                enum_bodies.add(k)
             i = k
             continue
         elif t == "new" and named(i + 1):
@@ -88,7 +94,7 @@ def parse_java(source: str) -> dict:
                     class_bodies_scope[past(k)] = scope
                 i = k
                 continue
-        elif named(i) and text[i + 1] == "(" and t not in NOT_CALLED:
+        elif named(i) and text[i + 1] == "(" and t not in NOT_CALLED and not (constants and before in ("{", ",", ")")):
             end = past(i + 1)
             typed = (named(i - 1) and before not in MODIFIERS and before not in NOT_CALLED) or before in (">", "]")
             if in_class and typed and i > begin:

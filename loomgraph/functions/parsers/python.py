@@ -67,6 +67,15 @@ _BLANK = re.compile(r"(\"\"\"|''').*?(?:\1|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^
 _WORDS = {"if", "elif", "while", "for", "return", "and", "or", "not", "in", "is", "lambda", "print", "assert", "with", "yield", "await", "except", "def", "class", "del", "raise"} - {"print"}
 
 
+def _behind_header(line: str, at: int) -> str:
+    depth = 0
+    for k in range(at, len(line)):
+        depth += (line[k] in "([{") - (line[k] in ")]}")
+        if line[k] == ":" and depth <= 0:
+            return line[k + 1 :]
+    return ""
+
+
 def _scan(source: str) -> dict:
     """Scopes by indentation, for files with errors."""
     out = Collector(source)
@@ -86,7 +95,8 @@ def _scan(source: str) -> dict:
                 if m[2] == "def":
                     out.enter(m[3])
                 open_.append((indent, m[2], m[3] if m[2] == "def" else None))
-                rest = ""
+                # what stands behind the header in its line is the body
+                rest, scope = _behind_header(line, m.end()), open_[-1][2]
             elif m := _IMPORT.match(line):
                 for ref in [m[2]] if m[2] else [x.strip().split(" ")[0] for x in m[1].split(",")]:
                     if ref and ref != "__future__":

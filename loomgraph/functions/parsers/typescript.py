@@ -6,6 +6,8 @@ from loomgraph.functions.parsers.base import Collector, Lexer, Token, matches
 
 RESERVED = frozenset("if for while switch catch function return typeof new delete void in of instanceof do else case throw await yield with super import require class const let var export default extends".split())
 MODIFIERS = frozenset("public private protected static readonly async override abstract get set declare accessor".split())
+#: words that no declaration goes on behind
+AFTER_DECLARATION = frozenset("export if for while switch try throw break continue return".split())
 STATEMENTS = frozenset("const let var function class export import return if for while switch try throw do break continue interface type enum declare abstract async".split())
 #: a brace after one of these opens an object, else a block
 BEFORE_OBJECT = frozenset(["=", "(", ",", ":", "[", "return", "?", "|", "&", "=>", "??", "!", "...", "default", "in", "of", "typeof", "await", "yield", "new"])
@@ -19,6 +21,27 @@ class _Parse:
         self.text = [t.text for t in self.tokens] + [""] * 4
         self.kind = [t.kind for t in self.tokens] + [""] * 4
         self.close = matches(self.tokens)
+        self.parts_declarators = self._commas()
+
+    def _commas(self) -> set[int]:
+        """Places of the commas between the declarators of one statement."""
+        out, open_ = set(), [False]
+        for i, t in enumerate(self.tokens):
+            if t.kind == "name":
+                if t.text in ("const", "let", "var"):
+                    open_[-1] = True
+                elif t.text in AFTER_DECLARATION and self.before(i) != ".":
+                    open_[-1] = False
+            elif t.text in ("(", "[", "{"):
+                open_.append(False)
+            elif t.text in (")", "]", "}"):
+                open_.pop()
+                open_ = open_ or [False]
+            elif t.text == ";":
+                open_[-1] = False
+            elif t.text == "," and open_[-1]:
+                out.add(i)
+        return out
 
     def past(self, i: int) -> int:
         return self.close.get(i, self.n) + 1
@@ -158,7 +181,7 @@ class _Parse:
                         self.declare(t, "method", first, k, brace, begins, muted)
                         i = k
                         continue
-            if p in ("const", "let", "var") or (p == "," and self.in_declaration(i)):
+            if p in ("const", "let", "var") or i - 1 in self.parts_declarators:
                 k = i + 1
                 if text[k] == "!":
                     k += 1
@@ -192,24 +215,6 @@ class _Parse:
             i -= 2
         return self.before(i) == "new"
 
-    def in_declaration(self, i: int) -> bool:
-        """Whether the comma in front of i parts the declarators of one statement."""
-        k, depth = i - 1, 0
-        while k >= 0 and i - k < 400:
-            t = self.text[k]
-            if t in (")", "]", "}"):
-                depth += 1
-            elif t in ("(", "[", "{"):
-                depth -= 1
-                if depth < 0:
-                    return False
-            elif depth == 0 and t == ";":
-                return False
-            elif depth == 0 and t in ("const", "let", "var"):
-                return True
-            k -= 1
-        return False
-
     def declare(self, name: str, kind: str, first: int, params: int, brace: int, begins: dict, muted: dict) -> None:
         t = self.tokens[first]
         self.out.symbol(name, kind, t.start, t.line)

@@ -15,6 +15,7 @@ from loomgraph.operators.frames import checkpointed
 
 #: links up to which one task ranks the graph
 KERNEL_LINKS = 500_000
+DIGITS = 12
 
 
 def link_weights(links: DataFrame) -> DataFrame:
@@ -92,6 +93,7 @@ def file_links(edges: DataFrame) -> DataFrame:
 
 
 def file_ranks(symbols: DataFrame, edges: DataFrame, **options) -> DataFrame:
-    """Rows (file, rank) of every file with a symbol or an edge; every resolved edge is a link."""
+    """Rows (file, rank) of every file with a symbol or an edge; every resolved edge is a link.  Ranks
+    are rounded to DIGITS, so that files of equal rank tie, whatever the order of the sums."""
     nodes = symbols.select(F.col("file").alias("node")).union(edges.select("caller_file"))
-    return page_rank(nodes, file_links(edges), **options).select(F.col("node").alias("file"), "rank")
+    return page_rank(nodes, file_links(edges), **options).select(F.col("node").alias("file"), F.round("rank", DIGITS).alias("rank"))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import language
 
 
+#: more imports than any file has room for
+CALLS = 1 << 30
+
+
 def definitions(symbols: DataFrame) -> DataFrame:
     """name, n (definitions of that name anywhere), file (the one file if n is 1)."""
     return symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("file").alias("file"))
@@ -81,9 +85,9 @@ def resolve_imports(imports: DataFrame, paths: DataFrame, compat: bool = False)
 
 
 def build_edges(imports: DataFrame, calls: DataFrame, symbols: DataFrame, paths: DataFrame, compat: bool = False) -> DataFrame:
-    """Import edges of each file, then its call edges: ord runs on over both."""
+    """Import edges of each file, then its call edges: ord runs on over both, from CALLS for calls."""
     one, two = resolve_imports(imports, paths, compat), resolve_calls(calls, symbols)
-    return one.unionByName(two.withColumn("ord", F.col("ord") + 1_000_000))
+    return one.unionByName(two.withColumn("ord", F.col("ord") + CALLS))
 
 
 def ambiguous_names(symbols: DataFrame) -> DataFrame:

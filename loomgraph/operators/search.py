@@ -40,8 +40,9 @@ def find_ranked(symbols: DataFrame, ranks: DataFrame, query: str, kind: str | No
     with equal file, name and line the first.  One scan: the tier is a function of the name."""
     hits = symbols.withColumn("tier", tier(query)).filter("tier IS NOT NULL" if query else "false")
     hits = hits.filter(F.col("kind") == kind) if kind is not None else hits
-    one = Window.partitionBy("file", "name", "line").orderBy("tier", "ord")
-    hits = hits.withColumn("place", F.row_number().over(one)).filter("place = 1")
+    # equal names have one tier, so the first is that of the least ord
+    first = hits.groupBy("file", "name", "line", "tier").agg(F.min(F.struct("ord", "kind", "signature")).alias("first"))
+    hits = first.select("tier", "file", "line", "name", "first.kind", "first.signature", "first.ord")
     best = with_rank(hits, ranks).orderBy("tier", F.desc("rank"), ordered("file", collation), "line", "ord")
     best = best.limit(top_k) if top_k is not None else best
     return best.select("tier", "rank", "file", "line", "kind", "name", "signature", "ord")

@@ -50,19 +50,22 @@ class CodeIndex:
 
     def reindex(self, sources: DataFrame | None = None) -> Indexed:
         """Parses what is new or changed and resolves all edges again, so that a run on an old index
-        gives what a run on none would.  sources: path, content, lang, hash; by default the tree."""
+        gives what a run on none would; all tables change at once.  Without changes nothing is
+        written.  sources: path, content, lang, hash; by default the tree."""
         began = time.time()
-        try:
-            self.store.check()
-        except CorruptIndex:
-            raise
+        self.store.check()
         old = {n: self.store.read(n) for n in schema.TABLES}
         # one walk and one read of the contents feed the comparison and the parsers
         disk = (sources if sources is not None else read_tree(self.spark, self.root)).persist(StorageLevel.MEMORY_AND_DISK)
         changed = changed_files(disk.select("path", "hash", "content", "lang"), old["files"])
+        here, touched = disk.select("path"), changed.select("path")
         parsed = parse_sources(changed).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            here, touched = disk.select("path"), changed.select("path")
+            if self.store.exists():
+                gone = old["files"].join(here, "path", "left_anti") if not self.compat else old["files"].limit(0)
+                if touched.union(gone.select("path")).isEmpty():
+                    return Indexed(0, self.store.rows("symbols"), int(1000 * (time.time() - began)))
+            draft = self.store.draft()
             files = replace_rows(old["files"], changed.select("path", "hash"), touched, "path")
             symbols = replace_rows(old["symbols"], schema.guard_symbols(symbols_of(parsed)), touched, "file")
             imports = replace_rows(old["imports"], imports_of(parsed), touched, "file")
@@ -70,19 +73,19 @@ class CodeIndex:
             if not self.compat:  # files that are gone go from the index
                 keep = lambda df, c: df.join(here.select(F.col("path").alias(c)), c, "left_semi").select(df.columns)
                 files, symbols, imports, calls = keep(files, "path"), keep(symbols, "file"), keep(imports, "file"), keep(calls, "file")
-            n_changed = parsed.count()
-            self.store.write({"symbols": symbols, "imports": imports, "calls": calls})
-            symbols, imports, calls = (self.store.read(n) for n in ("symbols", "imports", "calls"))
+            symbols, imports, calls = draft.write("symbols", symbols), draft.write("imports", imports), draft.write("calls", calls)
             if self.compat:
                 mine = lambda df: df.join(touched.select(F.col("path").alias("file")), "file", "left_semi")
                 new = build_edges(mine(imports), mine(calls), symbols, here, compat=True)
                 edges = replace_rows(old["edges"], new.select(old["edges"].columns), touched, "caller_file")
             else:
                 edges = build_edges(imports, calls, symbols, files.select("path"))
-            self.store.write({"edges": schema.guard_edges(edges)})
-            # hashes go last: a run that breaks off before is done again
-            self.store.write({"ranks": file_ranks(symbols, self.store.read("edges")), "files": files})
-            return Indexed(n_changed, symbols.count(), int(1000 * (time.time() - began)))
+            edges = draft.write("edges", schema.guard_edges(edges))
+            draft.write("ranks", file_ranks(symbols, edges))
+            draft.write("files", files)
+            draft.commit()
+            self.store.vacuum()
+            return Indexed(parsed.count(), self.store.rows("symbols"), int(1000 * (time.time() - began)))
         finally:
             parsed.unpersist()
             disk.unpersist()
@@ -131,8 +134,8 @@ class CodeIndex:
             rows.append(("index", "MISSING", f"run reindex on {self.root}"))
         else:
             try:
-                self.store.check()
-                n = {t: self.store.read(t).count() for t in ("files", "symbols", "edges")}
+                self.store.check(full=True)
+                n = {t: self.store.rows(t) for t in ("files", "symbols", "edges")}
                 rows.append(("index", "OK", f"files {n['files']} | symbols {n['symbols']} | edges {n['edges']}"))
                 spread = language_distribution(self.store.read("files")).collect()
                 rows.append(("languages", "OK", ", ".join(f"{r['label']} {r['n']}" for r in spread)))

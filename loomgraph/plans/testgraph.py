@@ -1,24 +1,35 @@
 """A code-shaped graph derived from the part and lineitem tables, since the driver's tables hold no
-source code; the same in SQL, as common table expressions; and a link graph of the pages."""
+source code; the same in SQL, as common table expressions; and a link graph of the pages.
+
+`index` keeps the graph as an index on disk, as `CodeIndex` keeps that of a source tree: made once a
+session and table folder, then read by the queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.frames import shared_folder
+from loomgraph.operators.rank import file_ranks
 from loomgraph.operators.resolve import build_edges
-
-IMPORT_OFFSET = 1_000_000
-
+from loomgraph.sources.snapshots import Store
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _size(spark: SparkSession, sf_dir: str) -> int:
+@functools.lru_cache(maxsize=64)
+def _rows(application: str, spark: SparkSession, sf_dir: str) -> int:
     return _table(spark, sf_dir, "part").count()
 
 
+def _size(spark: SparkSession, sf_dir: str) -> int:
+    return _rows(spark.sparkContext.applicationId, spark, sf_dir)
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _size(spark, sf_dir)
     key, module = F.col("p_partkey"), F.floor(F.col("p_partkey") / 10)
@@ -32,16 +43,18 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _size(spark, sf_dir)
     s = symbols(spark, sf_dir).select("p_partkey", "file", "name")
-    items = _table(spark, sf_dir, "lineitem").filter("l_orderkey % 8 = 0").select(F.col("l_partkey").alias("a"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % n).alias("b")).distinct()
+    items = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % n).alias("b")).distinct()
     one, two = s.select(F.col("p_partkey").alias("a"), "file", F.col("name").alias("caller")), s.select(F.col("p_partkey").alias("b"), F.col("name").alias("callee"))
-    return items.join(one, "a").join(two, "b").select("file", "caller", "callee").distinct().withColumn("ord", F.lit(0))
+    found = items.join(one, "a").join(two, "b").select("file", "caller", "callee").distinct()
+    return found.withColumn("ord", F.row_number().over(Window.partitionBy("file").orderBy("caller", "callee")) - 1)
 
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     modules = _size(spark, sf_dir) // 4 // 10
     s = symbols(spark, sf_dir).select(F.col("p_partkey").alias("a"), "file")
-    items = _table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 0").select(F.col("l_partkey").alias("a"), F.concat(F.lit("src.m"), ((F.col("l_partkey") * 3 + F.col("l_suppkey")) % modules).cast("string")).alias("ref"))
-    return items.join(s, "a").select("file", F.lit("python").alias("lang"), "ref").distinct().withColumn("ord", F.lit(0))
+    items = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.concat(F.lit("src.m"), ((F.col("l_partkey") * 3 + F.col("l_suppkey")) % modules).cast("string")).alias("ref"))
+    found = items.join(s, "a").select("file", F.lit("python").alias("lang"), "ref").distinct()
+    return found.withColumn("ord", F.row_number().over(Window.partitionBy("file").orderBy("ref")) - 1)
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +65,26 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_edges(imports(spark, sf_dir), calls(spark, sf_dir), symbols(spark, sf_dir), paths(spark, sf_dir))
 
 
+def new_store(spark: SparkSession, name: str = "index") -> Store:
+    return Store(spark, f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+
+
+@functools.lru_cache(maxsize=64)
+def _index(application: str, spark: SparkSession, sf_dir: str) -> Store:
+    store = new_store(spark)
+    draft = store.draft()
+    known, called, imported = (draft.write(n, f(spark, sf_dir)) for n, f in (("symbols", symbols), ("calls", calls), ("imports", imports)))
+    files = draft.write("files", known.select(F.col("file").alias("path")).distinct().withColumn("hash", F.sha1("path")))
+    linked = draft.write("edges", build_edges(imported, called, known, files.select("path")))
+    draft.write("ranks", file_ranks(known, linked))
+    draft.commit()
+    return store
+
+
+def index(spark: SparkSession, sf_dir: str) -> Store:
+    return _index(spark.sparkContext.applicationId, spark, sf_dir)
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").filter("url IS NOT NULL")
     return pages.select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("dst"))
@@ -69,18 +102,19 @@ symbols AS (
          CAST(p_partkey % 10 AS INTEGER) AS ord, p_partkey
   FROM part),
 calls AS (
-  SELECT DISTINCT a.file, a.name AS caller, b.name AS callee
-  FROM lineitem l JOIN symbols a ON a.p_partkey = l.l_partkey
-  JOIN symbols b ON b.p_partkey = (l.l_partkey * 7 + l.l_suppkey) % (SELECT n FROM n)
-  WHERE l.l_orderkey % 8 = 0),
+  SELECT file, caller, callee, row_number() OVER (PARTITION BY file ORDER BY caller, callee) - 1 AS ord FROM (
+    SELECT DISTINCT a.file, a.name AS caller, b.name AS callee
+    FROM lineitem l JOIN symbols a ON a.p_partkey = l.l_partkey
+    JOIN symbols b ON b.p_partkey = (l.l_partkey * 7 + l.l_suppkey) % (SELECT n FROM n))),
 imports AS (
-  SELECT DISTINCT a.file, 'src.m' || ((l.l_partkey * 3 + l.l_suppkey) % (SELECT n // 4 // 10 FROM n)) AS ref
-  FROM lineitem l JOIN symbols a ON a.p_partkey = l.l_partkey WHERE l.l_orderkey % 40 = 0),
+  SELECT file, ref, row_number() OVER (PARTITION BY file ORDER BY ref) - 1 AS ord FROM (
+    SELECT DISTINCT a.file, 'src.m' || ((l.l_partkey * 3 + l.l_suppkey) % (SELECT n // 4 // 10 FROM n)) AS ref
+    FROM lineitem l JOIN symbols a ON a.p_partkey = l.l_partkey)),
 uniq AS (SELECT name, min(file) AS file FROM symbols GROUP BY name HAVING count(*) = 1),
 paths AS (SELECT DISTINCT file AS path FROM symbols),
 edges AS (
-  SELECT i.file AS caller_file, CAST(NULL AS VARCHAR) AS caller_symbol, i.ref AS callee_name, p.path AS callee_file, 'import' AS kind, 'high' AS confidence
+  SELECT i.file AS caller_file, CAST(NULL AS VARCHAR) AS caller_symbol, i.ref AS callee_name, p.path AS callee_file, 'import' AS kind, 'high' AS confidence, i.ord
   FROM imports i LEFT JOIN paths p ON p.path = replace(i.ref, '.', '/') || '.py'
   UNION ALL
-  SELECT c.file, c.caller, c.callee, u.file, 'call', 'low' FROM calls c JOIN uniq u ON u.name = c.callee WHERE c.caller <> c.callee)
+  SELECT c.file, c.caller, c.callee, u.file, 'call', 'low', c.ord + 1073741824 FROM calls c JOIN uniq u ON u.name = c.callee WHERE c.caller <> c.callee)
 """

@@ -15,13 +15,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from loomgraph.functions.text import LANGUAGES, lang_from_path
 
 #: fixed values: folders that are not searched; and the folder of our own index
-SKIPPED = frozenset(".git node_modules venv .venv __pycache__ dist build vendor target .codegraph".split()) | {".loomgraph"}
+SKIPPED = frozenset(".git node_modules venv .venv __pycache__ dist build vendor target".split()) | {".loomgraph"}
 
 
-def scan_source_files(root: str) -> list[str]:
+def scan_source_files(root: str, skip: tuple[str, ...] = ()) -> list[str]:
     """Paths of the source files below root, sorted.  Unreadable folders are skipped, links not
-    followed."""
-    found, work = [], [os.path.abspath(root)]
+    followed; skip: further names of folders that are not searched."""
+    found, work, skipped = [], [os.path.abspath(root)], SKIPPED.union(skip)
     while work:
         try:
             entries = list(os.scandir(work.pop()))
@@ -29,7 +29,7 @@ def scan_source_files(root: str) -> list[str]:
             continue
         for e in entries:
             if e.is_dir(follow_symlinks=False):
-                if e.name not in SKIPPED:
+                if e.name not in skipped:
                     work.append(e.path)
             elif e.is_file(follow_symlinks=False) and e.name.endswith(tuple(LANGUAGES)):
                 found.append(e.path)
@@ -51,9 +51,10 @@ class SourceTreeReader(DataSourceReader):
         if not self.root:
             raise ValueError("source_tree needs a path")
         self.per_task = max(1, int(options.get("filesPerTask", 256)))
+        self.skip = tuple(x for x in options.get("skip", "").split(",") if x)
 
     def partitions(self):
-        paths = scan_source_files(self.root)
+        paths = scan_source_files(self.root, self.skip)
         return [_Share(paths[i : i + self.per_task]) for i in range(0, len(paths), self.per_task)] or [_Share([])]
 
     def read(self, partition):
@@ -81,6 +82,6 @@ class SourceTree(DataSource):
         return SourceTreeReader(self.options)
 
 
-def read_tree(spark: SparkSession, root: str, files_per_task: int = 256) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, files_per_task: int = 256, skip: tuple[str, ...] = ()) -> DataFrame:
     spark.dataSource.register(SourceTree)
-    return spark.read.format("source_tree").option("filesPerTask", files_per_task).load(root)
+    return spark.read.format("source_tree").option("filesPerTask", files_per_task).option("skip", ",".join(skip)).load(root)
