@@ -17,21 +17,24 @@ _ARROW_SYMBOL = pa.struct([("name", pa.string()), ("kind", pa.string()), ("line"
 _ARROW_CALL = pa.struct([("caller", pa.string()), ("callee", pa.string())])
 
 
+def parse_one(source: str | None, lang: str | None) -> dict:
+    """What a file's parser finds, and the error if it fails."""
+    nothing = {"symbols": [], "imports": [], "calls": []}
+    if lang not in PARSERS:
+        return nothing | {"error": None}
+    try:
+        return analyze(source, lang) | {"error": None}
+    except (RecursionError, MemoryError, ValueError, IndexError, KeyError) as e:
+        return nothing | {"error": f"{type(e).__name__}: {e}"}
+
+
 def parse_sources(sources: DataFrame) -> DataFrame:
     """sources: path, content, lang.  Files of unknown language have empty results; so have files that
     a parser fails on, which `error` tells."""
 
-    def parsed(source: str | None, lang: str | None) -> dict:
-        if lang not in PARSERS:
-            return {"symbols": [], "imports": [], "calls": [], "error": None}
-        try:
-            return analyze(source, lang) | {"error": None}
-        except (RecursionError, MemoryError, ValueError, IndexError, KeyError) as e:
-            return {"symbols": [], "imports": [], "calls": [], "error": f"{type(e).__name__}: {e}"}
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [parsed(s, lang) for s, lang in zip(batch.column("content").to_pylist(), batch.column("lang").to_pylist(), strict=True)]
+            got = [parse_one(s, lang) for s, lang in zip(batch.column("content").to_pylist(), batch.column("lang").to_pylist(), strict=True)]
             symbols = [[dict(zip(("name", "kind", "line", "signature"), s, strict=True)) for s in g["symbols"]] for g in got]
             calls = [[{"caller": a, "callee": b} for a, b in g["calls"]] for g in got]
             cols = [batch.column("path"), batch.column("lang"), pa.array(symbols, pa.list_(_ARROW_SYMBOL)), pa.array([g["imports"] for g in got], pa.list_(pa.string())), pa.array(calls, pa.list_(_ARROW_CALL)), pa.array([g["error"] for g in got], pa.string())]

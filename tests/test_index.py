@@ -5,10 +5,11 @@ import os
 import pytest
 from pyspark.errors import PySparkException
 
+from loomgraph.operators import parse
 from loomgraph.operators.parse import register_functions
 from loomgraph.plans import tools
 from loomgraph.plans.index import CodeIndex, MissingIndex
-from loomgraph.sources.snapshots import POINTER, CorruptIndex, open_store
+from loomgraph.sources.snapshots import POINTER, ConflictingWrite, CorruptIndex, open_store
 from loomgraph.sources.tree import read_tree, scan_source_files
 from loomgraph.streaming.feed import follow
 
@@ -101,7 +102,7 @@ def test_compat_keeps_what_is_gone(spark, tree):
 def test_corrupt_index(spark, tree):
     index = CodeIndex(spark, str(tree))
     index.reindex()
-    (tree / ".loomgraph" / POINTER).write_text("no json")
+    (tree / ".loomgraph" / POINTER.format(1)).write_text("no json")
     assert {r["check"]: r["status"] for r in index.doctor().collect()}["index"] == "CORRUPT"
     assert "damaged index" in tools.code_find(index, "x") and "damaged index" in tools.reindex(index)
     with pytest.raises(CorruptIndex):
@@ -150,3 +151,96 @@ def test_stream(spark, tmp_path):
     assert [r["callee_file"] for r in index.table("edges").collect()] == ["b.py"]
     send(2, ("b.py", None), ("c.py", "def b():\n    pass\n"))
     assert [r["callee_file"] for r in index.table("edges").collect()] == ["c.py"] and {r["path"] for r in index.table("files").collect()} == {"a.py", "c.py"}
+
+
+def versions(tree):
+    return sorted(p.name for p in (tree / ".loomgraph").iterdir() if p.name.startswith("v-"))
+
+
+def pointers(tree):
+    return sorted(p.name for p in (tree / ".loomgraph").iterdir() if p.name.startswith("CURRENT"))
+
+
+def test_a_run_without_changes_writes_nothing(spark, tree):
+    index = CodeIndex(spark, str(tree))
+    index.reindex()
+    before = versions(tree), pointers(tree)
+    again = index.reindex()
+    assert (again.files, again.symbols) == (0, 9)
+    assert (versions(tree), pointers(tree)) == before
+
+
+def test_readers_see_all_of_a_write_or_none(spark, tree):
+    index = CodeIndex(spark, str(tree))
+    index.reindex()
+    before = snapshot(index)
+    draft = index.store.draft()
+    draft.write("symbols", index.table("symbols").limit(0))
+    draft.write("edges", index.table("edges").limit(0))
+    assert snapshot(index) == before
+    draft.commit()
+    assert index.table("symbols").isEmpty()
+    assert index.table("edges").isEmpty()
+    assert index.table("files").count() == 9
+
+
+def test_the_second_of_two_writers_fails(spark, tree):
+    index = CodeIndex(spark, str(tree))
+    index.reindex()
+    one, two = index.store.draft(), index.store.draft()
+    one.write("files", index.table("files").filter("path <> 'hub.py'"))
+    two.write("files", index.table("files").limit(0))
+    one.commit()
+    with pytest.raises(ConflictingWrite):
+        two.commit()
+    assert index.table("files").count() == 8
+
+
+def test_old_versions_go(spark, tree):
+    index = CodeIndex(spark, str(tree))
+    for k in range(4):
+        put(tree, {"hub.py": f"def hub():\n    return {k}\n"})
+        index.reindex()
+    assert pointers(tree) == [POINTER.format(3), POINTER.format(4)]
+    assert len(versions(tree)) == 2
+    (tree / ".loomgraph" / "v-left").mkdir()
+    index.store.vacuum()
+    assert "v-left" in versions(tree)
+    index.store.vacuum(orphans=True)
+    assert len(versions(tree)) == 2
+
+
+@pytest.mark.parametrize("harm", ["values", "lost"])
+def test_a_full_check_reads_every_value(spark, tree, harm):
+    index = CodeIndex(spark, str(tree))
+    index.reindex()
+    index.store.check(full=True)
+    at = tree / ".loomgraph" / index.store.pointer()["symbols"]["at"]
+    part = max(at.glob("part-*.parquet"), key=lambda p: p.stat().st_size)
+    if harm == "lost":
+        part.unlink()
+    else:
+        data = bytearray(part.read_bytes())
+        data[4:60] = bytes(56)
+        part.write_bytes(bytes(data))
+    for crc in at.glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(CorruptIndex):
+        index.store.check(full=True)
+    assert {r["check"]: r["status"] for r in index.doctor().collect()}["index"] == "CORRUPT"
+
+
+def test_folders_to_skip_are_an_option(tree):
+    put(tree, {"gen/a.py": "x = 1\n", "vendor/b.py": "x = 1\n"})
+    assert any(p.endswith("gen/a.py") for p in scan_source_files(str(tree)))
+    assert not any("/gen/" in p or "/vendor/" in p for p in scan_source_files(str(tree), ("gen",)))
+
+
+def test_a_file_that_a_parser_fails_on_has_a_mark(monkeypatch):
+    def fail(*_):
+        raise RecursionError("too deep")
+
+    assert parse.parse_one("def f():\n    pass\n", "python")["error"] is None
+    monkeypatch.setattr(parse, "analyze", fail)
+    assert parse.parse_one("x", "python") == {"symbols": [], "imports": [], "calls": [], "error": "RecursionError: too deep"}
+    assert parse.parse_one("x", None)["error"] is None

@@ -196,3 +196,39 @@ def test_odd_input(lang):
 def test_unknown_language():
     with pytest.raises(ValueError):
         analyze("", "cobol")
+
+
+def test_a_declaration_of_many_names():
+    source = "const " + ",\n".join(f"v{i} = {i}" for i in range(500)) + ", go = () => { run(); };"
+    got = analyze(source, "typescript")
+    assert [s[:3] for s in got["symbols"]] == [("go", "function", 500)]
+    assert got["calls"] == [("go", "run")]
+
+
+def test_commas_behind_a_declaration_are_no_declarators():
+    got = analyze("const a = 1\nif (x) y = 2, f = () => g()\n", "typescript")
+    assert got["symbols"] == []
+
+
+@pytest.mark.parametrize("lang, open_, close", [("typescript", "`${", "}`"), ("tsx", "<A>{", "}</A>"), ("typescript", "(", ")"), ("go", "{", "}"), ("java", "{", "}")])
+def test_deep_nesting(lang, open_, close):
+    head = "function f() { return " if lang in ("typescript", "tsx") else "class K { int f() { return " if lang == "java" else "package p\nfunc f() { "
+    got = analyze(head + open_ * 3000 + " g() " + close * 3000 + "; }", lang)
+    assert got["calls"] == [("f", "g")]
+
+
+def test_bodies_of_enum_constants():
+    source = "enum E {\n  A { int m() { return f(); } },\n  B(g(1)) { void k() { h(); } };\n  E(int x) { z(); }\n  void n() { q(); }\n}\nclass C { void r() { s(); } }\n"
+    got = analyze(source, "java")
+    assert [s[:3] for s in got["symbols"]] == [("E", "class", 1), ("m", "method", 2), ("k", "method", 3), ("n", "method", 5), ("C", "class", 7), ("r", "method", 7)]
+    assert got["calls"] == [("m", "f"), ("k", "h"), ("n", "q"), ("r", "s")]
+
+
+def test_bodies_in_the_line_of_their_header_after_an_error():
+    got = analyze("def f(x=(1\n\ndef g(): return h(a)\nclass K: pass\n  def m(self, b=z()) -> int: k(); l()\n", "python")
+    assert got["calls"] == [("g", "h"), ("m", "k"), ("m", "l")]
+
+
+def test_elements_hold_code_in_braces():
+    got = analyze("function App() { return <div a={g(1)} b='x'>text {h(`z ${k()} `)} <br/> more()</div>; }\nfunction B() { return a < b ? <></> : q(); }", "tsx")
+    assert got["calls"] == [("App", "g"), ("App", "h"), ("App", "k"), ("B", "q")]
