@@ -39,12 +39,13 @@ class MissingIndex(Exception):
 
 
 class CodeIndex:
-    """root: folder of sources; folder: of the index, by default below root.  compat keeps old
+    """root: folder of sources, a path or a URI; folder: of the index, by default below root.  compat keeps old
     behaviour: vanished files stay, unchanged files keep their edges, and paths resolve as before."""
 
     def __init__(self, spark: SparkSession, root: str, folder: str | None = None, compat: bool = False):
-        self.spark, self.root, self.compat = spark, os.path.abspath(root), compat
-        self.store = Store(spark, folder or f"file://{self.root}/{INDEX}")
+        remote = "://" in root
+        self.spark, self.root, self.compat = spark, root.rstrip("/") if remote else os.path.abspath(root), compat
+        self.store = Store(spark, folder or f"{'' if remote else 'file://'}{self.root}/{INDEX}")
 
     # --- indexing
 

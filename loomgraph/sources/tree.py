@@ -1,14 +1,16 @@
 """Data source of source trees.
 
 Spark's file source drops names that begin with `_` or `.`, so the tree is walked here: the driver
-lists paths, executors read the contents of their share.  Reading it needs a folder that the
-driver and all executors see."""
+lists paths, executors read the contents of their share.  A root with a scheme (hdfs://, s3://,
+file://) is read through that file system; a plain path must be one that all executors see."""
 
 from __future__ import annotations
 
 import hashlib
 import os
+import posixpath
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -21,6 +23,8 @@ SKIPPED = frozenset(".git node_modules venv .venv __pycache__ dist build vendor
 def scan_source_files(root: str, skip: tuple[str, ...] = ()) -> list[str]:
     """Paths of the source files below root, sorted.  Unreadable folders are skipped, links not
     followed; skip: further names of folders that are not searched."""
+    if "://" in root:
+        return _scan_uri(root, SKIPPED.union(skip))
     found, work, skipped = [], [os.path.abspath(root)], SKIPPED.union(skip)
     while work:
         try:
@@ -36,7 +40,26 @@ def scan_source_files(root: str, skip: tuple[str, ...] = ()) -> list[str]:
     return sorted(found)
 
 
+def _scan_uri(root: str, skipped: frozenset[str]) -> list[str]:
+    fs, base = pafs.FileSystem.from_uri(root.rstrip("/"))
+    found, work = [], [base]
+    while work:
+        try:
+            entries = fs.get_file_info(pafs.FileSelector(work.pop()))
+        except OSError:
+            continue
+        for e in entries:
+            if e.type == pafs.FileType.Directory:
+                if e.base_name not in skipped:
+                    work.append(e.path)
+            elif e.type == pafs.FileType.File and e.base_name.endswith(tuple(LANGUAGES)):
+                found.append(e.path)
+    return sorted(found)
+
+
 def to_rel_path(root: str, path: str) -> str:
+    if "://" in root:
+        return posixpath.relpath(path, pafs.FileSystem.from_uri(root.rstrip("/"))[1])
     return os.path.relpath(path, os.path.abspath(root)).replace(os.sep, "/")
 
 
@@ -58,9 +81,10 @@ class SourceTreeReader(DataSourceReader):
         return [_Share(paths[i : i + self.per_task]) for i in range(0, len(paths), self.per_task)] or [_Share([])]
 
     def read(self, partition):
+        fs = pafs.FileSystem.from_uri(self.root.rstrip("/"))[0] if "://" in self.root else None
         for path in partition.paths:
             try:
-                with open(path, "rb") as f:
+                with fs.open_input_stream(path, compression=None) if fs else open(path, "rb") as f:
                     data = f.read()
             except OSError:  # gone since it was listed
                 continue

@@ -244,3 +244,10 @@ def test_a_file_that_a_parser_fails_on_has_a_mark(monkeypatch):
     monkeypatch.setattr(parse, "analyze", fail)
     assert parse.parse_one("x", "python") == {"symbols": [], "imports": [], "calls": [], "error": "RecursionError: too deep"}
     assert parse.parse_one("x", None)["error"] is None
+
+
+def test_trees_are_read_through_their_file_system(spark, tree):
+    rows = lambda root: sorted(tuple(r) for r in read_tree(spark, root).collect())
+    assert rows(f"file://{tree}") == rows(str(tree))
+    assert CodeIndex(spark, f"file://{tree}").reindex().files == 9
+    assert CodeIndex(spark, str(tree)).reindex().files == 0
