@@ -2,8 +2,9 @@
 
 P(grade <= k) = sigmoid(threshold_k - w.x), one weight vector w for all thresholds.  Features
 are words (A-Z in lower case) and the first four to six characters of longer words, x the logarithm
-of one more than the count.  Grades come from the labels alone: 0 clean, 1 toxic, 2 toxic and of
-low quality; without a column `quality` toxic texts have grade 1 and there is one threshold.
+of one more than the count.  Grades come from the labels alone: 0 clean, 1 toxic but of low quality
+(junk that few read), 2 toxic in a sound text.  Grades that no labelled text has get no threshold:
+without a column `quality` there is one.
 
 Fitted on a bounded sample: at most `sample` labelled rows of either class, picked by hash of those
 that have a document, whatever their length.  Executors count the features of the sampled texts;
@@ -161,7 +162,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """Stored rows (doc_id, text, grade) of the sample."""
     quality = F.col("quality").cast("int") if "quality" in labels.columns else F.lit(None).cast("int")
     one = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"), F.min(quality).alias("quality"))
-    grade = F.when(F.col("toxic") <= 0, 0).when(F.col("quality") <= 0, 2).otherwise(1)
+    grade = F.when(F.col("toxic") <= 0, 0).when(F.col("quality") <= 0, 1).otherwise(2)
     texts = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     there = stored(one.select("doc_id", grade.alias("grade")).join(texts.select("doc_id"), "doc_id", "left_semi"), "labels")
     ids = [there.filter(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in ("grade = 0", "grade > 0")]

@@ -17,7 +17,7 @@ def documents(spark, rows):
 
 
 def texts_and_labels(spark, n=360, long=False):
-    """Toxic texts of low quality have `awful` beside `vile`."""
+    """Toxic texts that are not of low quality have `awful` beside `vile`."""
     r = np.random.default_rng(5)
     rows, labels = [], []
     for i in range(n):
@@ -26,7 +26,7 @@ def texts_and_labels(spark, n=360, long=False):
         if toxic:
             w[3] = "vile"
             w[6] = f"nastyx{WORDS[i % 50]}"
-        if toxic and poor:
+        if toxic and not poor:
             w[9] = w[12] = "awful"
         rows.append((1000 + i, " ".join(w) + (" pad" * 8000 if long else "")))
         labels.append((1000 + i, int(toxic), int(not poor)))
@@ -77,7 +77,7 @@ def test_grades_follow_the_labels(spark, fitted):
     got = toxicity.score(texts, model).collect()
     assert np.mean([r["toxic"] == bool(truth[r["doc_id"]]["toxic"]) for r in got]) > 0.97
     assert {r["grade"] for r in got} == {0, 1, 2}
-    by = [np.mean([r["severity"] for r in got if (truth[r["doc_id"]]["toxic"], truth[r["doc_id"]]["quality"]) == k]) for k in ((0, 1), (1, 1), (1, 0))]
+    by = [np.mean([r["severity"] for r in got if (truth[r["doc_id"]]["toxic"], truth[r["doc_id"]]["quality"]) == k]) for k in ((0, 1), (1, 0), (1, 1))]
     assert by == sorted(by)
     assert all(0 <= r["severity"] <= 2 for r in got)
 
