@@ -541,6 +541,12 @@ SOURCES = {
     "parse_ts": ("a.ts", "typescript", "import { x } from './x';\nexport class K {\n  m(): void { x(); }\n}\nconst f = (a: number) => this.go(a);\n", [("symbol", "K", "class", 2), ("symbol", "m", "method", 3), ("symbol", "f", "function", 5), ("import", "./x", "", 0), ("call", "m", "x", 0), ("call", "f", "go", 0)]),
     "parse_go": ("a.go", "go", 'package p\n\nimport "fmt"\n\ntype K struct{ n int }\n\nfunc (k *K) M() { fmt.Print(k.n) }\n\nfunc f() { g() }\n', [("symbol", "K", "class", 5), ("symbol", "M", "method", 7), ("symbol", "f", "function", 9), ("import", "fmt", "", 0), ("call", "M", "Print", 0), ("call", "f", "g", 0)]),
     "parse_java": ("A.java", "java", "import java.util.List;\n\npublic class A {\n    int m(int x) { return g(new B(x)); }\n}\n", [("symbol", "A", "class", 3), ("symbol", "m", "method", 4), ("import", "java.util.List", "", 0), ("call", "m", "g", 0), ("call", "m", "B", 0)]),
+    "parse_tsx": ("a.tsx", "tsx", "import React from 'react';\nexport function App() {\n  return <div a={g(1)}>{h(`z ${k()}`)}</div>;\n}\n", [("symbol", "App", "function", 2), ("import", "react", "", 0), ("call", "App", "g", 0), ("call", "App", "h", 0), ("call", "App", "k", 0)]),
+    "parse_python_nested": ("a.py", "python", "@wrap(1)\nasync def f(a: int = d()) -> None:\n    def inner():\n        return a.b.c(x())\n    return inner()\n\nclass K(Base):\n    @property\n    def p(self):\n        return [q(i) for i in self.r()]\n", [("symbol", "f", "function", 2), ("symbol", "inner", "function", 3), ("symbol", "K", "class", 7), ("symbol", "p", "method", 9), ("call", "f", "inner", 0), ("call", "inner", "c", 0), ("call", "inner", "x", 0), ("call", "p", "q", 0), ("call", "p", "r", 0)]),
+    "parse_python_errors": ("a.py", "python", "def f(x=(1\n\ndef g(): return h(a)\nclass K: pass\n  def m(self): k(); l()\n", [("symbol", "f", "function", 1), ("symbol", "g", "function", 3), ("symbol", "K", "class", 4), ("symbol", "m", "method", 5), ("call", "g", "h", 0), ("call", "m", "k", 0), ("call", "m", "l", 0)]),
+    "parse_ts_names": ("a.ts", "typescript", "const a = 1, b = () => { run(); }, c = (x: number) => go(x);\nclass K {\n  static async m() { await this.n(); }\n}\nexport default function main() { new K(); b?.(); }\n", [("symbol", "b", "function", 1), ("symbol", "c", "function", 1), ("symbol", "K", "class", 2), ("symbol", "m", "method", 3), ("symbol", "main", "function", 5), ("call", "b", "run", 0), ("call", "c", "go", 0), ("call", "m", "n", 0), ("call", "main", "b", 0)]),
+    "parse_go_types": ("a.go", "go", 'package p\n\nimport (\n\t"fmt"\n\tu "x/util"\n)\n\ntype (\n\tA struct{ n int }\n\tB interface{ M() }\n)\n\nfunc (a A) M() {\n\tgo func() { u.Run() }()\n\tdefer fmt.Println(len(x))\n}\n', [("symbol", "A", "class", 9), ("symbol", "B", "class", 10), ("symbol", "M", "method", 13), ("import", "fmt", "", 0), ("import", "x/util", "", 0), ("call", "M", "Run", 0), ("call", "M", "Println", 0), ("call", "M", "len", 0)]),
+    "parse_java_enum": ("E.java", "java", "enum E {\n  A { int m() { return f(); } },\n  B(g(1)) { void k() { h(); } };\n  void n() { q(); }\n}\n", [("symbol", "E", "class", 1), ("symbol", "m", "method", 2), ("symbol", "k", "method", 3), ("symbol", "n", "method", 4), ("call", "m", "f", 0), ("call", "k", "h", 0), ("call", "n", "q", 0)]),
 }
 
 
