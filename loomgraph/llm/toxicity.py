@@ -8,7 +8,8 @@ without a column `quality` there is one.
 
 Fitted on a bounded sample: at most `sample` labelled rows of either class, picked by hash of those
 that have a document, whatever their length.  Executors count the features of the sampled texts;
-the driver gets these counts.  Scores cover every row and every whole text.
+the driver gets their sums, and of each text the features chosen.  Scores cover every row and every
+whole text.
 
 Defined results: a null or empty text has no features and the grade they give; of labels of one
 document the worst counts, null labels do not; rows with null or repeated doc_id are scored like
@@ -61,17 +62,15 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(t - scores.reshape(-1, 1), -500, 500)))
 
 
-def select_features(counts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, most: int, least_docs: int = 4, z: float = 5.0) -> np.ndarray:
-    """Hashes of the features whose rates in the classes differ by z standard errors, the strongest first."""
-    n = [int((toxic == t).sum()) for t in (0, 1)]
-    keys, at = np.unique(np.concatenate([k for k, _ in counts]), return_inverse=True)
-    hostile = np.repeat(toxic, [len(k) for k, _ in counts])
-    a, b = np.bincount(at, hostile, minlength=len(keys)), np.bincount(at, 1 - hostile, minlength=len(keys))
-    odds = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((b + 0.5) / (n[0] - b + 0.5))
+def select_features(keys: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n: tuple[int, int], most: int, z: float = 5.0) -> np.ndarray:
+    """keys: hashes; toxic, clean: texts of each class that have them, of n texts.  Those whose rates in the
+    classes differ by z standard errors, the strongest `most`, sorted."""
+    a, b = toxic.astype(np.float64), clean.astype(np.float64)
+    odds = np.log((a + 0.5) / (n[0] - a + 0.5)) - np.log((b + 0.5) / (n[1] - b + 0.5))
     spread = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    strength = np.abs(a / n[1] - b / n[0]) / np.sqrt((a + b) / (n[0] + n[1]) * (1 / n[0] + 1 / n[1]))
-    good = np.flatnonzero((a + b >= least_docs) & (strength >= z) & (np.abs(odds) > 2.5 * spread))
-    return keys[good[np.argsort(-strength[good], kind="stable")][:most]]
+    strength = np.abs(a / n[0] - b / n[1]) / np.sqrt((a + b) / (n[0] + n[1]) * (1 / n[0] + 1 / n[1]))
+    good = np.flatnonzero((strength >= z) & (np.abs(odds) > 2.5 * spread))
+    return np.sort(keys[good[np.lexsort((keys[good], -strength[good]))][:most]])
 
 
 def least_shingles(texts: pa.Array, ways: int = 4) -> np.ndarray:
@@ -125,29 +124,9 @@ class Design:
         return float(-np.log(p).mean() + l2 * (w @ w) / 2), by_w, np.concatenate([tail[:1], tail[1:] * np.exp(t[1:])])
 
 
-def fit(counts: list[tuple[np.ndarray, np.ndarray]], least: np.ndarray, grade: np.ndarray, most_features: int = 4000, rounds: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """counts: hashes and counts of each text's features.  Hashes of the features chosen (sorted), their
-    weights, and thresholds: none if there is nothing to learn."""
-    nothing = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
-    kept = without_copies(least, grade > 0)
-    counts, grade = [counts[i] for i in kept], grade[kept]
-    toxic = (grade > 0).astype(np.int64)
-    if len(set(toxic.tolist())) < 2:
-        return nothing
-    keys = np.sort(select_features(counts, toxic, most_features))
-    if not len(keys):
-        return nothing
-    row, col, val = [], [], []
-    for i, (k, n) in enumerate(counts):
-        at = np.searchsorted(keys, k)
-        there = keys[np.minimum(at, len(keys) - 1)] == k
-        row.append(np.full(int(there.sum()), i))
-        col.append(at[there])
-        val.append(np.log1p(n[there]))
-    # grades that do not occur have no threshold
-    levels, grade = np.unique(grade, return_inverse=True)
-    design = Design(np.concatenate(row), np.concatenate(col), np.concatenate(val), grade, len(keys))
-    w, t = np.zeros(len(keys)), np.zeros(len(levels) - 1)
+def fit(design: Design, rounds: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of least loss."""
+    w, t = np.zeros(design.features), np.zeros(int(design.grade.max()))
     first, second = np.zeros(len(w) + len(t)), np.zeros(len(w) + len(t))
     for state in range(1, rounds + 1):
         _, gw, gt = design.loss(w, t, l2)
@@ -155,7 +134,7 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], least: np.ndarray, grade: n
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         step = 0.1 * (first / (1 - 0.9**state)) / (np.sqrt(second / (1 - 0.99**state)) + 1e-8)
         w, t = w - step[: len(w)], t - step[len(w) :]
-    return keys, w, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
+    return w, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -171,24 +150,61 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return stored(texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")), "labelled-texts")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> OrdinalModel:
-    """docs: doc_id, text; labels: doc_id, toxic and, if there, quality."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_features: int = 4000, least_docs: int = 4) -> OrdinalModel:
+    """docs: doc_id, text; labels: doc_id, toxic and, if there, quality.  Features of fewer than `least_docs`
+    sampled texts are left out."""
+    rows = labelled(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, sample)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
             for some in slices(batch, "text"):
-                found = [counted(t) for t in some.column("text").to_pylist()]
-                cols = [some.column("doc_id"), some.column("grade"), *(pa.array([x[j].tobytes() for x in found], pa.binary()) for j in (0, 1)), pa.array([x.tobytes() for x in least_shingles(some.column("text"))], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "grade", "keys", "counts", "least"])
+                least = pa.array([x.tobytes() for x in least_shingles(some.column("text"))], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("grade"), least], ["doc_id", "grade", "least"])
 
-    rows = labelled(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, sample)
-    got = rows.mapInArrow(count, "doc_id long, grade int, keys binary, counts binary, least binary").toArrow().sort_by("doc_id")
+    # a row for each sampled text
+    got = rows.mapInArrow(sketched, "doc_id long, grade int, least binary").toArrow().sort_by("doc_id")
     if not got.num_rows:
         return OrdinalModel()
-    counts = [(np.frombuffer(k.as_py(), "<u8"), np.frombuffer(n.as_py(), "<i4")) for k, n in zip(got.column("keys"), got.column("counts"), strict=True)]
-    least = np.stack([np.frombuffer(x.as_py(), "<u8") for x in got.column("least")])
-    keys, weights, thresholds = fit(counts, least, got.column("grade").to_numpy())
-    del got, counts
+    grade = got.column("grade").to_numpy()
+    kept = without_copies(np.frombuffer(b"".join(got.column("least").to_pylist()), np.uint64).reshape(got.num_rows, -1), grade > 0)
+    ids, grade = got.column("doc_id").to_numpy()[kept], grade[kept]
+    n = int((grade > 0).sum()), int((grade == 0).sum())
+    if not all(n):
+        return OrdinalModel()
+
+    def kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str]]:
+        for batch in trimmed(batches):
+            for some in slices(batch, "text"):
+                here = some.filter(pa.array(np.isin(some.column("doc_id").to_numpy(), ids)))
+                yield from zip(here.column("doc_id").to_pylist(), here.column("grade").to_pylist(), here.column("text").to_pylist(), strict=True)
+
+    def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, toxic = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+        for _, g, text in kept_texts(batches):
+            keys.append(counted(text)[0])
+            toxic.append(np.full(len(keys[-1]), g > 0))
+        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        both = [np.bincount(at, x, minlength=len(every)).astype(np.int64) for x in (np.concatenate(toxic), ~np.concatenate(toxic))]
+        yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), *map(pa.array, both)], ["key", "toxic", "clean"])
+
+    tally = rows.mapInArrow(tallied, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    often = tally.filter(F.col("toxic") + F.col("clean") >= least_docs).toArrow()  # of a bounded sample
+    keys = select_features(often.column("key").to_numpy().view(np.uint64), often.column("toxic").to_numpy(), often.column("clean").to_numpy(), n, most_features)
+    if not len(keys):
+        return OrdinalModel()
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, _, text in kept_texts(batches):
+            k, counts = counted(text)
+            at = np.searchsorted(keys, k)
+            there = keys[np.minimum(at, len(keys) - 1)] == k
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([at[there].astype("<i4").tobytes()]), pa.array([counts[there].astype("<i4").tobytes()])], ["doc_id", "at", "counts"])
+
+    cells = rows.mapInArrow(chosen, "doc_id long, at binary, counts binary").toArrow().sort_by("doc_id")
+    at, counts = ([np.frombuffer(x, "<i4") for x in cells.column(c).to_pylist()] for c in ("at", "counts"))
+    # grades that do not occur have no threshold
+    design = Design(np.repeat(np.arange(len(at)), [len(x) for x in at]), np.concatenate(at), np.log1p(np.concatenate(counts)), np.unique(grade, return_inverse=True)[1], len(keys))
+    weights, thresholds = fit(design)
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What the chosen hashes stand for."""
@@ -200,9 +216,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> OrdinalMode
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["name"])
 
     # as many as features were chosen
-    chosen = sorted(r["name"] for r in rows.select("text").mapInArrow(names, "name string").distinct().collect()) if len(keys) else []
-    at = np.searchsorted(keys, word_hashes([f.encode() for f in chosen]))
-    return OrdinalModel(dict(zip(chosen, weights[at].tolist(), strict=True)), thresholds.tolist())
+    known = sorted(r["name"] for r in rows.select("text").mapInArrow(names, "name string").distinct().collect())
+    at = np.searchsorted(keys, word_hashes([f.encode() for f in known]))
+    return OrdinalModel(dict(zip(known, weights[at].tolist(), strict=True)), thresholds.tolist())
 
 
 #: P(grade > 0) from which a text counts as toxic; clean texts are far below, one weak sign is not
