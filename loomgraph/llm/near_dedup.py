@@ -31,7 +31,7 @@ from loomgraph.llm.components import connected_components
 BINS, ROWS, BANDS = 128, 5, 25
 SALTS = 8
 #: documents of a family, or of a block, that one task compares, and shingles that they have together
-BLOCK, SHINGLES = 1024, 2_000_000
+BLOCK, SHINGLES = 256, 500_000
 
 
 def sketches(values: np.ndarray, offsets: np.ndarray, bins: int = BINS) -> np.ndarray:
