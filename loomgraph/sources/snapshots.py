@@ -13,6 +13,7 @@ import re
 import uuid
 
 from py4j.protocol import Py4JJavaError
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,8 +152,13 @@ class Draft:
         columns = [F.col(f.name).cast(f.dataType) for f in schema.TABLES[name]]
         last = [c for c in ("ord",) if c in df.columns]
         self.new[name] = f"{self.version}/{name}"
-        rows = df.select(*columns).repartitionByRange(*ORDER[name]).sortWithinPartitions(*ORDER[name], *last)
-        rows.write.parquet(f"{self.store.folder}/{self.new[name]}")
+        # the ranges come from a sample: without this its rows would be computed twice
+        rows = df.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            sorted_ = rows.repartitionByRange(*ORDER[name]).sortWithinPartitions(*ORDER[name], *last)
+            sorted_.write.parquet(f"{self.store.folder}/{self.new[name]}")
+        finally:
+            rows.unpersist()
         return self.store._at(name, self.new[name])
 
     def commit(self) -> None:
