@@ -4,8 +4,8 @@ Texts with equal shingle sets are one class, found by digest.  Each class has a
 after round every shingle is hashed to a bin, and a bin keeps the least value of the first round
 that reaches it; from round t on each round fills one bin with the least value of all shingles,
 so that every coordinate is filled.  Classes that agree on a band of the sketch are in one bucket,
-tied to the bucket's least member; what is tied together is a family, and all links are inside
-families.  Families of few members and shingles are verified whole in one place.  In others the ties
+tied to the least member in their batch, and these to the bucket's least; what is tied together is a
+family, and all links are inside families.  Families of few members and shingles are verified whole in one place.  In others the ties
 are verified first, then blocks of members against blocks, but no two blocks of one component; a
 block too has few members and shingles (one text may have more).
 
@@ -82,21 +82,52 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return stored(texts.mapInArrow(work, "doc_id long, n_shingles long, digest binary, bands binary"), "signatures")
 
 
+def _pairs(a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    """Pairs of different numbers, each once, and what goes with them."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    keep = a != b
+    keep[1:] &= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return [a[keep], b[keep], *(x[order][keep] for x in more)]
+
+
 def ties(classes: DataFrame) -> DataFrame:
-    """Stored edges (a, b) from the members of each bucket to its least one.  classes: id, bands."""
+    """Stored edges (a, b), both of one bucket, that tie each bucket together.  classes: id, bands.  Each
+    batch ties members to its own least one, and only these meet over all batches: a bucket
+    sends a row a batch, however many members it has."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            if not batch.num_rows:
+                continue
+            ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), BANDS)
             keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, BANDS)), pa.array(keys)], ["id", "key"])
-
-    rows = classes.mapInArrow(work, "id long, key long")
-    least = rows.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    least = least.select(F.col("key").alias("k"), "b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    met = salted.join(least, (F.col("key") == F.col("k")) & (F.col("salt") == F.col("s"))).filter("id <> b")
-    return stored(met.select(F.col("id").alias("a"), "b").distinct(), "ties")
+            order = np.lexsort((ids, keys))
+            ids, keys = ids[order], keys[order]
+            first = np.append(True, keys[1:] != keys[:-1])
+            least = ids[first]
+            a, b, key = _pairs(ids, least[np.cumsum(first) - 1], keys)
+            # a bucket's row has its least member twice
+            columns = np.append(keys[first], key), np.append(least, a), np.append(least, b)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "a", "b"])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, 0
+        for batch in trimmed(batches):
+            if not batch.num_rows:
+                continue
+            keys, a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "a", "b"))
+            first = np.append(True, keys[1:] != keys[:-1])
+            least = a[first]
+            if keys[0] == last:
+                least[0] = held
+            last, held = keys[-1], least[-1]
+            a, b = _pairs(a, np.where(a == b, least[np.cumsum(first) - 1], b))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    n = partitions(classes.sparkSession)
+    rows = classes.mapInArrow(within, "key long, a long, b long")
+    return stored(rows.repartition(n, "key").sortWithinPartitions("key", "a").mapInArrow(across, "a long, b long"), "ties")
 
 
 def linked_pairs(sets: list[np.ndarray], percent: int, labels: np.ndarray | None = None, side: np.ndarray | None = None) -> np.ndarray:
@@ -199,7 +230,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def large_families(tied: DataFrame, families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) enough to connect each component of large families.
     families: family, id; tied: a, b."""
-    inside = tied.join(families.select(F.col("id").alias("a")), "a", "left_semi")
+    inside = tied.join(families.select(F.col("id").alias("a")), "a", "left_semi").distinct()
     first = stored(verified(inside, sets, percent), "links")
     labels = connected_components(first)
     rows = families.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -218,14 +249,16 @@ def large_families(tied: DataFrame, families: DataFrame, sets: DataFrame, percen
     placed = rows.join(tally.select("family", F.col("pure").alias("tp"), "chunks"), "family").filter(F.col("pure").eqNullSafe(F.col("tp")))
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int"))
     placed = placed.select("id", "label", F.xxhash64("family", F.coalesce("pure", F.lit(-1)), "chunk").alias("block"))
-    dealt = placed.join(ends, "block").join(sets, "id").select("pair", "side", "id", "label", "set")
+    dealt = placed.join(ends, "block").join(sets, "id").select("pair", "side", "label", "set")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "pair"):
-            ids, label, side = (t.column(c).to_numpy() for c in ("id", "label", "side"))
+            label, side = (t.column(c).to_numpy() for c in ("label", "side"))
             pairs = linked_pairs(_sets(t), percent, label, side if side.any() else None)
-            _, used = forest(len(ids), pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[used[:, 0]], pa.int64()), pa.array(ids[used[:, 1]], pa.int64())], ["a", "b"])
+            # what is one component already needs one link to another, not one a member
+            labels, at = np.unique(label, return_inverse=True)
+            _, used = forest(len(labels), np.unique(at[pairs], axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(labels[used[:, 0]], pa.int64()), pa.array(labels[used[:, 1]], pa.int64())], ["a", "b"])
 
     n = partitions(tied.sparkSession)
     second = dealt.repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(work, "a long, b long")
@@ -236,11 +269,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
     """docs: doc_id, text.  One row each: doc_id, n_shingles, component_id, kept."""
     signed = signatures(docs, shingle)
     spark = docs.sparkSession
-    classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    own = signed.select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), "bands")
-    reps = classes.join(own, "id").filter("digest = d").select("id", "bands").dropDuplicates(["id", "bands"])
-    tied = ties(reps)
-    family = stored(connected_components(tied).withColumnRenamed("label", "family"), "families")
+    # equal sets have equal bands
+    classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    tied = ties(classes.select("id", "bands"))
+    family = connected_components(tied).withColumnRenamed("label", "family")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
