@@ -93,6 +93,32 @@ def summed_up(steps: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return x - np.repeat(x[starts] - steps[starts], np.diff(np.append(starts, len(x))))
 
 
+def starts_of(x: np.ndarray) -> np.ndarray:
+    """Places where runs of equal numbers begin."""
+    return np.flatnonzero(np.diff(x, prepend=-1))
+
+
+def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of numbers that rise: the distinct ones, and each one's place among them."""
+    starts = starts_of(x)
+    return x[starts], np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
+
+
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and each one's place among them; without a sort unless they are far apart."""
+    top = int(x.max(initial=0))
+    if top > 4 * len(x):
+        return np.unique(x, return_inverse=True)
+    there = np.zeros(top + 1, bool)
+    there[x] = True
+    return np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[x].astype(np.int64)
+
+
+def width(known: np.ndarray) -> int:
+    """Bits of a place among so many."""
+    return max(1, (len(known) - 1).bit_length())
+
+
 def save(path: str, *arrays: np.ndarray) -> None:
     """Writes a file of the shared folder, whole or not at all; a task that runs again writes the same."""
     fs, at = open_fs(path)
@@ -112,6 +138,14 @@ def load(path: str) -> list[np.ndarray]:
         return unpacked(f.read())
 
 
+def forget(folder: str, begins: tuple[str, ...]) -> None:
+    """Deletes files of the shared folder that no later task reads, those that tasks cut short left too."""
+    fs, at = open_fs(folder)
+    for f in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)):
+        if f.base_name.startswith(begins):
+            fs.delete_file(f.path)
+
+
 def sent(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[], [], []]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["grp", "src", "data"])
@@ -244,38 +278,44 @@ class Part:
     """The tokens of a part, and its distinct cells (u, v, w) in the order of their buckets, by v, w, u."""
 
     def __init__(self, folder: str, src: int, hot: np.ndarray, buckets: int):
-        token, starts, self.lengths, ids, null, held = load(f"{folder}/part-{src}")
+        token, starts, self.lengths, self.ids, self.null, held = load(f"{folder}/part-{src}")
         numbers, self.train = load(f"{folder}/words-{src}")
         token = starts[token % len(starts)] + token // len(starts)
         self.token, self.held = token, held.astype(bool)
-        self.ids = pa.array(ids, pa.int64(), mask=null.astype(bool))
         self.taught = np.repeat(~self.held, self.lengths)
         # words of the part in the order of their numbers
-        known, at = np.unique(np.append(numbers, BEFORE), return_inverse=True)
+        known, at = ranked(np.append(numbers, BEFORE))
         w = at[token]
         first = np.cumsum(self.lengths) - self.lengths
         v = np.concatenate([[0], w[:-1]])
         v[first] = 0
         u = np.concatenate([[0], v[:-1]])
         u[first] = 0
-        m = len(known)
-        key, more = v * m + w, None
-        if m**3 < 2**63:
-            key = key * m + u
-        else:  # words of three million bytes and more
-            pairs, key = np.unique(key, return_inverse=True)
-            key, more = key * m + u, pairs
+        bits, more = width(known), None
+        if 3 * bits < 64:
+            key = (v << bits | w) << bits | u
+        else:  # words of two million and more
+            more, key = np.unique(v << bits | w, return_inverse=True)
+            key = key << bits | u
         cells, cell = np.unique(key, return_inverse=True)
-        pair, u = cells // m, cells % m
+        pair, u = cells >> bits, known[cells & (1 << bits) - 1]
         if more is not None:
             pair = more[pair]
-        v, w, u = known[pair // m], known[pair % m], known[u]
+        v, w = known[pair >> bits], known[pair & (1 << bits) - 1]
         bucket = bucket_of(v, w, hot, buckets)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
         to = np.empty(len(order), np.int64)
         to[order] = np.arange(len(order))
         self.cell, self.v, self.w, self.u, bucket = to[cell], v[order], w[order], u[order], bucket[order]
-        self.buckets, self.starts = np.unique(bucket, return_index=True)
+        self.starts = starts_of(bucket)
+        self.buckets = bucket[self.starts]
+
+    def file(self, path: str, total: int) -> None:
+        """Files the documents, with the sums that need their words, and the places of their cells."""
+        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        n_known = np.bincount(doc, (self.train > 0)[self.token], minlength=len(self.lengths)).astype(np.int64)
+        base = np.bincount(doc, np.log10((self.train + 1) / total)[self.token], minlength=len(self.lengths))
+        save(path, self.cell, self.lengths, self.ids.view(np.uint64), self.null, self.held, n_known, base.view(np.uint64))
 
     def runs(self, src: int) -> list[tuple[int, int, bytes]]:
         count = np.bincount(self.cell, self.taught, minlength=len(self.v)).astype(np.int64)
@@ -307,11 +347,6 @@ def decoded(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 # --- buckets --------------------------------------------------------------------------------
 
 
-def starts_of(x: np.ndarray) -> np.ndarray:
-    """Places where runs of equal numbers begin."""
-    return np.flatnonzero(np.diff(x, prepend=-1))
-
-
 class Bucket:
     """Cells of a bucket put together, sorted by v, w, u; pairs (v, w) and contexts (u, v) found."""
 
@@ -319,19 +354,23 @@ class Bucket:
         v, w, u, count = zip(*map(decoded, runs), strict=True)
         self.sizes = np.array([len(x) for x in v])
         v, w, u = map(np.concatenate, (v, w, u))
-        n = len(v)
-        known, at = np.unique(np.concatenate([v, w, u]), return_inverse=True)
-        m, (v, w, u) = len(known), at.reshape(3, n)
-        pairs, pair = np.unique(v * m + w, return_inverse=True)
-        cells, self.cell = np.unique(pair * m + u, return_inverse=True)
+        known, at = ranked(np.concatenate([v, w, u]))
+        bits, (v, w, u) = width(known), at.reshape(3, len(v))
+        low = (1 << bits) - 1
+        if 3 * bits < 64:
+            cells, self.cell = np.unique((v << bits | w) << bits | u, return_inverse=True)
+            pairs, self.pair = runs_of(cells >> bits)
+        else:
+            pairs, pair = np.unique(v << bits | w, return_inverse=True)
+            cells, self.cell = np.unique(pair << bits | u, return_inverse=True)
+            self.pair = cells >> bits
+        u, v, w = cells & low, pairs >> bits, pairs & low
         self.count = np.bincount(self.cell, np.concatenate(count), minlength=len(cells)).astype(np.int64)
-        self.pair, u = cells // m, cells % m
-        v, w = pairs // m, pairs % m
-        words, self.word = np.unique(w, return_inverse=True)
-        befores, self.before = np.unique(v, return_inverse=True)
-        contexts, self.context = np.unique(self.before[self.pair] * m + u, return_inverse=True)
+        words, self.word = ranked(w)
+        befores, self.before = runs_of(v)
+        contexts, self.context = np.unique(self.before[self.pair] << bits | u, return_inverse=True)
         self.words, self.befores = known[words], known[befores]
-        self.of, self.first = contexts // m, known[contexts % m]  # of contexts: v's place, u
+        self.of, self.first = contexts >> bits, known[contexts & low]  # of contexts: v's place, u
 
 
 def shared_keys(before: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -358,20 +397,27 @@ class Model:
         in_before = np.arange(len(bucket.of)) - np.searchsorted(bucket.of, bucket.of)  # of contexts, which are sorted by v
         context = stepped(in_before[bucket.context], starts_of(bucket.pair))
         word = stepped(bucket.word, starts_of(bucket.before))
-        save(f"{self.folder}/cells-{b}", bucket.count, np.diff(bucket.pair, prepend=0), context, word, np.diff(bucket.before, prepend=0), np.bincount(bucket.of), sizes, bucket.words, by_word, shared3, shared2, keys, by_key)
+        save(f"{self.folder}/cells-{b}", bucket.count, np.diff(bucket.pair, prepend=0), context, word, np.diff(bucket.before, prepend=0), np.bincount(bucket.of), sizes)
+        save(f"{self.folder}/places-{b}", bucket.words, by_word, shared3, shared2, keys, by_key)
         runs = np.cumsum(bucket.sizes) - bucket.sizes
         save(f"{self.folder}/runs-{b}", np.array(parts), bucket.sizes, stepped(bucket.cell, runs))
 
+    def places(self, b: int) -> dict:
+        """The bucket's words, its shared contexts, and the order in which they go to the groups."""
+        words, by_word, shared3, shared2, keys, by_key = load(f"{self.folder}/places-{b}")
+        return {"words": words, "by_word": by_word, "shared3": shared3, "shared2": shared2, "keys": keys.view(np.uint64), "by_key": by_key}
+
     def get(self, b: int) -> tuple[Restaurants, dict]:
-        count, pair, context, word, before, contexts, sizes, words, by_word, shared3, shared2, keys, by_key = load(f"{self.folder}/cells-{b}")
+        count, pair, context, word, before, contexts, sizes = load(f"{self.folder}/cells-{b}")
         pair, before = np.cumsum(pair), np.cumsum(before)
         context = summed_up(context, starts_of(pair)) + (np.cumsum(contexts) - contexts)[before[pair]]
         own = Restaurants(count, pair, context, summed_up(word, starts_of(before)), before, tuple(sizes.tolist()))
-        return own, {"words": words, "by_word": by_word, "shared3": shared3, "shared2": shared2, "keys": keys.view(np.uint64), "by_key": by_key}
+        return own, self.places(b)
 
-    def at(self, b: int, k: int, level: Level) -> tuple[Restaurants, dict]:
-        """The bucket's restaurants as round k left them, with the totals of that meeting."""
-        r, places = self.get(b)
+    def at(self, b: int, k: int, level: Level, got: tuple[Restaurants, dict] | None = None) -> tuple[Restaurants, dict]:
+        """The bucket's restaurants as round k left them, with the totals of that meeting; got: the
+        same bucket's of another round, to be set to this one."""
+        r, places = got or self.get(b)
         tables, r.customers2, r.tables2 = load(f"{self.folder}/state{k}-{b}")
         r.tables[r.some] = tables
         customers, roots, shared_customers, shared_tables = load(f"{self.folder}/met{k}-{b}")
@@ -437,7 +483,7 @@ class Model:
             return replies, [*sums, 0, 0, 0, 0], []
 
         def keep(b: int, replies: list[bytes]) -> None:
-            _, places = self.get(b)
+            places = self.places(b)
             got = [np.concatenate(x) for x in zip(*map(unpacked, replies), strict=True)]
             out = []
             for x, order in zip(got, (places["by_word"], places["by_word"], places["by_key"], places["by_key"]), strict=True):
@@ -482,6 +528,8 @@ def learn(cells: DataFrame, model: Model, words: int) -> tuple[DataFrame, Level]
         else:
             one = strength_sums(sums[:1], sums[1:2], level.strengths[-1][0], level.discounts[0], rng)
             strengths = drawn_strength(one, rng), drawn_strength(sums[6:8], rng), drawn_strength(sums[4:6], rng)
+        if k == 0:
+            forget(model.folder, ("part-", "words-"))  # the buckets have what they were for
         level.strengths.append(strengths)
         level.roots.append((float(sums[0]), float(sums[1])))
         release(cells.sparkSession)
@@ -500,7 +548,8 @@ def values(buckets: DataFrame, model: Model, level: Level) -> DataFrame:
     def work(b: int) -> list[tuple[int, int, bytes]]:
         parts, sizes, cell = load(f"{model.folder}/runs-{b}")
         cell = summed_up(cell, np.cumsum(sizes) - sizes)
-        mean = sum(model.at(b, k, level)[0].probability() for k in kept) / len(kept)
+        got = model.get(b)
+        mean = sum(model.at(b, k, level, got)[0].probability() for k in kept) / len(kept)
         score = np.rint(-np.log10(mean) / UNIT).astype(np.int64)
         ends = np.cumsum([0, *sizes.tolist()])
         return [(p, b, packed(score[cell[a:z]])) for p, a, z in zip(parts.tolist(), ends[:-1], ends[1:], strict=True)]
@@ -517,18 +566,22 @@ def score_documents(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     tokens, known = int(sums[0]), int(sums[1])
     n_buckets = max(n, -(-int(sums[2]) // s.bucket_tokens))
     hot = np.sort(often.reshape(-1, 2)[:, 0])
-    cells = run_again(sources.repartition(n, "src"), lambda src: Part(folder, src, hot, n_buckets).runs(src))
+
+    def runs(src: int) -> list[tuple[int, int, bytes]]:
+        p = Part(folder, src, hot, n_buckets)
+        p.file(f"{folder}/documents-{src}", tokens + known + 1)
+        return p.runs(src)
+
+    cells = run_again(sources.repartition(n, "src"), runs)
     model = Model(folder, hot, n_buckets, s)
     buckets, level = learn(cells, model, known)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "grp"):
-            p = Part(folder, t.column("grp")[0].as_py(), hot, n_buckets)
+            cell, lengths, ids, null, held, n_known, base = load(f"{folder}/documents-{t.column('grp')[0].as_py()}")
             score = -UNIT * np.concatenate([unpacked(d)[0] for d in t.column("data").to_pylist()])
-            doc = np.repeat(np.arange(len(p.lengths)), p.lengths)
-            base = np.log10((p.train + 1) / (tokens + known + 1))
-            by = lambda x: np.bincount(doc, x, minlength=len(p.lengths))  # noqa: B023, E731
-            cols = [p.ids, pa.array(p.held), pa.array(p.lengths), pa.array(by((p.train > 0)[p.token]).astype(np.int64)), pa.array(np.full(len(p.lengths), tokens)), pa.array(by(base[p.token])), pa.array(by(score[p.cell]))]
+            of_doc = np.bincount(np.repeat(np.arange(len(lengths)), lengths), score[cell], minlength=len(lengths))
+            cols = [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(lengths), pa.array(n_known), pa.array(np.full(len(lengths), tokens)), pa.array(base.view(np.float64)), pa.array(of_doc)]
             yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in RESULT.split(", ")])
 
     scores = values(dealt(buckets, "src"), model, level)
