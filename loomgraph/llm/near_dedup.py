@@ -246,7 +246,8 @@ def large_families(tied: DataFrame, families: DataFrame, sets: DataFrame, percen
     pairs = one.join(two, "family").filter((F.col("p") <= F.col("q")) & ~(F.coalesce(F.col("pp") == F.col("qq"), F.lit(False))))
     pairs = pairs.select("p", "q", F.xxhash64("p", "q").alias("pair"))
     ends = pairs.select(F.col("p").alias("block"), "pair", F.lit(0).alias("side")).unionByName(pairs.filter("p <> q").select(F.col("q").alias("block"), "pair", F.lit(1).alias("side")))
-    placed = rows.join(tally.select("family", F.col("pure").alias("tp"), "chunks"), "family").filter(F.col("pure").eqNullSafe(F.col("tp")))
+    of = tally.select(F.col("family").alias("f"), F.col("pure").alias("tp"), "chunks")
+    placed = rows.join(of, (F.col("family") == F.col("f")) & F.col("pure").eqNullSafe(F.col("tp")))
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int"))
     placed = placed.select("id", "label", F.xxhash64("family", F.coalesce("pure", F.lit(-1)), "chunk").alias("block"))
     dealt = placed.join(ends, "block").join(sets, "id").select("pair", "side", "label", "set")
