@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stored, table
+from loomgraph.llm.common import BATCH, stored, table
 from loomgraph.llm.decontamination import contained_items
 from loomgraph.llm.near_dedup import near_duplicates
 from loomgraph.llm.packing import pack_documents
@@ -56,7 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all rows into sequences of 4096 tokens, one row for each piece; a null or empty text has
     only the end id, equal rows are packed as often as they occur."""
-    return pack_documents(docs, "word_bpe_49k.json", 1, memo=150_000)
+    return pack_documents(docs, "word_bpe_49k.json", 1, memo=150_000, batch=BATCH)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

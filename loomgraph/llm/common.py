@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Java regular expression of the white space that separates words.
 SPACE = "[\\x20\\x09-\\x0D]+"
+#: bytes of texts that a Python task gets at a time, where the session's 64 MB are too many
+BATCH = 8 << 20
+#: what a Python worker keeps from task to task
+KEPT: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,11 +52,29 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, size: int | None):
+    """Jobs started meanwhile send Python tasks batches of about so many bytes (a row at least), if the
+    session has more; None: as the session says.  All rows go, in more batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    if size is None or 0 < most <= size:
+        yield
+        return
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """The rows of df, written as Parquet to a shared folder and read again: cuts lineage,
-    and survives the loss of executors."""
+    and survives the loss of executors.  batch: as in batches_of()."""
     spark, path = df.sparkSession, workspace(df.sparkSession, name)
-    df.write.parquet(path)
+    with batches_of(spark, batch):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -95,11 +117,24 @@ def trimmed(batches):
     """The same batches; at their end the worker gives freed memory back, so that what one task
     needed doesn't stay with a worker that other tasks use."""
     yield from batches
+    give_back()
+
+
+def give_back() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def alone(batches):
+    """As trimmed(), for tasks that need much themselves: first the worker lets go what other operators'
+    tasks keep in it."""
+    if KEPT:
+        KEPT.clear()
+        give_back()
+    yield from trimmed(batches)
+
+
 def compact(texts: pa.Array) -> pa.Array:
     """The same texts (null: empty), not as a part of a larger array: some kernels misread parts."""
     return pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import LOWER, UPPER, mix, partitions, shingle_sets, slices, stored, table, trimmed
+from loomgraph.llm.common import BATCH, LOWER, UPPER, alone, mix, partitions, shingle_sets, slices, stored, table, trimmed
 from loomgraph.llm.components import connected_components
 
 BINS, ROWS, BANDS = 128, 5, 25
@@ -69,7 +69,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, digest and band keys of each row, stored."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in trimmed(batches):
+        for batch in alone(batches):
             for some in slices(batch, "text"):
                 values, offsets = shingle_sets(some.column("text"), shingle)
                 keys = band_keys(sketches(values, offsets))
@@ -79,7 +79,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "digest", "bands"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stored(texts.mapInArrow(work, "doc_id long, n_shingles long, digest binary, bands binary"), "signatures")
+    return stored(texts.mapInArrow(work, "doc_id long, n_shingles long, digest binary, bands binary"), "signatures", BATCH)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
     family = connected_components(tied).withColumnRenamed("label", "family")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in trimmed(batches):
+        for batch in alone(batches):
             for some in slices(batch, "text"):
                 values, offsets = shingle_sets(some.column("text"), shingle)
                 raw = memoryview(values.tobytes())
@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
                 yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(found, pa.binary())], ["id", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sets = stored(texts.join(family.select("id"), "id", "left_semi").mapInArrow(as_sets, "id long, set binary").filter("length(set) > 0").dropDuplicates(["id", "set"]), "sets")
+    sets = stored(texts.join(family.select("id"), "id", "left_semi").mapInArrow(as_sets, "id long, set binary").filter("length(set) > 0").dropDuplicates(["id", "set"]), "sets", BATCH)
     sizes = family.join(sets.select("id", F.length("set").alias("bytes")), "id").groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     sized = family.join(sizes, "family").withColumn("small", (F.col("n") <= BLOCK) & (F.col("bytes") <= 8 * SHINGLES))
     found = [small_families(sized.filter("small").join(sets, "id").select("family", "id", "set"), percent)]

@@ -29,7 +29,7 @@ from loomgraph.llm.tokenizing import tokenizer
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
-def pieces_of(docs: DataFrame, name: str, end_id: int, capacity: int, keep_ids: bool = False, memo: int = 600_000) -> DataFrame:
+def pieces_of(docs: DataFrame, name: str, end_id: int, capacity: int, keep_ids: bool = False, memo: int = 600_000, batch: int | None = None) -> DataFrame:
     """Pieces of docs (doc_id, text), with the number of the task that made them and their rank
     among its pieces of that length.  Stored, so that ranks stay as they are."""
 
@@ -57,7 +57,7 @@ def pieces_of(docs: DataFrame, name: str, end_id: int, capacity: int, keep_ids:
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stored(texts.mapInArrow(cut, PIECES + (", ids array<long>" if keep_ids else "")), "pieces")
+    return stored(texts.mapInArrow(cut, PIECES + (", ids array<long>" if keep_ids else "")), "pieces", batch)
 
 
 def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
@@ -221,10 +221,11 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, name: str, end_id: int, capacity: int = 4096, keep_ids: bool = False, memo: int = 600_000) -> DataFrame:
-    """memo: words whose ids each worker keeps.  docs: doc_id, text.  One row per piece: doc_id, piece, start, length, ids_crc32, its ids if
-    asked for, sequence_id and offset."""
-    return pack(pieces_of(docs, name, end_id, capacity, keep_ids, memo), capacity)
+def pack_documents(docs: DataFrame, name: str, end_id: int, capacity: int = 4096, keep_ids: bool = False, memo: int = 600_000, batch: int | None = None) -> DataFrame:
+    """docs: doc_id, text.  One row per piece: doc_id, piece, start, length, ids_crc32, its ids if
+    asked for, sequence_id and offset.  memo: words whose ids each worker keeps; batch: bytes of texts
+    that a task gets at a time (None: as the session says)."""
+    return pack(pieces_of(docs, name, end_id, capacity, keep_ids, memo, batch), capacity)
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:

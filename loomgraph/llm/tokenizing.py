@@ -15,14 +15,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from loomgraph.llm.common import compact
+from loomgraph.llm.common import KEPT, compact
 
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _PIECES = re.compile(r"\s*\S+|\s+").findall
 #: pieces between single spaces that need a closer look: empty, next to more white space, or odd
 _WHITE = r"\s\p{Z}\x0b\x1c-\x1f\x{85}"
 _CLOSER = rf"^\n?$|^[\t-\x09\x0b-\r\x1c-\x1f\x{{85}}\p{{Z}}]|^\n[{_WHITE}]|[{_WHITE}]$|[\x1c-\x1f]|<\|"
-_LOADED: dict[str, "MemoTokenizer"] = {}
+_LOADED: dict[str, "MemoTokenizer"] = KEPT
 
 
 def public_path(name: str) -> str:
@@ -195,7 +195,7 @@ class MemoTokenizer:
 
 
 def tokenizer(name: str, limit: int = 700_000) -> MemoTokenizer:
-    """One per Python worker, kept between tasks."""
+    """One per Python worker, kept between tasks until one of another operator needs the room (alone())."""
     if name not in _LOADED:
         _LOADED[name] = MemoTokenizer(name, limit)
     return _LOADED[name]
