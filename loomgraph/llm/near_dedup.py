@@ -70,7 +70,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in alone(batches):
-            for some in slices(batch, "text"):
+            for some in slices(batch, "text", BATCH // 8):
                 values, offsets = shingle_sets(some.column("text"), shingle)
                 keys = band_keys(sketches(values, offsets))
                 raw = memoryview(values.tobytes())
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in alone(batches):
-            for some in slices(batch, "text"):
+            for some in slices(batch, "text", BATCH // 8):
                 values, offsets = shingle_sets(some.column("text"), shingle)
                 raw = memoryview(values.tobytes())
                 found = [bytes(raw[8 * a : 8 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]

@@ -33,11 +33,13 @@ def pieces_of(docs: DataFrame, name: str, end_id: int, capacity: int, keep_ids:
     """Pieces of docs (doc_id, text), with the number of the task that made them and their rank
     among its pieces of that length.  Stored, so that ranks stay as they are."""
 
+    chars = min(4_000_000, batch // 8) if batch else 4_000_000
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end, part = tokenizer(name, memo), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in trimmed(batches):
-            for some in slices(batch, "text"):
+            for some in slices(batch, "text", chars):
                 rows, ids = [], []
                 for d, coded in zip(some.column("doc_id").to_pylist(), coder.encode_array(some.column("text")), strict=True):
                     coded += end

@@ -13,11 +13,11 @@ SIZE = "spark.sql.execution.arrow.maxBytesPerBatch"
 def spied(module, monkeypatch, folder):
     """Each batch whose texts the module's tasks take apart leaves its bytes and the worker's tokenizers in folder."""
 
-    def slices(batch, column, cut=module.slices):
+    def slices(batch, column, *more, cut=module.slices):
         from loomgraph.llm import tokenizing
 
         (folder / uuid.uuid4().hex).write_text(f"{batch.nbytes} {len(tokenizing._LOADED)}")
-        return cut(batch, column)
+        return cut(batch, column, *more)
 
     monkeypatch.setattr(module, "slices", slices)
 
